@@ -68,8 +68,9 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch with about `most` bytes of text each, one row at least."""
     import numpy as np
+    import pyarrow.compute as pc
 
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     ends, begin = np.cumsum(sizes), 0
     while begin < batch.num_rows:
         base = ends[begin - 1] if begin else 0
@@ -82,8 +83,6 @@ def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], s
     """`each` over bounded slices of every partition, as one Arrow-to-Arrow pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         for batch in batches:
             for part in slices(batch, column):
                 yield each(part)
