@@ -26,7 +26,7 @@ from factloom.llm.common import map_arrow, without
 
 #: Bytes of a word from which the round-by-round form is used.
 LONG = 128
-#: Words that a worker remembers between slices; its memory is bounded by this, whatever the input.
+#: Words that each of a worker's two generations remembers; its memory is bounded by this, whatever the input.
 REMEMBERED = 300_000
 #: Distinct words that one recursive query takes.
 WORDS = 20_000
@@ -110,6 +110,7 @@ class Codec:
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM tokens")
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _rows(self, words: list[bytes]) -> pa.Table:
         import numpy as np
@@ -144,12 +145,13 @@ class Codec:
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
     def learn(self, words: set[str]) -> None:
-        """Encode the words that aren't known yet."""
+        """Encode the words that aren't known yet; words not met for a generation are forgotten."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         new, raw = [], []
-        for w in words:
-            if w in self.known:
+        for w in words - self.known.keys():
+            if (old := self.older.get(w)) is not None:
+                self.known[w] = old
                 continue
             b = w.encode()
             whole = self.ranks.get(b)
