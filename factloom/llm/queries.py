@@ -29,8 +29,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.dedup(_documents(spark, sf_dir))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm import simhash
+
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_exact_dedup": op3_exact_dedup}
+    return {"op1_bpe": op1_bpe, "op3_exact_dedup": op3_exact_dedup, "op7_simhash": op7_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
