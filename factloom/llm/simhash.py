@@ -71,16 +71,19 @@ def _vector(fp: Column, segments: int) -> list[Column]:
     return [F.bit_count(F.shiftrightunsigned(fp, i * width).bitwiseAND(F.lit((1 << width) - 1))) for i in range(segments)]
 
 
-def _points(fp: Column, segments: int) -> Column:
-    """The grid points within 1 of the vector, packed: a digit for each segment's count plus one."""
-    digits = [x.cast("long") + 1 for x in _vector(fp, segments)]  # 1 to width + 1; a step away 0 to width + 2
+def _at_points(nodes: DataFrame, segments: int) -> DataFrame:
+    """A row for each of `nodes` and each grid point within 1 of its vector.
+
+    A point is packed: a digit for each segment's count plus one, so 0 to width + 2 a step away.
+    """
     bits = (64 // segments + 2).bit_length()
-    if bits * segments > 62:  # too long for one number: hash the digits; a clash only adds a comparison
-        moved = [[x + s if i == j else x for j, x in enumerate(digits)] for i in range(segments) for s in (1, -1)]
-        return F.array(*[F.xxhash64(*m) for m in [digits, *moved]])
-    base = sum((x * F.lit(1 << (bits * i)) for i, x in enumerate(digits)), F.lit(0).cast("long"))
-    steps = [0, *(s << (bits * i) for i in range(segments) for s in (1, -1))]
-    return F.array(*[base + F.lit(s).cast("long") for s in steps])
+    if bits * segments > 62:
+        raise ValueError(f"{segments} segments don't fit a packed grid point")
+    digits = [(x.cast("long") + 1, bits * i) for i, x in enumerate(_vector(F.col("fp"), segments))]
+    home = sum((x * F.lit(1 << at) for x, at in digits), F.lit(0).cast("long"))
+    steps = F.array(*[F.lit(s).cast("long") for s in (0, *(s << at for _, at in digits for s in (1, -1)))])
+    based = nodes.select("node", "fp", home.alias("home"))
+    return based.select("node", "fp", F.explode(F.transform(steps, lambda s: F.col("home") + s)).alias("point"))
 
 
 def links(nodes: DataFrame, most: int = 2, segments: int = SEGMENTS) -> DataFrame:
@@ -89,7 +92,7 @@ def links(nodes: DataFrame, most: int = 2, segments: int = SEGMENTS) -> DataFram
         raise ValueError("the grid join is laid out for up to two differing bits")
     if not most:
         return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
-    at = nodes.select("node", "fp", F.explode(_points(F.col("fp"), segments)).alias("point"))
+    at = _at_points(nodes, segments)
     x, y = at.alias("x"), at.alias("y")
     manhattan = sum((F.abs(p - q) for p, q in zip(_vector(F.col("x.fp"), segments), _vector(F.col("y.fp"), segments), strict=True)), F.lit(0))
     differing = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp")))
