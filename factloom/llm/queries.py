@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -35,8 +36,24 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm import langid
+
+    docs = _documents(spark, sf_dir)
+    learned = langid.learn(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    return langid.identify(docs, learned).select("doc_id", langid.held_out(docs).alias("held_out"), "lang_pred", "score")
+
+
+def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm import urlfilter
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return urlfilter.judge(pages, urlfilter.mine(pages, labels))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_exact_dedup": op3_exact_dedup, "op7_simhash": op7_simhash}
+    return {"op1_bpe": op1_bpe, "op3_exact_dedup": op3_exact_dedup, "op7_simhash": op7_simhash, "op9_langid": op9_langid, "op10_urlfilter": op10_urlfilter}
 
 
 def oracle_sql() -> dict[str, str]:
