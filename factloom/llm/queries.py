@@ -24,6 +24,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from factloom.llm import tokencount
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    out = tokencount.count_tokens(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_words", "n_tokens")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm import exactdedup
 
@@ -36,6 +46,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm import quality
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("good"))
+    out = quality.classify(_documents(spark, sf_dir).select("doc_id", "source", "lang", "text"), labels)
+    return out.select("doc_id", "source", "lang", "llr", "site_rate", "path_rate", "posterior", "keep")
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm import langid
 
@@ -53,7 +71,7 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_exact_dedup": op3_exact_dedup, "op7_simhash": op7_simhash, "op9_langid": op9_langid, "op10_urlfilter": op10_urlfilter}
+    return {"op1_bpe": op1_bpe, "op2_token_counts": op2_token_counts, "op3_exact_dedup": op3_exact_dedup, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op9_langid": op9_langid, "op10_urlfilter": op10_urlfilter}
 
 
 def oracle_sql() -> dict[str, str]:
