@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: A-Z and a-z for `translate`, which leaves every other letter alone.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -33,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def write_shared(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def write_shared(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read again: a cut of the lineage that survives lost executors.
 
     The folder is removed by :func:`clean_shared`, at the latest when the driver's Python ends.
@@ -43,8 +44,13 @@ def write_shared(df: DataFrame, name: str, partition_by: list[str] | None = None
     if not _written:
         atexit.register(clean_shared)
     _written.append((spark, path))
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    # the shuffle files of the job go when it ends; without this they stay until the driver collects its garbage
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

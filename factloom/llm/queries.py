@@ -40,6 +40,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.dedup(_documents(spark, sf_dir))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm import mixing
+
+    docs = _documents(spark, sf_dir)
+    out = mixing.mix(docs, mixing.rates(docs))
+    return out.select("doc_id", "source", "copy", F.round("rate", 9).alias("rate"), "text")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm import simhash
 
@@ -71,11 +79,11 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_token_counts": op2_token_counts, "op3_exact_dedup": op3_exact_dedup, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op9_langid": op9_langid, "op10_urlfilter": op10_urlfilter}
+    return {"op1_bpe": op1_bpe, "op2_token_counts": op2_token_counts, "op3_exact_dedup": op3_exact_dedup, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op9_langid": op9_langid, "op10_urlfilter": op10_urlfilter}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op6_mixing": OP6_SQL}
 
 
 OP3_SQL = """
@@ -86,3 +94,18 @@ WITH d AS (
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY t) AS kept, h AS text_sha256
 FROM d"""
+
+OP6_SQL = """
+WITH sizes AS (SELECT source, sum(length(coalesce(text, ''))) AS size FROM documents GROUP BY source HAVING sum(length(coalesce(text, ''))) > 0),
+rated AS (SELECT source, CAST(1.0 AS DOUBLE) / CAST(count(*) OVER () AS DOUBLE) * CAST(sum(size) OVER () AS DOUBLE) / size AS rate FROM sizes),
+parts AS (SELECT source, rate, CAST(ceil(rate / 16) AS INTEGER) AS draws, rate / ceil(rate / 16) AS mean FROM rated),
+cdf AS (SELECT source, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS p
+        FROM parts, LATERAL (SELECT unnest(range(CAST(ceil(mean + 12 * sqrt(mean) + 12) AS BIGINT) + 1)) AS k)),
+drawn AS (SELECT d.doc_id, d.source, d.text, p.rate,
+                 ('0x' || substr(sha256('17:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+          FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source, LATERAL (SELECT unnest(range(1, p.draws + 1)) AS j)),
+counted AS (SELECT w.doc_id, w.source, w.text, w.rate, w.u, count(c.k) AS n
+            FROM drawn w LEFT JOIN cdf c ON c.source IS NOT DISTINCT FROM w.source AND c.p <= w.u GROUP BY ALL),
+total AS (SELECT doc_id, source, text, rate, sum(n) AS n FROM counted GROUP BY ALL)
+SELECT doc_id, source, CAST(copy AS INTEGER) AS copy, round(rate, 9) AS rate, text
+FROM total, LATERAL (SELECT unnest(range(1, CAST(n AS BIGINT) + 1)) AS copy)"""
