@@ -40,6 +40,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.dedup(_documents(spark, sf_dir))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm import media
+
+    return media.media_columns(_documents(spark, sf_dir))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm import linededup
 
@@ -86,7 +92,7 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_token_counts": op2_token_counts, "op3_exact_dedup": op3_exact_dedup, "op5_line_dedup": op5_line_dedup, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op9_langid": op9_langid, "op10_urlfilter": op10_urlfilter}
+    return {"op1_bpe": op1_bpe, "op2_token_counts": op2_token_counts, "op3_exact_dedup": op3_exact_dedup, "op4_media": op4_media, "op5_line_dedup": op5_line_dedup, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op9_langid": op9_langid, "op10_urlfilter": op10_urlfilter}
 
 
 def oracle_sql() -> dict[str, str]:

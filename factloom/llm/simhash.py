@@ -108,3 +108,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", s
     found = components(links(nodes.where("least is not null").select(F.col("least").alias("node"), "fp"), most, segments))
     labels = nodes.join(found, nodes["least"] == found["node"], "left").select("fp", F.coalesce("component", "least").alias("component_id"))
     return docs.join(labels, "fp").select(F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, seed: int = 42, most: int = 2, segments: int = SEGMENTS) -> DataFrame:
+    """The rows of `df` less all documents of a component but that of the smallest id.
+
+    Rows that repeat the id that stays are the same document and stay; rows without an id stay.
+    """
+    found = near_duplicates(df, id_col, text, size, seed, most, segments)
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    return df.join(gone, df[id_col] == F.col("_gone"), "left_anti")
