@@ -1,0 +1,435 @@
+"""Every operator against a brute-force version, with nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+from pyspark.sql import functions as F  # noqa: E402
+
+from factloom.llm import bpe, exactdedup, langid, linededup, media, mixing, quality, simhash, tokencount, urlfilter  # noqa: E402
+
+VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+DDL = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(rnd: random.Random, n: int) -> str:
+    return " ".join(rnd.choice(["alpha", "Beta", "gamma", "delta", "épée", "zeta", "the", "of"]) + rnd.choice(["", "s", "ing", ","]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rnd = random.Random(7)
+    texts = [words(rnd, rnd.randrange(1, 80)) for _ in range(30)]
+    texts += [texts[0], texts[0].upper(), texts[1] + " x", None, "", "   ", "\n\n", "no end " * 4000, "a" * 3000, "日本語のテキスト" * 40, "1 2 3 !!", texts[2].replace("a", "A"), "\ud7ff edge \U0001f600"]
+    out = [(i, t, rnd.choice(["en", "fr", None]), rnd.choice(["s1", "s1", "s2", None]), len(t or "")) for i, t in enumerate(texts)]
+    return [*out, out[3], (None, "no id", "en", "s1", 5), (None, texts[0], None, None, 0)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DDL).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DDL)
+
+
+def key(*values):
+    return tuple((v is None, v if v is not None else 0) if not isinstance(v, str) else (False, v) for v in values)
+
+
+def test_bpe_equals_the_library(docs, rows):
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, open(VOCABULARY, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    clash = docs.withColumn("ids", F.lit("x")).withColumn("N_TOKENS", F.lit("y"))
+    got = bpe.encode(clash, VOCABULARY, PATTERN).select("doc_id", "text", "n_tokens", "ids", "decoded_sha256").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert list(r["ids"]) == library.encode_ordinary(r["text"] or "")
+        assert r["n_tokens"] == len(r["ids"])
+        assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+
+
+def test_bpe_decode_and_empty(spark, empty):
+    ids = spark.createDataFrame([(1, [262, 32]), (2, []), (3, None)], "k int, ids array<int>")
+    ranks = {v: k for k, v in bpe.read_ranks(bpe.vocabulary(VOCABULARY)).items()}
+    got = {r["k"]: bytes(r["decoded"]) for r in bpe.decode(ids, VOCABULARY, PATTERN).collect()}
+    assert got == {1: ranks[262] + ranks[32], 2: b"", 3: b""}
+    assert bpe.encode(empty, VOCABULARY, PATTERN).count() == 0
+
+
+def test_bpe_contracts_one_leftmost_pair_of_least_rank_at_a_time():
+    tokens = [bytes([b]) for b in range(256)] + [b"ab", b"ba", b"abab", b"aba", b"bb", b"abb"]
+    rnd = random.Random(3)
+    for trial in range(6):
+        order = tokens[:256] + rnd.sample(tokens[256:], 6)
+        content = b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(order))
+        c, ranks = bpe.Codec(content, r"\S+"), {t: i for i, t in enumerate(order)}
+        for n in (1, 2, 7, 40, 300, 700):
+            word = bytes(rnd.choice(b"ab") for _ in range(n))
+            parts = [word[i : i + 1] for i in range(n)]
+            while word not in ranks:
+                best = min(((ranks[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in ranks), default=None)
+                if best is None:
+                    break
+                parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+            want = [ranks[word]] if word in ranks else [ranks[p] for p in parts]
+            got = c.encode([word.decode()])[0]
+            assert [int.from_bytes(got[i : i + 4], "little") for i in range(0, len(got), 4)] == want, (trial, n)
+
+
+def greedy(word: bytes, pieces: set[bytes], most: int) -> int:
+    n = at = 0
+    while at < len(word):
+        at += next((k for k in range(min(most, len(word) - at), 1, -1) if word[at : at + k] in pieces), 1)
+        n += 1
+    return n
+
+
+def test_token_counts_are_greedy(docs, rows, empty):
+    regex = pytest.importorskip("regex")
+    pieces = set(bpe.read_ranks(bpe.vocabulary(VOCABULARY)))
+    most = max(map(len, pieces))
+    for r in tokencount.count_tokens(docs.withColumn("n_words", F.lit("x")), VOCABULARY, PATTERN).collect():
+        found = regex.findall(PATTERN, r["text"] or "")
+        assert (r["n_words"], r["n_tokens"]) == (len(found), sum(greedy(w.encode(), pieces, most) for w in found))
+    assert tokencount.count_tokens(empty, VOCABULARY, PATTERN).count() == 0
+    rnd = random.Random(5)
+    for _ in range(60):
+        some = {bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(1, 7))) for _ in range(rnd.randrange(0, 15))}
+        given = [bytes(rnd.choice(b"abcd") for _ in range(rnd.randrange(0, 30))) for _ in range(20)]
+        assert tokencount.Automaton(some).lengths(given).tolist() == [greedy(w, some, 7) for w in given]
+
+
+def lowered(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+def test_exact_dedup(docs, rows, empty):
+    groups = {}
+    for r in rows:
+        groups.setdefault(lowered(r[1]), []).append(r[0])
+    want = []
+    for r in rows:
+        ids = groups[lowered(r[1])]
+        keep = max((i for i in ids if i is not None), default=None)
+        want.append((r[0], keep, len(ids), r[0] == keep, hashlib.sha256(lowered(r[1]).encode()).hexdigest()))
+    got = [tuple(r) for r in exactdedup.dedup(docs.withColumn("key", F.lit(1)), owners=5, capacity=2).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()]
+    assert sorted(got, key=lambda r: key(*r)) == sorted(want, key=lambda r: key(*r))
+    assert exactdedup.dedup(empty).count() == 0
+
+
+def test_extendible_index_splits_doubles_and_chains():
+    rnd = random.Random(1)
+    for bits, capacity, n in ((8, 1, 200), (16, 4, 500), (4, 2, 100)):
+        index, out = exactdedup.ExtendibleIndex(capacity, bits), []
+        keys = sorted(rnd.randrange(1 << bits) for _ in range(n))
+        bodies = [bytes([rnd.randrange(3)]) for _ in keys]
+        for k, b in zip(keys, bodies, strict=True):
+            out += index.insert(k, [b, b"", 0, 1])
+        out += index.rest()
+        got = Counter({(k, e[0]): e[3] for b in out for k, chain in b.chains.items() for e in chain})
+        assert got == Counter(zip(keys, bodies, strict=True))
+        for b in out:
+            assert all(k >> (bits - b.depth) == b.prefix for k in b.chains) and (len(b.chains) <= capacity or b.depth == bits)
+
+
+def test_media_round_trip(docs, rows, empty, monkeypatch):
+    for limit in (media.BROADCAST_NAMES, 0):  # by broadcast, and by joins
+        monkeypatch.setattr(media, "BROADCAST_NAMES", limit)
+        got = media.media_columns(docs.withColumn("body", F.lit(1))).collect()
+        want = []
+        for doc, text, *_ in rows:
+            raw = (text or "").encode()
+            p = raw + b"\xff" * ((-len(raw)) % 576 if raw else 576)
+            want.append((doc, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(p) + 44, hashlib.sha256(media.wav(p)).hexdigest(), media.features(p)))
+        names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+        assert sorted((tuple(r[n] for n in names) for r in got), key=lambda r: key(*r)) == sorted(want, key=lambda r: key(*r))
+    assert media.media_columns(empty).count() == 0
+
+
+def test_chunks_are_cut_by_content():
+    rnd = random.Random(2)
+    passage = bytes(rnd.randrange(256) for _ in range(60_000))
+    a, b = media.chunks(passage), media.chunks(bytes(rnd.randrange(256) for _ in range(777)) + passage)
+    assert b"".join(a) == passage and len(set(a) & set(b)) > len(a) / 2
+    assert all(media.MIN_CHUNK <= len(c) <= media.MAX_CHUNK for c in a[:-1])
+    h, gear = 0, [int.from_bytes(hashlib.sha256(bytes([x])).digest()[:2], "little") for x in range(256)]
+    ends, begin = [], 0
+    for i, x in enumerate(passage):  # a byte at a time
+        h = (h << 1) + gear[x] & 0xFFFF
+        if i + 1 - begin >= media.MIN_CHUNK and (h >> (16 - media.CUT_BITS) == 0 or i + 1 - begin == media.MAX_CHUNK):
+            ends.append(i + 1)
+            begin = i + 1
+    assert media.cuts(passage) == [*ends, len(passage)] or media.cuts(passage) == ends
+    with pytest.raises(ValueError):
+        media.samples_of(media.wav(b"12")[:-1])
+
+
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_edit_distance_and_segments():
+    rnd = random.Random(5)
+    for _ in range(4000):
+        a = [rnd.choice("ab") for _ in range(rnd.randrange(0, 14))]
+        b = list(a)
+        for _ in range(rnd.randrange(0, 4)):
+            i = rnd.randrange(0, len(b) + 1)
+            b[i : i + rnd.randrange(2)] = rnd.choice(["", "a", "b"])
+        a, b = "".join(a), "".join(b)
+        for most in (0, 1, 2, 3):
+            near = distance(a, b) <= most
+            assert linededup.within(a, b, most) == near
+            x, y = (a, b) if len(a) >= len(b) else (b, a)
+            if near and len(y) > most:
+                cut = linededup.segments(len(y), most)
+                assert any(x[at : at + n] == y[cut[i][0] : cut[i][0] + n] for i, at, n in linededup.probes(len(x), len(y), most))
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_line_dedup(spark, most):
+    rnd = random.Random(11)
+    base = ["".join(rnd.choice("abcdefgh é日") for _ in range(rnd.randrange(3, 60))).strip() or "x" for _ in range(25)]
+
+    def line():
+        x = list(rnd.choice(base))
+        for _ in range(rnd.choice([0, 0, 0, 1, 2, 3])):
+            i = rnd.randrange(len(x) + 1)
+            x[i : i + rnd.randrange(2)] = rnd.choice(["", "a", "日"])
+        return rnd.choice(["", "  "]) + "".join(x)
+
+    given = [(i, "\n".join(rnd.choice([line(), line(), ""]) for _ in range(rnd.randrange(0, 9)))) for i in range(40)] + [(77, None), (78, "")]
+    given += [given[5]]
+    first = {}
+    for d, t in sorted(set(given), key=lambda r: r[0]):
+        for n, x in enumerate((t or "").split("\n") if t is not None else []):
+            if x.strip():
+                first.setdefault(x.strip(), (d, n))
+    later, links = set(), Counter()
+    known = [x for x in first if len(x) >= 20]
+    for i, a in enumerate(known):
+        for b in known[:i]:
+            if distance(a, b) <= most:
+                links[a] += 1
+                links[b] += 1
+                later.add(max(a, b, key=first.get))
+    want = []
+    for d, t in given:
+        keep, exact, near, n_links = [], 0, 0, 0
+        for n, x in enumerate(t.split("\n") if t is not None else []):
+            s = x.strip()
+            n_links += links[s]
+            if s and s in later:
+                near += 1
+            elif s and first[s] != (d, n):
+                exact += 1
+            else:
+                keep.append(x)
+        want.append((d, None if t is None else "\n".join(keep), exact, near, n_links))
+    assert later and any(r[2] for r in want)
+    df = spark.createDataFrame(given, "doc_id long, text string").withColumn("N_EXACT", F.lit("clash"))
+    got = linededup.dedup_lines(df, most=most).select("doc_id", "text", "n_exact", "n_near", "n_links").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
+
+
+def test_line_dedup_edges(docs, rows, empty):
+    got = linededup.dedup_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_exact", "n_near", "n_links"] and got.count() == len(rows)
+    assert got.where("text is null").count() == sum(r[1] is None for r in rows)
+    assert linededup.dedup_lines(empty).count() == 0
+
+
+def test_mixing_meets_its_targets(spark):
+    rnd = random.Random(4)
+    given = [(i, "x" * rnd.randrange(50, 150), "en", "big" if i % 3 else rnd.choice(["a", "b"]), 0) for i in range(3000)]
+    df = spark.createDataFrame(given, DDL)
+    out = mixing.mix(df, mixing.rates(df, {"big": 1, "a": 2, "b": 1, "none": 9}))
+    chars = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(F.length("text")).alias("n")).collect()}
+    total = sum(len(r[1]) for r in given)
+    for name, share in (("big", 0.25), ("a", 0.5), ("b", 0.25)):
+        assert abs(chars[name] / total - share) < 0.05
+    per = Counter(r["doc_id"] for r in out.collect())
+    rate = {r["source"]: r["rate"] for r in mixing.rates(df, {"big": 1, "a": 2, "b": 1}).collect()}
+    for d, _, _, s, _ in given[:200]:
+        assert per[d] == poisson(rate[s], d)
+
+
+def poisson(rate: float, doc) -> int:
+    import math
+
+    draws = math.ceil(rate / mixing.PART)
+    mean, n = rate / draws, 0
+    for j in range(1, draws + 1):
+        u = int(hashlib.sha256(f"{mixing.SEED}:{'null' if doc is None else doc}:{j}".encode()).hexdigest()[:13], 16) / 2**52
+        p = total = math.exp(-mean)
+        k = 0
+        while total <= u:
+            k += 1
+            p *= mean / k
+            total += p
+        n += k
+    return n
+
+
+def test_mixing_edges(spark, docs, rows, empty):
+    out = mixing.mix(docs.withColumn("rate", F.lit("clash")), mixing.rates(docs))
+    assert out.columns == [*docs.columns, "copy", "rate", "shuffle_key"]
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(r[1] or "")
+    rate = {s: sum(sizes.values()) / len(sizes) / n for s, n in sizes.items()}
+    want = Counter((r[0], r[1], c) for r in rows for c in range(1, poisson(rate[r[3]], r[0]) + 1))
+    assert Counter((r["doc_id"], r["text"], r["copy"]) for r in out.collect()) == want
+    assert mixing.mix(empty, mixing.rates(empty)).count() == 0
+    many = spark.createDataFrame([(i, "x", "en", "tiny", 1) for i in range(20)], DDL)
+    got = Counter(r["doc_id"] for r in mixing.mix(many, mixing.rates(many, total=2000)).collect())
+    assert got == Counter({i: poisson(100.0, i) for i in range(20)})
+
+
+def test_simhash(spark, docs, rows, empty):
+    import xxhash
+
+    def fingerprint(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", lowered(t))
+        s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 3 else [" ".join(w)] * bool(w)
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    got = simhash.near_duplicates(docs.withColumn("fp", F.lit(1))).collect()
+    fps = {}
+    for r in rows:
+        fps.setdefault(fingerprint(r[1]), []).append(r[0])
+    want = components({f: min((i for i in ids if i is not None), default=None) for f, ids in fps.items()})
+    assert sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got), key=lambda r: key(*r)) == sorted(((r[0], f"{fingerprint(r[1]):016x}", want[fingerprint(r[1])]) for r in rows), key=lambda r: key(*r))
+    assert simhash.near_duplicates(empty).count() == 0
+    kept = [r["doc_id"] for r in simhash.keep_one(docs).collect()]
+    assert sorted(x for x in kept if x is not None) == sorted(r[0] for r in rows if r[0] is not None and want[fingerprint(r[1])] == r[0])
+
+
+def components(least: dict[int, int | None]) -> dict[int, int | None]:
+    label = dict(least)
+    changed = True
+    while changed:
+        changed = False
+        for a in label:
+            for b in label:
+                if label[a] is not None and label[b] is not None and (a ^ b).bit_count() <= 2 and label[b] < label[a]:
+                    label[a], changed = label[b], True
+    return label
+
+
+def test_simhash_links_find_all_pairs_within_two_bits(spark):
+    rnd = random.Random(9)
+    fps = {rnd.getrandbits(64) for _ in range(30)} | {0, (1 << 64) - 1, 1, 3, 7, 15, 1 << 63}
+    for f in list(fps)[:25]:
+        for _ in range(6):
+            g = f
+            for b in rnd.sample(range(64), rnd.randrange(1, 4)):
+                g ^= 1 << b
+            fps.add(g)
+    nodes = sorted(fps)
+    df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(nodes)], "node long, fp long")
+    for segments in (8, 16):
+        got = {tuple(r) for r in simhash.links(df, 2, segments).collect()}
+        assert got == {(i, j) for i, f in enumerate(nodes) for j in range(i) if (f ^ nodes[j]).bit_count() <= 2}
+    label = components(dict(zip(nodes, range(len(nodes)), strict=True)))
+    from factloom.llm.components import components as connect
+
+    found = {r["node"]: r["component"] for r in connect(simhash.links(df)).collect()}
+    assert {i: found.get(i, i) for i in range(len(nodes))} == {i: label[f] for i, f in enumerate(nodes)}
+
+
+def test_quality(spark, docs, rows, empty):
+    rnd = random.Random(6)
+    good = [(i, words(rnd, 60), "en", f"s{i % 4}", 0) for i in range(300)]
+    bad = [(i, " ".join([words(rnd, 1)] * 60) if i % 2 else re.sub(" ", " ###", words(rnd, 60)), "fr", f"s{i % 5}", 0) for i in range(300, 400)]
+    df = spark.createDataFrame([*good, *bad, *[r for r in rows if r[0] is None]], DDL)
+    labels = spark.createDataFrame([(r[0], float(r[0] < 300)) for r in good[:150] + bad[:50]] + [(1, None), (None, 1.0), (5, 1.0)], "id long, good double")
+    out = quality.classify(df.withColumn("keep", F.lit("clash")), labels)
+    got = {r["doc_id"]: r["keep"] for r in out.collect()}
+    assert all(got[r[0]] for r in good) and not any(got[r[0]] for r in bad)
+    assert out.count() == len(good) + len(bad) + 2
+    none = spark.createDataFrame([], "id long, good double")
+    assert {r["keep"] for r in quality.classify(docs, none).collect()} <= {True, False}
+    assert quality.classify(docs, none).count() == len(rows) and quality.classify(empty, labels).count() == 0
+
+
+def test_quality_shrinks_sparse_sites(spark):
+    scored = spark.createDataFrame([(i, "big", "p", 0.0) for i in range(400)] + [(1000 + i, "poor", "p", 0.0) for i in range(400)] + [(2000, "tiny", "p", 0.0), (2001, None, None, 0.0)], "id long, site string, path string, llr double")
+    labels = spark.createDataFrame([(i, float(i % 10 > 0)) for i in range(400)] + [(1000 + i, float(i % 10 > 6)) for i in range(400)] + [(2000, 0.0)], "id long, good double")
+    rate = {r["site"]: r["path_rate"] for r in quality.posteriors(scored, labels, None).collect()}
+    assert abs(rate["big"] - 0.9) < 0.05 and abs(rate["poor"] - 0.3) < 0.05 and rate["poor"] < rate["tiny"] < rate["big"]
+
+
+def test_langid(spark, docs, rows, empty):
+    rnd = random.Random(8)
+    letters = {"aa": "abcde", "bb": "efghi", "cc": "ijklm"}
+    texts = [(i, " ".join("".join(rnd.choice(a) for _ in range(rnd.randrange(2, 8))) for _ in range(40)), lang, "s", 0) for i, (lang, a) in enumerate([*letters.items()] * 40)]
+    df = spark.createDataFrame([*texts, (900, None, "aa", "s", 0), (901, "12 !!", "bb", "s", 0), (902, "abc", None, "s", 0)], DDL)
+    learned = langid.learn(df.where(~langid.held_out(df)), sample=30)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df, learned).collect()}
+    assert all(got[r[0]][0] == r[2] for r in texts) and got[900] == got[901] == ("und", 0.0)
+    assert all(0 <= s <= 1 for _, s in got.values())
+    nothing = langid.learn(empty)
+    assert {r["lang_pred"] for r in langid.identify(docs, nothing).collect()} == {"und"} and langid.identify(empty, learned).count() == 0
+    assert langid.identify(docs, learned).count() == len(rows)
+    want = {r[0]: r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 == 2 for r in rows}
+    assert {r[0]: r[1] for r in docs.select("doc_id", langid.held_out(docs)).collect()} == want
+
+
+def test_out_of_place_distance():
+    p = langid.Profiles({"x": [1, 2, 3], "y": [3, 2, 9]}, 3)
+    assert p.langs == ["x", "y"] and p.ranks[:-1].tolist() == [[0, -1], [1, 1], [2, 0], [-1, 2]]
+    ids, counts = langid.ngrams("Ab ab")
+    assert counts.sum() == 4 + 6 + 4 and len(ids) == 2 + 3 + 2  # letters; pairs and triples with a boundary at either end
+
+
+def judged(url, rules=urlfilter.RULES):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = ("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[1]), m[2]) if m else ("", "")
+    fits = [(len(h + p), h + p, a) for a, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=None)
+    return host, path, best and best[1], best and best[2]
+
+
+def test_url_rules(spark):
+    urls = [None, "", "no scheme", "http://COM/en/", "http://a.com/en/1?x#y", "https://example.com/en/77", "x://notexample.com/en/7", "http://b.example.net/de/8", "http://net/de/9", "http://org?/es/", "http://É.org/es/a://b", "http://a.org/es/\nx", "://", "http://u@a.com:80/en/"]
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate([*urls, urls[4]])], "page_id long, url string, host string")
+    mined = urlfilter.mine(pages, spark.createDataFrame([], "id long, bad boolean"))
+    for r in urlfilter.judge(pages, mined).collect():
+        host, path, rule, verdict = judged(([*urls, urls[4]])[r["page_id"]])
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict or "allow")
+    assert urlfilter.judge(pages.where("false"), mined).count() == 0
+
+
+def test_mined_url_rules(spark):
+    rnd = random.Random(1)
+    hosts = ["good.example.com", "mixed.example.com", "bad.example.com"]
+    rows = [(i, f"http://{rnd.choice(hosts)}/{rnd.choice(['news', 'promo', 'x'])}/{i}?{rnd.choice(['id', 'ref'])}=1") for i in range(900)]
+    is_bad = lambda u: "bad." in u or ("mixed." in u and "/promo/" in u)
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, is_bad(u)) for i, u in rows if i < 600] + [(None, True), (5, None)], "id long, bad boolean")
+    mined = urlfilter.mine(pages, labels, support=0.01, confidence=0.9)
+    kept = {tuple(r["rule"]) for r in mined.collect()}
+    assert ("d:bad.example.com",) in kept and ("d:mixed.example.com", "p:promo") in kept
+    assert not any(len(r) > 1 and "d:bad.example.com" in r for r in kept)  # longer rules that are no surer go
+    for r in urlfilter.judge(pages, mined, rules=()).collect():
+        assert (r["verdict"] == "block") == is_bad(rows[r["page_id"]][1])
