@@ -315,5 +315,5 @@ def merged(declared: DataFrame) -> DataFrame:
     once = F.aggregate(flat, F.slice(flat, 1, 0), lambda a, x: F.when(F.exists(a, lambda y: F.lower(y["c"]["name"]) == F.lower(x["c"]["name"])), a).otherwise(F.array_append(a, x)))
     return listed.select(
         "repo", "table", F.array_join(F.array_distinct(F.transform("d", lambda x: x["source"])), "+").alias("source"), F.element_at("d", 1)["path"].alias("path"), F.element_at("d", 1)["line"].alias("line"),
-        once.alias("columns"), F.flatten(F.transform("d", lambda x: x["values_of"])).alias("values_of"),
+        F.transform(once, lambda x: x["c"]).alias("columns"), F.flatten(F.transform("d", lambda x: x["values_of"])).alias("values_of"),
     )
