@@ -27,7 +27,9 @@ from factloom.llm.common import map_arrow, without
 #: Bytes of a word from which the round-by-round form is used.
 LONG = 128
 #: Words that each of a worker's two generations remembers; its memory is bounded by this, whatever the input.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Bytes of text that are encoded and decoded at a time.
+SLICE = 1 << 20
 #: Distinct words that one recursive query takes.
 WORDS = 20_000
 
@@ -101,7 +103,7 @@ class Codec:
                     pairs.append(left << 32 | right)
                     merged.append(rank)
         # No temporary folder: slices are bounded, so nothing has to leave memory.
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         given = pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int32())})
         tokens = pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(self.ranks, pa.binary())})
         self.con.register("given", given)
@@ -238,7 +240,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep_ids:
 
     kinds = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return map_arrow(df, each, f"{schema}, {kinds}", text)
+    return map_arrow(df, each, f"{schema}, {kinds}", text, SLICE)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

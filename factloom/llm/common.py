@@ -85,12 +85,12 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         begin = end
 
 
-def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
-    """`each` over bounded slices of every partition, as one Arrow-to-Arrow pass without a shuffle."""
+def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text", most: int = 4 << 20) -> DataFrame:
+    """`each` over slices of about `most` bytes of every partition, as one Arrow-to-Arrow pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, most):
                 yield each(part)
 
     return df.mapInArrow(run, schema)
