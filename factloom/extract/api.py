@@ -87,7 +87,7 @@ def auth_of(name: str) -> tuple[str, str] | None:
         return "scope", name
     if re.search(r"api_?key", low):
         return "api-key", name
-    return ("authenticated", name) if re.search(r"auth|jwt|login|current_?user|session|token|require_?(?:user|customer)|principal", low) else None
+    return ("authenticated", name) if re.search(r"auth|jwt|login|current_?user|session|token|^require_?(?:user|customer|member|account|owner|permission)|principal", low) else None
 
 
 def excluded(path: str) -> str | None:
@@ -351,6 +351,9 @@ def _script(unit: Unit, files: dict[str, str]) -> None:
             parts = [p.strip() for _, p in split_top(src.code[opened + 1 : end])]
             handler = re.match(r"(?:async\s+)?([\w$.]+)$", parts[-1])
             auth = [a for a in (auth_of(p.split("(")[0]) for p in parts[1:-1]) if a]
+            named = next((s for s in symbols if handler and s["name"] == handler[1].split(".")[-1] and s["kind"] in ("function", "method")), None)
+            if named:  # a handler of this file that the route names
+                body += "\n" + "\n".join(text.split("\n")[named["start_line"] - 1 : named["end_line"]])
             errors = [int(s) for s in re.findall(r"(?:status|code)\s*\(\s*([45]\d\d)|,\s*([45]\d\d)\s*\)", body) for s in s if s]
             ok = re.search(r"(?:status|code|sendStatus)\s*\(\s*(2\d\d)|,\s*(2\d\d)\s*\)", body)
             request = re.search(r"(\w+?)(?:Schema)?\.(?:parse|safeParse|parseAsync)\s*\(\s*(?:req|request|c\.req|ctx)", body) or re.search(r"Request<[^<>]*?,[^<>]*?,\s*(\w+)", body)

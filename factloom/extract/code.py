@@ -89,7 +89,7 @@ _DECLARED = {
     "TypeScript": [("function", r"(?P<pub>export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s+(?P<name>\w+)\s*(?:<[^{;(]*>)?(?P<p>\()"), ("function", r"(?P<pub>export\s+)?(?:const|let)\s+(?P<name>\w+)(?:\s*:[^=\n]+)?\s*=\s*(?:async\s*)?(?:<[^(]*>)?(?P<p>\()(?=[^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^=\n]+)?=>)"), ("class", r"(?P<pub>export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+(?P<name>\w+)"), ("interface", r"(?P<pub>export\s+)?interface\s+(?P<name>\w+)"), ("enum", r"(?P<pub>export\s+)?(?:const\s+)?enum\s+(?P<name>\w+)"), ("type", r"(?P<pub>export\s+)?type\s+(?P<name>\w+)\s*(?:<[^=]*>)?="), ("method", r"(?m)^[ \t]+(?:(?:public|private|protected|static|async|override)\s+)*(?P<name>(?!if|for|while|switch|return|catch|function|constructor)\w+)\s*(?:<[^(]*>)?(?P<p>\()(?=[^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^={;\n]+)?\{)")],
     "Java": [("class", r"(?P<pub>public\s+)?(?:(?:abstract|final|static|sealed)\s+)*(?:class|record)\s+(?P<name>\w+)"), ("interface", r"(?P<pub>public\s+)?(?:sealed\s+)?interface\s+(?P<name>\w+)"), ("enum", r"(?P<pub>public\s+)?enum\s+(?P<name>\w+)"), ("method", r"(?m)^[ \t]+(?P<pub>public\s+)?(?:(?:protected|private|static|final|abstract|synchronized|default)\s+)*(?:<[^>]*>\s+)?(?!return|new|throw|else)[\w.]+(?:<[^;{}()]*>)?(?:\[\])*\s+(?P<name>(?!if|for|while|switch|catch)\w+)\s*(?P<p>\()")],
     "Kotlin": [("class", r"(?:(?P<pub>public)\s+|(?:private|internal|open|abstract|data|sealed|enum|annotation|inner|value)\s+)*(?:class|object)\s+(?P<name>\w+)"), ("interface", r"interface\s+(?P<name>\w+)"), ("function", r"(?:(?:public|private|internal|override|suspend|inline|open|protected|operator)\s+)*fun\s+(?:<[^>]*>\s*)?(?:[\w.<>?]+\.)?(?P<name>\w+)\s*(?P<p>\()")],
-    "C#": [("class", r"(?P<pub>public\s+)?(?:(?:internal|private|protected|abstract|sealed|static|partial)\s+)*(?:class|record(?:\s+struct)?|struct)\s+(?P<name>\w+)"), ("interface", r"(?P<pub>public\s+)?(?:partial\s+)?interface\s+(?P<name>\w+)"), ("enum", r"(?P<pub>public\s+)?enum\s+(?P<name>\w+)"), ("method", r"(?m)^[ \t]+(?P<pub>public\s+)?(?:(?:internal|private|protected|static|virtual|override|async|sealed|abstract)\s+)+(?!class|record|struct|interface|enum|new)[\w.]+(?:<[^;{}()]*>)?\??(?:\[\])*\s+(?P<name>\w+)\s*(?:<[^>(]*>)?(?P<p>\()")],
+    "C#": [("class", r"(?P<pub>public\s+)?(?:(?:internal|private|protected|abstract|sealed|static|partial)\s+)*(?:class|record(?:\s+struct)?|struct)\s+(?P<name>\w+)"), ("interface", r"(?P<pub>public\s+)?(?:partial\s+)?interface\s+(?P<name>\w+)"), ("enum", r"(?P<pub>public\s+)?enum\s+(?P<name>\w+)"), ("method", r"(?m)^[ \t]+(?:(?P<pub>public)|internal|private|protected|static)\s+(?:(?:internal|protected|static|virtual|override|async|sealed|abstract|new|partial)\s+)*(?!class|record|struct|interface|enum|new)[\w.]+(?:<[^;{}()]*>)?\??(?:\[\])*\s+(?P<name>\w+)\s*(?:<[^>(]*>)?(?P<p>\()")],
 }
 _DECLARED["JavaScript"] = _DECLARED["TypeScript"]
 _IMPORTS = {

@@ -199,4 +199,6 @@ def propagate_labels(nodes: DataFrame, edges: DataFrame, graph: str, rounds: int
                 break
         return left.assign(label=[label[n] for n in left["node"]])
 
-    return nodes.groupBy(graph).cogroup(edges.groupBy(graph)).applyInPandas(spread, nodes.schema)
+    # columns under fresh names: both tables may come from one, which a co-group can't tell apart
+    left, right = nodes.toDF(*[f"_{c}" for c in nodes.columns]).toDF(*nodes.columns), edges.toDF(*[f"_{c}" for c in edges.columns]).toDF(*edges.columns)
+    return left.groupBy(graph).cogroup(right.groupBy(graph)).applyInPandas(spread, nodes.schema)
