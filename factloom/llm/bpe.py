@@ -27,27 +27,35 @@ from factloom.llm.common import map_arrow, without
 #: Bytes of a word from which the round-by-round form is used.
 LONG = 128
 #: Words that each of a worker's two generations remembers; its memory is bounded by this, whatever the input.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Bytes of text that are encoded and decoded at a time.
-SLICE = 1 << 20
+SLICE = 2 << 20
 #: Distinct words that one recursive query takes.
 WORDS = 20_000
 
+#: A row holds its token, the token and position to its right, and the rank of the pair they make. A round takes each
+#: word's least pair (rank, then position), drops its right row, and looks up only the two pairs that change.
 RECURSIVE = """
-WITH RECURSIVE step(word, pos, tok, done) AS (
-  SELECT word, pos, tok, false FROM start
+WITH RECURSIVE step(word, pos, tok, right_tok, right_pos, rank, done) AS (
+  SELECT s.word, s.pos, s.tok, s.right_tok, s.right_pos, m.merged, false
+  FROM start s LEFT JOIN merges m ON m.pair = s.tok::BIGINT * 4294967296 + s.right_tok
   UNION ALL
-  (WITH pair AS (
-     SELECT word, pos, tok, lead(tok) OVER w AS right_tok, lead(pos) OVER w AS right_pos
-     FROM step WHERE NOT done WINDOW w AS (PARTITION BY word ORDER BY pos)),
-   least AS (
-     SELECT word, min(m.merged::BIGINT * 1048576 + p.pos * 1024 + p.right_pos) AS packed
-     FROM pair p JOIN merges m ON m.pair = p.tok::BIGINT * 4294967296 + p.right_tok GROUP BY word)
-   SELECT s.word, s.pos,
-          CASE WHEN (packed >> 10) & 1023 = s.pos THEN (packed >> 20)::INTEGER ELSE s.tok END,
-          packed IS NULL
-   FROM step s LEFT JOIN least USING (word)
-   WHERE NOT s.done AND (packed IS NULL OR s.pos <> (packed & 1023))))
+  (WITH least AS (
+     SELECT word, min(rank::BIGINT * 1048576 + pos * 1024 + right_pos) AS packed
+     FROM step WHERE NOT done AND rank IS NOT NULL GROUP BY word),
+   pair AS (
+     SELECT l.word, (packed >> 10) & 1023 AS here, packed & 1023 AS gone, (packed >> 20)::INTEGER AS merged,
+            s.right_tok AS next_tok, s.right_pos AS next_pos
+     FROM step s JOIN least l ON l.word = s.word AND s.pos = (packed & 1023)),
+   moved AS (
+     SELECT s.word, s.pos, CASE WHEN s.pos = here THEN merged ELSE s.tok END AS tok,
+            CASE WHEN s.pos = here THEN next_tok WHEN s.right_pos = here THEN merged ELSE s.right_tok END AS right_tok,
+            CASE WHEN s.pos = here THEN next_pos ELSE s.right_pos END AS right_pos,
+            s.pos = here OR s.right_pos = here AS changed, s.rank, here IS NULL AS done
+     FROM step s LEFT JOIN pair USING (word)
+     WHERE NOT s.done AND (here IS NULL OR s.pos <> gone))
+   SELECT v.word, v.pos, v.tok, v.right_tok, v.right_pos, CASE WHEN changed THEN m.merged ELSE v.rank END, v.done
+   FROM moved v LEFT JOIN merges m ON m.pair = CASE WHEN changed THEN v.tok::BIGINT * 4294967296 + v.right_tok END))
 SELECT word, list(tok ORDER BY pos) AS ids FROM step WHERE done GROUP BY word ORDER BY word"""
 
 #: One round over long words; position gaps are kept, so neighbours are found by row number.
@@ -78,7 +86,8 @@ SELECT w.word, w.pos, coalesce(t.merged, w.tok) AS tok
 FROM long_words w LEFT JOIN taken t ON t.word = w.word AND t.pos = w.pos
 WHERE NOT EXISTS (SELECT 1 FROM taken d WHERE d.word = w.word AND d.rpos = w.pos)"""
 
-DECODE = "SELECT doc, list(bytes ORDER BY pos) AS parts FROM ids JOIN vocabulary USING (tok) GROUP BY doc ORDER BY doc"
+#: The bytes of a slice's ids in order of document and position; documents are cut from it where their ids end.
+DECODE = "SELECT list(bytes ORDER BY pos) AS parts FROM ids JOIN vocabulary USING (tok)"
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -120,8 +129,10 @@ class Codec:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer(b"".join(words), np.uint8)
         word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-        pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return pa.table({"word": word, "pos": pos.astype(np.int32), "tok": self.byte[flat]})
+        pos = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        tok, last = self.byte[flat], np.append(word[1:] != word[:-1], True)[: len(flat)]
+        to_right = {"right_tok": pa.array(np.append(tok[1:], 0)[: len(flat)], pa.int32(), mask=last), "right_pos": pa.array(np.append(pos[1:], 0)[: len(flat)], pa.int32(), mask=last)}
+        return pa.table({"word": word, "pos": pos, "tok": tok, **to_right})
 
     def _contract(self, words: list[bytes]) -> Iterator[bytes]:
         import numpy as np
@@ -134,7 +145,7 @@ class Codec:
 
     def _contract_long(self, word: bytes) -> bytes:
         self.con.register("given", self._rows([word]))
-        self.con.execute("CREATE OR REPLACE TEMP TABLE long_words AS SELECT * FROM given")
+        self.con.execute("CREATE OR REPLACE TEMP TABLE long_words AS SELECT word, pos, tok FROM given")
         left = len(word)
         while True:
             self.con.execute(f"CREATE OR REPLACE TEMP TABLE next_words AS {ROUND}")
@@ -179,19 +190,17 @@ class Codec:
         """The bytes of each list of ids."""
         import numpy as np
 
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-        pos = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-        self.con.register("ids", pa.table({"doc": doc, "pos": pos, "tok": flat}))
-        out, result = [b""] * len(ids), self.con.sql(DECODE).to_arrow_table()
-        parts = result.column("parts").combine_chunks()
-        at, joined = parts.offsets.to_pylist(), parts.values
+        if not len(flat):
+            return [b""] * len(ids)
+        self.con.register("ids", pa.table({"pos": np.arange(len(flat), dtype=np.int32), "tok": flat}))
+        joined = self.con.sql(DECODE).to_arrow_table().column("parts").combine_chunks().values
+        if len(joined) != len(flat):
+            raise ValueError("an id isn't in the vocabulary")
         ends = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset : joined.offset + len(joined) + 1]
         data = memoryview(joined.buffers()[2] or b"")
-        for doc_no, begin, end in zip(result.column("doc").to_pylist(), at[:-1], at[1:], strict=True):
-            out[doc_no] = bytes(data[ends[begin] : ends[end]])  # the parts of a list lie side by side, in order
-        return out
+        at = ends[np.cumsum([0, *(len(i) // 4 for i in ids)])].tolist()
+        return [bytes(data[begin:end]) for begin, end in zip(at, at[1:], strict=False)]
 
 
 _codecs: dict[str, Codec] = {}
