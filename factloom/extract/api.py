@@ -16,7 +16,7 @@ from factloom.sources.schemas import close, split_top
 
 OPERATION = (
     "file string, line int, framework string, method string, path string, path_partial boolean, handler string, params array<struct<name:string,location:string,type_name:string,required:boolean>>, "
-    "request_type string, response_type string, collection boolean, success_status int, errors array<int>, auth array<struct<kind:string,detail:string>>, summary string"
+    "request_type string, response_type string, response_fields array<string>, collection boolean, success_status int, errors array<int>, auth array<struct<kind:string,detail:string>>, summary string"
 )
 CALL = "file string, line int, method string, path string, target_host string, caller string, reads array<string>, response_type string"
 VERBS = ("get", "post", "put", "patch", "delete", "head", "options")
@@ -143,7 +143,7 @@ class Unit:
                 kind, many = unwrap(r.get("response"))
                 out.append({
                     "file": r["file"], "line": r["line"], "framework": r["framework"], "method": r["method"], "path": path, "path_partial": partial, "handler": r.get("handler"), "params": [*params, *r.get("params", [])], "request_type": unwrap(r.get("request"))[0],
-                    "response_type": kind, "collection": many, "success_status": r.get("status") or (200 if kind else None), "errors": sorted(set(r.get("errors", []))), "auth": [{"kind": k, "detail": d} for k, d in auth], "summary": r.get("summary"),
+                    "response_type": kind, "response_fields": r.get("answers") or [], "collection": many, "success_status": r.get("status") or (200 if kind else None), "errors": sorted(set(r.get("errors", []))), "auth": [{"kind": k, "detail": d} for k, d in auth], "summary": r.get("summary"),
                 })
         return out
 
@@ -256,8 +256,10 @@ def _python(unit: Unit, files: dict[str, str]) -> None:
                 raised = [status_of(ast.unparse(c.args[0] if c.args else next((k.value for k in c.keywords if k.arg == "status_code"), c))) for c in ast.walk(f) if isinstance(c, ast.Call) and ast.unparse(c.func).split(".")[-1] in ("HTTPException", "abort")]
                 response = ast.unparse(kw["response_model"]) if "response_model" in kw else ast.unparse(f.returns) if f.returns and not flask else None
                 status = status_of(ast.unparse(kw["status_code"])) if "status_code" in kw else None
+                given = [x.value for x in ast.walk(f) if isinstance(x, ast.Return) and isinstance(x.value, ast.Dict)]
+                answers = list(dict.fromkeys(k.value for d_ in given for k in d_.keys if isinstance(k, ast.Constant) and isinstance(k.value, str)))
                 for method in methods:
-                    unit.route(router(d.func.value), method or "ANY", at, file=path, line=f.lineno, framework="Flask" if flask else "FastAPI", handler=f.name, params=params, request=request, response=response, status=status, errors=[r for r in raised if r], auth=auth, summary=(ast.get_docstring(f) or "").split("\n")[0] or None)
+                    unit.route(router(d.func.value), method or "ANY", at, file=path, line=f.lineno, framework="Flask" if flask else "FastAPI", handler=f.name, params=params, request=request, response=response, status=status, errors=[r for r in raised if r], auth=auth, answers=answers, summary=(ast.get_docstring(f) or "").split("\n")[0] or None)
         owner = lambda line: min((f for f in ast.walk(tree) if isinstance(f, ast.FunctionDef | ast.AsyncFunctionDef) and f.lineno <= line <= f.end_lineno), key=lambda f: f.end_lineno - f.lineno, default=None)
         for c in ast.walk(tree):
             if isinstance(c, ast.Call) and isinstance(c.func, ast.Attribute) and c.func.attr in VERBS and c.args:
@@ -357,8 +359,13 @@ def _script(unit: Unit, files: dict[str, str]) -> None:
             errors = [int(s) for s in re.findall(r"(?:status|code)\s*\(\s*([45]\d\d)|,\s*([45]\d\d)\s*\)", body) for s in s if s]
             ok = re.search(r"(?:status|code|sendStatus)\s*\(\s*(2\d\d)|,\s*(2\d\d)\s*\)", body)
             request = re.search(r"(\w+?)(?:Schema)?\.(?:parse|safeParse|parseAsync)\s*\(\s*(?:req|request|c\.req|ctx)", body) or re.search(r"Request<[^<>]*?,[^<>]*?,\s*(\w+)", body)
+            answers = []
+            for j in re.finditer(r"(?:(?:status|code)\s*\(\s*(\d+)\s*\)\s*)?\.\s*(?:json|send)\s*\(\s*\{", body):
+                tail = body[close(body, j.end() - 1, "{}") :][:20]
+                if (j[1] or re.match(r"\}\s*,\s*(\d+)", tail) and re.match(r"\}\s*,\s*(\d+)", tail)[1] or "200") < "400":
+                    answers += [k[1] for _, part in split_top(body[j.end() : close(body, j.end() - 1, "{}")]) if (k := re.match(r"\s*[\"']?(\w+)", part))]
             query = [{"name": n, "location": "query", "type_name": None, "required": False} for n in dict.fromkeys(re.findall(r"\breq(?:uest)?\.query\.(\w+)", body))]
-            unit.route(local(m[1]) if m[1] in names or m[1] in imported else None, "ANY" if m[2] == "all" else m[2], at, file=path, line=src.line(m.start(2)), framework=framework or "Express", handler=handler and handler[1], params=query, request=request and request[1], status=int(ok[1] or ok[2]) if ok else None, errors=errors, auth=auth, summary=src.doc(src.line(m.start())))
+            unit.route(local(m[1]) if m[1] in names or m[1] in imported else None, "ANY" if m[2] == "all" else m[2], at, file=path, line=src.line(m.start(2)), framework=framework or "Express", handler=handler and handler[1], params=query, request=request and request[1], status=int(ok[1] or ok[2]) if ok else None, errors=errors, auth=auth, answers=list(dict.fromkeys(answers)), summary=src.doc(src.line(m.start())))
         for c in re.finditer(r"@Controller\s*\(\s*", src.code):
             base = src.literal(c.end()) or ""
             after = re.compile(r"class\s+\w+[^{]*\{").search(src.code, c.end())

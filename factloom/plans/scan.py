@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.extract import api, code, data, events
+from factloom.extract import models as shapes
 from factloom.operators import aggregates, joins, sets
 from factloom.operators.cut import cut
 from factloom.plans import states
@@ -35,6 +36,7 @@ class Model:
     infra: DataFrame
     relationships: DataFrame
     operations: DataFrame
+    models: DataFrame
     excluded: DataFrame
     client_calls: DataFrame
     entities: DataFrame
@@ -168,14 +170,15 @@ def scan(files: DataFrame) -> Model:
     access = cut(access.unionByName(_orm_access(files.where(is_source & ~is_migration), owners, mapped), allowMissingColumns=True))
     found = cut(_own(extract(files, events.events, events.EVENT, is_source), owners).where("error is null"))
 
-    calls = _client_calls(calls, operations)
+    shaped = cut(_models(_own(extract(files, shapes.models, shapes.MODEL, is_source), owners).where("error is null")))
+    calls = cut(_client_calls(calls, operations, shaped))
     services = cut(_by_repo(deploy.compose_services(files)))
     kinds = _kinds(units, owned, uses, found, files)
     unit_table = cut(_unit_table(units, owned, kinds, services))
     infra, relationships = _relationships(unit_table, uses, access, found, calls, services)
     machines, moves = _states(entities, access)
     return Model(
-        files=files.join(owners, ["repo", "path"], "left").select("repo", "path", "unit"), facts=owned, units=unit_table, infra=infra, relationships=relationships, operations=operations, excluded=left_out, client_calls=calls,
+        files=files.join(owners, ["repo", "path"], "left").select("repo", "path", "unit"), facts=owned, units=unit_table, infra=infra, relationships=relationships, operations=operations, models=_reachable(operations, shaped), excluded=left_out, client_calls=calls,
         entities=entities.drop("code_names"), accesses=access, state_machines=machines, transitions=moves, events=found, flows_input=owned.select("repo", "unit", "path", "symbols", "calls"),
     )
 
@@ -236,14 +239,58 @@ def _orm_access(files: DataFrame, owners: DataFrame, mapped: DataFrame) -> DataF
     return _own(given.mapInArrow(run, schema), owners)
 
 
-def _client_calls(calls: DataFrame, operations: DataFrame) -> DataFrame:
-    """Calls with the operation that each reaches, its unit, and the drift of what the caller reads."""
+def _models(found: DataFrame) -> DataFrame:
+    """id, unit, name, fields of each unit's shapes: the first definition in path order; parents' fields come first.
+
+    A field of a child replaces its parent's of that name and moves to the end; up to four generations are followed.
+    """
+    first = F.row_number().over(Window.partitionBy("repo", "unit", "name").orderBy("path", "line"))
+    own = found.withColumn("_r", first).where("_r = 1").select("repo", "unit", "name", "path", "line", "fields", "parents")
+    out = own.withColumn("above", F.col("parents"))
+    for _ in range(4):
+        up = own.select("repo", "unit", F.col("name").alias("_p"), F.col("fields").alias("_f"), F.col("parents").alias("_a"))
+        met = out.withColumn("_p", F.element_at(F.when(F.size("above") > 0, F.col("above")), 1)).join(up, ["repo", "unit", "_p"], "left")
+        more = F.filter(F.coalesce("_f", F.slice("fields", 1, 0)), lambda p: ~F.exists("fields", lambda c: c["name"] == p["name"]))
+        out = met.select("repo", "unit", "name", "path", "line", F.concat(more, "fields").alias("fields"), F.coalesce("_a", F.array().cast("array<string>")).alias("above"))
+    return out.select("repo", "unit", F.concat("unit", F.lit(":"), "name").alias("id"), "name", "fields", evidence(F.col("path"), F.col("line"), symbol=F.col("name")).alias("evidence"))
+
+
+def _reachable(operations: DataFrame, shaped: DataFrame) -> DataFrame:
+    """The shapes that requests and responses name, and those that their fields' types name, six deep."""
+    named = operations.select("repo", "unit", F.explode(F.array_compact(F.array("request_type", "response_type"))).alias("name")).distinct()
+    refers = shaped.select("repo", "unit", "name", F.explode("fields").alias("f")).select("repo", "unit", "name", F.explode(F.regexp_extract_all("f.type_name", F.lit(r"([A-Za-z_]\w*)"), F.lit(1))).alias("to")).distinct()
+    known = shaped.select("repo", "unit", F.col("name").alias("to"))
+    edges = refers.join(known, ["repo", "unit", "to"], "left_semi").where("name <> to")
+    seen = front = named
+    for _ in range(6):
+        front = cut(front.join(edges, ["repo", "unit", "name"]).select("repo", "unit", F.col("to").alias("name")).distinct().join(seen, ["repo", "unit", "name"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen = cut(seen.unionByName(front))
+    return cut(shaped.join(seen.distinct(), ["repo", "unit", "name"], "left_semi"))
+
+
+def _client_calls(calls: DataFrame, operations: DataFrame, shaped: DataFrame) -> DataFrame:
+    """Calls with the operation that each reaches, its unit, and the drift: fields the caller reads that the operation's
+    response doesn't declare. Nothing can be said where the response has no known fields, or where the caller's shape is
+    the declared one."""
     numbered = calls.withColumn("call_id", F.concat_ws("\u0001", "repo", "unit", "file", F.col("line").cast("string"), "method", "path"))
     ids = operations.select(F.concat_ws("\u0001", "repo", "id").alias("operation"), F.concat_ws("\u0001", "repo", "unit").alias("unit"), "method", "path", "path_partial")
     asked = numbered.select("call_id", F.concat_ws("\u0001", "repo", "unit").alias("unit"), "method", "path").distinct()
     met = joins.best_match(asked, ids).select("call_id", F.element_at(F.split("operation", "\u0001"), 2).alias("operation"))
-    return numbered.join(met, "call_id", "left").select(
-        "repo", "unit", "method", "path", "target_host", F.substring_index("operation", ":", 1).alias("target_unit"), "operation", "caller", "reads", "response_type", evidence(F.col("file"), F.col("line"), symbol=F.col("caller")).alias("evidence")
+    wire = shaped.select("repo", "unit", "name", F.transform("fields", lambda f: f["name"]).alias("names"))
+    expected = F.regexp_replace("response_type", r"^(?:Promise<|Array<|List<|Vec<|list\[)+|\[\]$|>+$|\]$", "")
+    own = numbered.join(met, "call_id", "left").withColumn("name", expected).join(wire.withColumnRenamed("names", "wanted"), ["repo", "unit", "name"], "left").drop("name")
+    none = F.array().cast("array<string>")
+    own = own.withColumn("reads", F.array_distinct(F.concat(F.coalesce("reads", none), F.coalesce("wanted", none)))).drop("wanted")
+    served = operations.select("repo", F.col("id").alias("operation"), "unit", F.col("response_type").alias("name")).join(wire.withColumnRenamed("names", "fields"), ["repo", "unit", "name"]).select("repo", "operation", "fields")
+    literal = operations.where("response_type is null and size(response_fields) > 0").select("repo", F.col("id").alias("operation"), F.col("response_fields").alias("fields"))
+    served = served.unionByName(literal)
+    scoped = own.withColumn("operation", F.concat_ws("\u0001", "repo", F.coalesce("operation", F.lit("?"))))
+    drifted = sets.drift(scoped, served.select(F.concat_ws("\u0001", "repo", "operation").alias("operation"), "fields"))
+    drifted = drifted.withColumn("operation", F.element_at(F.split("operation", "\u0001"), 2)).withColumn("operation", F.when(F.col("operation") != "?", F.col("operation")))
+    return drifted.select(
+        "repo", "unit", "method", "path", "target_host", F.substring_index("operation", ":", 1).alias("target_unit"), "operation", "caller", "reads", "drift", "response_type", evidence(F.col("file"), F.col("line"), symbol=F.col("caller")).alias("evidence")
     )
 
 

@@ -137,6 +137,37 @@ def lifecycle_checks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ])
 
 
+def entity_checks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Entity diagrams: entities without columns or with too many, references without a cardinality; nodes have `attributes`, a number."""
+    return _all([
+        _found(nodes.where("coalesce(attributes, 0) = 0"), "WARN_ENTITY_WITHOUT_ATTRIBUTES", F.lit("an entity without columns"), F.col("id")),
+        _found(nodes.where(f"attributes > {MAX_ATTRIBUTES}"), "ERR_TOO_MANY_ATTRIBUTES", F.concat(F.col("attributes").cast("string"), F.lit(" columns")), F.col("id")),
+        _found(edges.where("cardinality is null"), "WARN_MISSING_CARDINALITY", F.lit("a reference without a cardinality"), F.col("id")),
+    ])
+
+
+def remedies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """What makes a dense diagram lighter: diagram, saves, text, taken while what the ones before it save is below the excess.
+
+    Nodes with the same neighbours become one; leaves off the primary path go, half the excess of them at most.
+    """
+    from factloom.operators.windows import greedy_cover
+
+    size = nodes.groupBy("diagram").agg(F.count("*").alias("n")).join(edges.groupBy("diagram").agg(F.count("*").alias("e")), "diagram", "full_outer").fillna(0)
+    over = size.withColumn("excess", F.col("n") + F.col("e") - DENSITY_BUDGET).where("excess > 0").select("diagram", "excess")
+    key = lambda c: F.concat_ws("\u0001", "diagram", c)
+    near = graphs.neighbourhoods(edges.select(key("source").alias("src"), key("target").alias("dst")))
+    alike = near.groupBy("neighbours").agg(F.count("*").alias("k"), F.min("node").alias("first")).where("k >= 2")
+    alike = alike.select(F.element_at(F.split("first", "\u0001"), 1).alias("diagram"), ((F.col("k") - 1) * (1 + F.size("neighbours"))).alias("saves"), F.concat(F.col("k").cast("string"), F.lit(" nodes like "), F.element_at(F.split("first", "\u0001"), 2), F.lit(" as one")).alias("text"))
+    main = edges.where("is_primary_path").select("diagram", F.explode(F.array("source", "target")).alias("id")).distinct()
+    degree = graphs.degrees(edges.select(key("source").alias("a"), key("target").alias("b")), "a", "b").select(F.element_at(F.split("node", "\u0001"), 1).alias("diagram"), F.element_at(F.split("node", "\u0001"), 2).alias("id"), "degree")
+    leaves = nodes.join(degree, ["diagram", "id"], "left").where("coalesce(degree, 0) <= 1").join(main, ["diagram", "id"], "left_anti").join(over, "diagram")
+    nth = F.row_number().over(Window.partitionBy("diagram").orderBy("id"))
+    leaves = leaves.withColumn("_n", nth).where(F.col("_n") <= F.ceil(F.col("excess") / 2)).select("diagram", F.lit(2).alias("saves"), F.concat(F.lit("leave out "), "id").alias("text"))
+    every = alike.select("diagram", F.col("saves").cast("long").alias("saves"), "text").unionByName(leaves.select("diagram", F.col("saves").cast("long").alias("saves"), "text")).join(over, "diagram")
+    return greedy_cover(every, ["diagram"], [F.desc("saves"), "text"], "saves", F.col("excess")).select("diagram", "saves", "text")
+
+
 def evidence_checks(cited: DataFrame, files: DataFrame, hunks: DataFrame, pins: DataFrame | None = None) -> DataFrame:
     """`cited` (id, repo, path, start, end, symbol) with the state of each citation, the first that applies.
 
@@ -169,7 +200,7 @@ def validate(containers: DataFrame, nodes: DataFrame, edges: DataFrame, strict:
     of = lambda rows, kind: rows.where(F.col("diagram_type") == kind)
     found = _all([
         id_checks(containers, nodes, edges), container_checks(containers, nodes), edge_checks(nodes, edges), cycle_checks(edges), focus_checks(nodes, edges), density_checks(nodes, edges), label_checks(nodes, edges),
-        sequence_checks(of(nodes, "sequence"), of(edges, "sequence")), lifecycle_checks(of(nodes, "lifecycle"), of(edges, "lifecycle")),
+        sequence_checks(of(nodes, "sequence"), of(edges, "sequence")), lifecycle_checks(of(nodes, "lifecycle"), of(edges, "lifecycle")), entity_checks(of(nodes, "entity-relationship"), of(edges, "entity-relationship")),
     ])
     if strict:
         found = found.withColumn("severity", F.lit("error"))

@@ -138,8 +138,8 @@ def diagram_tables(spark, name: str, text: str):
     kind, place = made["diagramType"], "evidence struct<file_path:string,start_line:int,end_line:int,symbol_name:string,note:string,repo:string>"
     c = spark.createDataFrame([(name, x["id"], x["label"], x["boundaryType"]) for x in made["containers"]], "diagram string, id string, label string, boundary_type string")
     n = spark.createDataFrame(
-        [(name, kind, i, x["id"], x.get("containerId"), x["label"], x.get("subtitle"), x.get("techStack"), x["isKeyFocalPoint"], x.get("stateKind"), ev(x.get("evidence"))) for i, x in enumerate(made["nodes"])],
-        f"diagram string, diagram_type string, pos int, id string, container_id string, label string, subtitle string, tech_stack string, is_key_focal_point boolean, state_kind string, {place}",
+        [(name, kind, i, x["id"], x.get("containerId"), x["label"], x.get("subtitle"), x.get("techStack"), x["isKeyFocalPoint"], x.get("stateKind"), len(x.get("attributes") or ()), ev(x.get("evidence"))) for i, x in enumerate(made["nodes"])],
+        f"diagram string, diagram_type string, pos int, id string, container_id string, label string, subtitle string, tech_stack string, is_key_focal_point boolean, state_kind string, attributes int, {place}",
     )
     e = spark.createDataFrame(
         [(name, kind, i, x["id"], x["source"], x["target"], x.get("label"), x["edgeType"], bool(x.get("isPrimaryPath")), x.get("sequence"), x.get("cardinality"), ev(x.get("evidence"))) for i, x in enumerate(made["edges"])],

@@ -63,7 +63,7 @@ export async function endLoan(id: string) {
   await pool.query("UPDATE loans SET state = 'done' WHERE id = $1 AND state IN ('open', 'late')", [id]);
 }
 """,
-    "desk/src/stock.ts": """interface Copy { shelf: string; }
+    "desk/src/stock.ts": """interface Copy { shelf: string; isbn: string; }
 export async function reserve(book: string): Promise<Copy> {
   const r = await fetch(`http://stock/books/${book}/copies`, { method: "POST" });
   return (await r.json()) as Copy;
@@ -144,7 +144,8 @@ def test_model(model):
     take = ops["stock:POST /books/{book_id}/copies"]
     assert (take["response_type"], take["success_status"], take["errors"], take["confidence"]) == ("CopyOut", 201, [404], "partial")
     assert [(r["operation"], r["reason"]) for r in model.excluded.collect()] == [("desk:GET /healthz", "health / liveness probe")]
-    assert [(r["unit"], r["operation"], r["target_host"]) for r in model.client_calls.collect()] == [("desk", "stock:POST /books/{book_id}/copies", "stock")]
+    assert [(r["unit"], r["operation"], r["target_host"], r["drift"]) for r in model.client_calls.collect()] == [("desk", "stock:POST /books/{book_id}/copies", "stock", ["isbn"])]
+    assert [(r["id"], [f["name"] for f in r["fields"]]) for r in model.models.collect()] == [("stock:CopyOut", ["shelf"])]
     assert {r["table"]: [c["name"] for c in r["columns"]] for r in model.entities.collect()} == {"loans": ["id", "state", "book_id"], "books": ["id", "title"]}
     (machine,) = model.state_machines.collect()
     assert [(s["name"], s["initial"], s["terminal"]) for s in machine["states"]] == [("open", True, False), ("late", False, False), ("done", False, True)]
@@ -171,7 +172,7 @@ def test_two_runs_agree(spark, tree, model):
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
         again = scan.scan(read_tree(spark, tree))
-        for name in ("units", "infra", "relationships", "operations", "client_calls", "entities", "state_machines"):
+        for name in ("units", "infra", "relationships", "operations", "models", "client_calls", "entities", "state_machines"):
             a, b = (sorted(getattr(m, name).toJSON().collect()) for m in (model, again))
             assert a == b, name
         assert scan.diff(model, again).count() == 0
