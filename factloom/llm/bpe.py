@@ -27,9 +27,9 @@ from factloom.llm.common import map_arrow, without
 #: Bytes of a word from which the round-by-round form is used.
 LONG = 128
 #: Words that each of a worker's two generations remembers; its memory is bounded by this, whatever the input.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Bytes of text that are encoded and decoded at a time.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Distinct words that one recursive query takes.
 WORDS = 20_000
 
