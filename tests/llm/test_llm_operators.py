@@ -250,6 +250,28 @@ def test_line_dedup(spark, most):
     assert sorted(map(tuple, got), key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
 
 
+def test_line_dedup_allows_longer_lines_more_edits(spark):
+    rnd = random.Random(21)
+    lines = []
+    for n in (21, 45, 122, 150, 239, 242, 330, 420):
+        base = "".join(rnd.choice("abcdefghij  é") for _ in range(n)).strip()
+        lines.append(base)
+        for edits in (1, 2, 3, n // 40, n // 40 + 1):
+            x = list(base)
+            for k in range(edits):  # spread over the whole line, so that few segments stay whole
+                i = (2 * k + 1) * len(x) // (2 * edits)
+                x[i : i + rnd.randrange(2)] = rnd.choice("XYZ")
+            lines.append("".join(x))
+    lines += ["-" * 200, "-" * 204, "-" * 206, *(" ".join(words(rnd, 30) for _ in range(2)) for _ in range(5))]
+    lines = list(dict.fromkeys(lines))
+    rnd.shuffle(lines)
+    near = {(i, j) for j, b in enumerate(lines) for i, a in enumerate(lines[:j]) if min(len(a), len(b)) >= 20 and abs(len(a) - len(b)) <= 10 and distance(a, b) <= max(2, min(len(a), len(b)) // 40)}
+    assert any(distance(lines[i], lines[j]) > 5 for i, j in near)
+    got = linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == {i: sum(i in p for p in near) for i in range(len(lines))}
+    assert {r["doc_id"] for r in got if r["n_near"]} == {j for _, j in near}
+
+
 def test_line_dedup_edges(docs, rows, empty):
     got = linededup.dedup_lines(docs)
     assert got.columns == [*docs.columns, "n_lines", "n_exact", "n_near", "n_links"] and got.count() == len(rows)
