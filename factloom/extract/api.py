@@ -16,7 +16,7 @@ from factloom.sources.schemas import close, split_top
 
 OPERATION = (
     "file string, line int, framework string, method string, path string, path_partial boolean, handler string, params array<struct<name:string,location:string,type_name:string,required:boolean>>, "
-    "request_type string, response_type string, response_fields array<string>, collection boolean, success_status int, errors array<int>, auth array<struct<kind:string,detail:string>>, summary string"
+    "request_type string, response_type string, response_fields array<string>, collection boolean, success_status int, errors array<int>, auth array<struct<kind:string,detail:string>>, summary string, end_line int"
 )
 CALL = "file string, line int, method string, path string, target_host string, caller string, reads array<string>, response_type string"
 VERBS = ("get", "post", "put", "patch", "delete", "head", "options")
@@ -143,7 +143,7 @@ class Unit:
                 kind, many = unwrap(r.get("response"))
                 out.append({
                     "file": r["file"], "line": r["line"], "framework": r["framework"], "method": r["method"], "path": path, "path_partial": partial, "handler": r.get("handler"), "params": [*params, *r.get("params", [])], "request_type": unwrap(r.get("request"))[0],
-                    "response_type": kind, "response_fields": r.get("answers") or [], "collection": many, "success_status": r.get("status") or (200 if kind else None), "errors": sorted(set(r.get("errors", []))), "auth": [{"kind": k, "detail": d} for k, d in auth], "summary": r.get("summary"),
+                    "response_type": kind, "response_fields": r.get("answers") or [], "collection": many, "success_status": r.get("status") or (200 if kind else None), "errors": sorted(set(r.get("errors", []))), "auth": [{"kind": k, "detail": d} for k, d in auth], "summary": r.get("summary"), "end_line": r.get("end_line"),
                 })
         return out
 
@@ -365,7 +365,7 @@ def _script(unit: Unit, files: dict[str, str]) -> None:
                 if (j[1] or re.match(r"\}\s*,\s*(\d+)", tail) and re.match(r"\}\s*,\s*(\d+)", tail)[1] or "200") < "400":
                     answers += [k[1] for _, part in split_top(body[j.end() : close(body, j.end() - 1, "{}")]) if (k := re.match(r"\s*[\"']?(\w+)", part))]
             query = [{"name": n, "location": "query", "type_name": None, "required": False} for n in dict.fromkeys(re.findall(r"\breq(?:uest)?\.query\.(\w+)", body))]
-            unit.route(local(m[1]) if m[1] in names or m[1] in imported else None, "ANY" if m[2] == "all" else m[2], at, file=path, line=src.line(m.start(2)), framework=framework or "Express", handler=handler and handler[1], params=query, request=request and request[1], status=int(ok[1] or ok[2]) if ok else None, errors=errors, auth=auth, answers=list(dict.fromkeys(answers)), summary=src.doc(src.line(m.start())))
+            unit.route(local(m[1]) if m[1] in names or m[1] in imported else None, "ANY" if m[2] == "all" else m[2], at, file=path, line=src.line(m.start(2)), end_line=src.line(end - 1), framework=framework or "Express", handler=handler and handler[1], params=query, request=request and request[1], status=int(ok[1] or ok[2]) if ok else None, errors=errors, auth=auth, answers=list(dict.fromkeys(answers)), summary=src.doc(src.line(m.start())))
         for c in re.finditer(r"@Controller\s*\(\s*", src.code):
             base = src.literal(c.end()) or ""
             after = re.compile(r"class\s+\w+[^{]*\{").search(src.code, c.end())
@@ -484,7 +484,7 @@ def _go(unit: Unit, files: dict[str, str]) -> None:
             request = re.search(r"(?:Decode|ShouldBindJSON|BindJSON|Bind)\(\s*&(\w+)\)", span)
             kind = re.search(rf"(?:var\s+{request[1]}\s+|{request[1]}\s*:?=\s*&?)([\w.]+)", span) if request else None
             response = re.search(r"(?:Encode|JSON)\(\s*(?:http\.Status\w+|\d+)?,?\s*&?(\w[\w.]*)\{", span)
-            unit.route(router, "ANY" if verb in ("ANY", "METHOD") else verb, join(prefix, at.removesuffix("{$}")), file=path, line=src.line(m.start(2)), framework=framework, handler=handler, request=kind and kind[1], response=response and response[1], status=next((s for s in statuses if s < 300), None), errors=[s for s in statuses if s >= 400], summary=fn and fn["doc"], auth=[a for a in [auth_of(m[1])] if a])
+            unit.route(router, "ANY" if verb in ("ANY", "METHOD") else verb, join(prefix, at.removesuffix("{$}")), file=path, line=src.line(m.start(2)), end_line=src.line(end - 1), framework=framework, handler=handler, request=kind and kind[1], response=response and response[1], status=next((s for s in statuses if s < 300), None), errors=[s for s in statuses if s >= 400], summary=fn and fn["doc"], auth=[a for a in [auth_of(m[1])] if a])
         for m in re.finditer(r"http\.(NewRequestWithContext|NewRequest|Get|Post)\s*\(", src.code):
             parts = [p for _, p in split_top(src.text[m.end() : close(src.code, m.end() - 1)])]
             parts = parts[1:] if m[1] == "NewRequestWithContext" else parts
@@ -634,7 +634,7 @@ def _jvm(unit: Unit, files: dict[str, str]) -> None:
             for m in re.finditer(r"\b(GET|POST|PUT|PATCH|DELETE)\s*\(\s*(?=\")", src.code):
                 tail = src.code[m.end() : m.end() + 160]
                 handler = re.search(r"(?:::)(\w+)", tail.split(";")[0].split(".GET")[0].split(".POST")[0])
-                unit.route(None, m[1], join(*(p for a, b, p in spans if a < m.start() < b), src.literal(m.end()) or ""), file=path, line=src.line(m.start(1)), framework="Spring WebFlux", handler=handler and handler[1])
+                unit.route(None, m[1], join(*(p for a, b, p in spans if a < m.start() < b), src.literal(m.end()) or ""), file=path, line=src.line(m.start(1)), framework="Spring WebFlux", end_line=src.line(close(src.code, src.code.index("(", m.end(1))) - 1), handler=handler and handler[1])
         if language == "Kotlin" and "io.ktor" in text:
             spans = [(m.start(), close(src.code, src.code.index("{", m.end()), "{}"), src.literal(m.end()) or "") for m in re.finditer(r"\broute\s*\(\s*(?=\")", src.code) if "{" in src.code[m.end() :]]
             for m in re.finditer(r"\b(get|post|put|patch|delete)\s*(?:<(\w+)>\s*)?\(\s*(?=\")|\b(get|post|put|patch|delete)\s*(?=\{)", src.code):
@@ -645,7 +645,7 @@ def _jvm(unit: Unit, files: dict[str, str]) -> None:
                 body = src.text[m.start() : end]
                 request, response = re.search(r"receive<(\w+)>", body), re.search(r"respond\((?:HttpStatusCode\.\w+,\s*)?(\w+)\(", body)
                 statuses = [s for s in (status_of(x) for x in re.findall(r"HttpStatusCode\.(\w+)", body)) if s]
-                unit.route(None, verb, join(*(p for a, b, p in spans if a < m.start() < b), src.literal(m.end()) if m[1] else ""), file=path, line=src.line(m.start()), framework="Ktor", request=request and request[1], response=response and response[1], status=next((s for s in statuses if s < 300), None), errors=[s for s in statuses if s >= 400])
+                unit.route(None, verb, join(*(p for a, b, p in spans if a < m.start() < b), src.literal(m.end()) if m[1] else ""), file=path, line=src.line(m.start()), end_line=src.line(end - 1), framework="Ktor", request=request and request[1], response=response and response[1], status=next((s for s in statuses if s < 300), None), errors=[s for s in statuses if s >= 400])
         for m in re.finditer(r"\b\w*[rR]est[tT]emplate\s*\.\s*(get|post|put|patch|delete|exchange)\w*\s*\(", src.code):
             parts = [p for _, p in split_top(src.text[m.end() : close(src.code, m.end() - 1)])]
             url = _concat(parts[0], "+", r"String\.format") if parts else None
@@ -695,7 +695,7 @@ def _csharp(unit: Unit, files: dict[str, str]) -> None:
             handler = parts[1] if len(parts) > 1 and re.fullmatch(r"[\w.]+", parts[1]) else None
             tail = src.text[close(src.code, opened) : close(src.code, opened) + 200]
             kind = re.search(r"\.Produces<([\w<>]+)>", tail)
-            unit.route(None, m[2], join(groups.get(m[1], ""), re.sub(r"\{(\w+)[:?=][^}]*\}", r"{\1}", at)), file=path, line=src.line(m.start(2)), framework="ASP.NET Core", handler=handler, response=kind and kind[1], auth=[("authenticated", "RequireAuthorization")] if ".RequireAuthorization(" in tail.split(";")[0] else [])
+            unit.route(None, m[2], join(groups.get(m[1], ""), re.sub(r"\{(\w+)[:?=][^}]*\}", r"{\1}", at)), file=path, line=src.line(m.start(2)), end_line=src.line(close(src.code, opened) - 1), framework="ASP.NET Core", handler=handler, response=kind and kind[1], auth=[("authenticated", "RequireAuthorization")] if ".RequireAuthorization(" in tail.split(";")[0] else [])
 
 
 def read_unit(files: dict[str, str]) -> tuple[list[dict], list[dict]]:

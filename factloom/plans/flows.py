@@ -142,8 +142,8 @@ def trace(repo: str, rows: list[tuple], entries: list[tuple]) -> list[dict]:
             steps.append({"from": caller, "to": unit, "kind": "call", "label": f"{operation['method']} {operation['route']}", "operation": key, "async": False, "path": path, "line": line})
         if f:
             expand(system, unit, f, seen, (key,), 0, 0, steps, used)
-        elif operation:  # an inline handler: the effects near its route
-            near = {"path": path, "start": line, "end": line + 40, "name": symbol or key, "unit": unit}
+        elif operation:  # an inline handler: the effects between its first and its last line
+            near = {"path": path, "start": line, "end": max(line, operation["end"] or line), "name": symbol or key, "unit": unit}
             expand(system, unit, near, seen, (key,), 0, 0, steps, used)
         if operation and caller:
             steps.append({"from": unit, "to": caller, "kind": "reply", "label": operation.get("response") or "response", "operation": key, "async": False, "path": path, "line": line})
@@ -170,7 +170,7 @@ def flows(model: Model) -> DataFrame:
     facts = model.flows_input
     functions = facts.select("repo", "unit", "path", F.explode("symbols").alias("s")).where("s.kind in ('function', 'method')").select("repo", *row("function", c("unit"), c("path"), c("s.name"), c("s.start_line"), c("s.end_line"), c("s.start_line"), text()))
     called = facts.select("repo", "unit", "path", F.explode("calls").alias("k")).select("repo", *row("call", c("unit"), c("path"), c("k.name"), F.lit(0), F.lit(0), c("k.line"), text()))
-    operations = model.operations.select("repo", *row("operation", c("unit"), c("file"), none, c("line"), c("line"), c("line"), text(id=c("id"), handler=c("handler"), response=c("response_type"), method=c("method"), route=c("path"))))
+    operations = model.operations.select("repo", *row("operation", c("unit"), c("file"), none, c("line"), F.coalesce("end_line", "line"), c("line"), text(id=c("id"), handler=c("handler"), response=c("response_type"), method=c("method"), route=c("path"))))
     stores = model.infra.where("category = 'storage' and kind in ('postgres', 'mysql', 'sqlite', 'mongodb')").select("repo", c("id").alias("store"), F.explode("used_by").alias("unit"))
     stores = stores.groupBy("repo", "unit").agg(F.min("store").alias("store"))
     accesses = model.accesses.join(stores, ["repo", "unit"]).select("repo", *row("effect", c("unit"), c("path"), none, F.lit(0), F.lit(0), c("line"), text(to=c("store"), kind=c("mode"), label=F.concat(c("mode"), F.lit("s "), c("table")))))
