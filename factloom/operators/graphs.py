@@ -7,6 +7,7 @@ over the same edges agree. Nulls are no nodes: edges with one are dropped.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,28 +66,35 @@ def weak_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> Dat
     return nodes.join(pairs, F.col("node") == F.col("src"), "left").select("node", F.coalesce("dst", "node").alias("component"))
 
 
-def hops(edges: DataFrame, starts: Iterable, src: str = "src", dst: str = "dst", most: int = 1000) -> DataFrame:
-    """node, hops: the fewest edges from any of `starts`; unreached nodes have no row."""
+def hops(edges: DataFrame, starts: Iterable, src: str = "src", dst: str = "dst", most: int | None = None) -> DataFrame:
+    """node, hops: the fewest edges from any of `starts`; unreached nodes have no row.
+
+    It runs until nothing new is reached; if `most` is given and nodes lie farther away, that is an error.
+    """
     step = _edges(edges, src, dst)
     spark, kind = edges.sparkSession, dict(step.dtypes)["src"]
     seen = cut(spark.createDataFrame([(s,) for s in starts], f"node {kind}").distinct().withColumn("hops", F.lit(0)))
     front = seen
-    for n in range(1, most + 1):
+    for n in count(1):
         to = front.join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         front = cut(to.join(seen, "node", "left_anti").withColumn("hops", F.lit(n)))
         if front.isEmpty():
-            break
+            return seen
+        if most is not None and n > most:
+            raise ValueError(f"nodes lie more than {most} edges away")
         seen = cut(seen.unionByName(front))
-    return seen
 
 
-def shortest_path(edges: DataFrame, start, goal, src: str = "src", dst: str = "dst", most: int = 1000) -> list:
-    """The nodes of a shortest path, the least one by its nodes where several are as short; empty if there is none."""
+def shortest_path(edges: DataFrame, start, goal, src: str = "src", dst: str = "dst", most: int | None = None) -> list:
+    """The nodes of a shortest path, the least one by its nodes where several are as short; empty if there is none.
+
+    If `most` is given and the search isn't done after so many edges, that is an error.
+    """
     step = _edges(edges, src, dst)
     kind = dict(step.dtypes)["src"]
     front = edges.sparkSession.createDataFrame([(start, [start])], f"node {kind}, path array<{kind}>")
     seen = front.select("node")
-    for _ in range(most):
+    for n in count():
         found = front.where(F.col("node") == F.lit(goal)).select("path").first()
         if found:
             return found["path"]
@@ -94,8 +102,9 @@ def shortest_path(edges: DataFrame, start, goal, src: str = "src", dst: str = "d
         front = cut(to.join(seen, "node", "left_anti"))
         if front.isEmpty():
             return []
+        if most is not None and n >= most:
+            raise ValueError(f"the search isn't done after {most} edges")
         seen = cut(seen.unionByName(front.select("node")))
-    return []
 
 
 def shortcuts(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
