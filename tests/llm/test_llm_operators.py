@@ -455,3 +455,13 @@ def test_mined_url_rules(spark):
     assert not any(len(r) > 1 and "d:bad.example.com" in r for r in kept)  # longer rules that are no surer go
     for r in urlfilter.judge(pages, mined, rules=()).collect():
         assert (r["verdict"] == "block") == is_bad(rows[r["page_id"]][1])
+
+
+def test_url_rules_on_numbers_values_and_blanks(spark):
+    rnd = random.Random(3)
+    rows = [(i, f"http://a.com/{rnd.choice(['forum/7', 'forum/8', 'bad part', 'fine'])}?year={rnd.choice([1999, 2001])}") for i in range(400)]
+    is_bad = lambda u: "/7?" in u or "bad part" in u or ("/8?" in u and "1999" in u)
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    mined = urlfilter.mine(pages, spark.createDataFrame([(i, is_bad(u)) for i, u in rows], "id long, bad boolean"), support=0.01, confidence=0.9)
+    assert {("p:7",), ("p:bad part",), ("p:8", "v:year=1999")} <= {tuple(r["rule"]) for r in mined.collect()}
+    assert {r["page_id"]: r["verdict"] == "block" for r in urlfilter.judge(pages, mined, rules=()).collect()} == {i: is_bad(u) for i, u in rows}
