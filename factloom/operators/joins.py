@@ -152,10 +152,17 @@ def nearest_name(asked: DataFrame, known: DataFrame, name: str = "name") -> Data
     a, b = F.lower(F.col("a")), F.lower(F.col("b"))
     distance = F.levenshtein(a, b)
     limit = F.greatest(F.lit(1), F.floor(F.greatest(F.octet_length("a"), F.octet_length("b")) / 3)).cast("int")
-    # names within the limit differ in length by at most it, so candidates meet by length
-    x = asked.select(F.col(name).alias("a")).distinct().withColumn("n", F.explode(F.sequence(F.greatest(F.lit(0), F.floor(F.length("a") * 2 / 3).cast("int") - 1), F.ceil(F.length("a") * 3 / 2).cast("int") + 1)))
-    y = known.select(F.col(name).alias("b")).distinct().withColumn("n", F.length("b"))
-    met = x.join(y, "n").withColumn("d", distance).where(F.col("d") <= limit)
+    # names within the limit differ in length by at most it, so candidates meet by length: in the window of the name with more bytes
+    def sized(df: DataFrame, c: str) -> DataFrame:
+        return df.select(F.col(name).alias(c)).distinct().withColumn("n", F.length(F.lower(F.col(c))))
+
+    def window(df: DataFrame, c: str) -> DataFrame:
+        reach = F.greatest(F.lit(1), F.floor(F.octet_length(c) / 3)).cast("int")
+        return df.withColumn("n", F.explode(F.sequence(F.greatest(F.lit(0), F.col("n") - reach), F.col("n") + reach)))
+
+    x, y = sized(asked, "a"), sized(known, "b")
+    met = window(x, "a").join(y, "n").select("a", "b").unionByName(x.join(window(y, "b"), "n").where(F.octet_length("b") > F.octet_length("a")).select("a", "b"))
+    met = met.withColumn("d", distance).where(F.col("d") <= limit)
     best = met.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select(F.col("a").alias(name), F.col("m.b").alias("suggestion"), F.col("m.d").alias("distance"))
     return asked.join(best, name, "left")
 

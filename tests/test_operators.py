@@ -234,3 +234,18 @@ def test_queries_run_and_agree_across_partitions(spark):
             assert rows(QUERIES[name](spark, "/root/testdata/sf0.001")) == first and first
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_bounded_searches_say_when_they_end_early(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(5)], "src long, dst long")
+    assert dict(graphs.hops(df, [0], most=5).collect()) == {i: i for i in range(6)}
+    assert graphs.shortest_path(df, 0, 5, most=5) == [0, 1, 2, 3, 4, 5]
+    for search in (lambda: graphs.hops(df, [0], most=3), lambda: graphs.shortest_path(df, 0, 5, most=3)):
+        with pytest.raises(ValueError):
+            search()
+
+
+def test_nearest_name_counts_bytes_of_wide_letters(spark):
+    known = spark.createDataFrame([("日本語文字列",), ("abcdef",)], "name string")
+    asked = spark.createDataFrame([("日本",)], "name string")
+    assert {r["name"]: r["suggestion"] for r in joins.nearest_name(asked, known).collect()} == {"日本": "日本語文字列"}
