@@ -13,12 +13,13 @@ distinct fingerprints. Copies share a fingerprint and take part once. A fingerpr
 
 Defined cases: a null or blank text has no words, its fingerprint is zero and links like any other; fewer words than
 a shingle make one shingle of all of them; repeated shingles count each time; ties (exactly half of the hashes) give
-bit 0; a row without an id takes the component of the rows that share its fingerprint, else null; an empty table
-gives no rows. Columns beside the id and the text aren't read.
+bit 0; a row without an id is a row like any other, links through it count, and its component is named by the least id
+that is there, null if no row of it has one; an empty table gives no rows. Columns beside the id and the text aren't read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import map_arrow, write_shared
 from factloom.llm.components import components
 
-#: Segments of a fingerprint. 16 segments of 4 bits leave about n * 5e-7 chance meetings a fingerprint among n.
+#: Segments of a fingerprint. 16 segments of 4 bits leave about n * 5e-7 chance meetings a fingerprint among n, 32 of 2 bits fewer.
 SEGMENTS = 16
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -71,17 +72,23 @@ def _vector(fp: Column, segments: int) -> list[Column]:
     return [F.bit_count(F.shiftrightunsigned(fp, i * width).bitwiseAND(F.lit((1 << width) - 1))) for i in range(segments)]
 
 
-def _at_points(nodes: DataFrame, segments: int) -> DataFrame:
-    """A row for each of `nodes` and each grid point within 1 of its vector.
+def weights(segments: int) -> list[int]:
+    """What a step along each axis adds to a grid point's number.
 
-    A point is packed: a digit for each segment's count plus one, so 0 to width + 2 a step away.
+    Where a digit for each count fits 62 bits, points are packed and numbers are exact. Beyond that the number is a
+    linear hash with odd weights of 55 bits: it can't overflow, and points that clash only add comparisons.
     """
     bits = (64 // segments + 2).bit_length()
-    if bits * segments > 62:
-        raise ValueError(f"{segments} segments don't fit a packed grid point")
-    digits = [(x.cast("long") + 1, bits * i) for i, x in enumerate(_vector(F.col("fp"), segments))]
-    home = sum((x * F.lit(1 << at) for x, at in digits), F.lit(0).cast("long"))
-    steps = F.array(*[F.lit(s).cast("long") for s in (0, *(s << at for _, at in digits for s in (1, -1)))])
+    if bits * segments <= 62:
+        return [1 << bits * i for i in range(segments)]
+    return [int.from_bytes(hashlib.sha256(f"axis {i}".encode()).digest()[:8], "little") >> 9 | 1 for i in range(segments)]
+
+
+def _at_points(nodes: DataFrame, segments: int) -> DataFrame:
+    """A row for each of `nodes` and each grid point within 1 of its vector; counts are raised by one, so a step never falls below 0."""
+    axes = weights(segments)
+    home = sum(((x.cast("long") + 1) * F.lit(a) for x, a in zip(_vector(F.col("fp"), segments), axes, strict=True)), F.lit(0).cast("long"))
+    steps = F.array(*[F.lit(s).cast("long") for s in (0, *(s * a for a in axes for s in (1, -1)))])
     based = nodes.select("node", "fp", home.alias("home"))
     return based.select("node", "fp", F.explode(F.transform(steps, lambda s: F.col("home") + s)).alias("point"))
 
@@ -103,10 +110,12 @@ def links(nodes: DataFrame, most: int = 2, segments: int = SEGMENTS) -> DataFram
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, seed: int = 42, most: int = 2, segments: int = SEGMENTS) -> DataFrame:
     """The id, fingerprint (hexadecimal) and component_id of every row of `df`."""
     docs = write_shared(fingerprints(df, id_col, text, size, seed), "fingerprints")
-    # a node is a distinct fingerprint, numbered by its least doc_id
+    # a node is a distinct fingerprint, whether its rows have ids or not; a component is named when it is known
     nodes = write_shared(docs.groupBy("fp").agg(F.min("doc").alias("least")), "nodes")
-    found = components(links(nodes.where("least is not null").select(F.col("least").alias("node"), "fp"), most, segments))
-    labels = nodes.join(found, nodes["least"] == found["node"], "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), most, segments)).withColumnRenamed("node", "fp")
+    placed = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    labels = placed.join(named, "component").select("fp", "component_id")
     return docs.join(labels, "fp").select(F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

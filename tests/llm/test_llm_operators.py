@@ -300,7 +300,7 @@ def poisson(rate: float, doc) -> int:
     draws = math.ceil(rate / mixing.PART)
     mean, n = rate / draws, 0
     for j in range(1, draws + 1):
-        u = int(hashlib.sha256(f"{mixing.SEED}:{'null' if doc is None else doc}:{j}".encode()).hexdigest()[:13], 16) / 2**52
+        u = int(hashlib.sha256(f"{mixing.SEED}:{doc}:{j}".encode()).hexdigest()[:13], 16) / 2**52
         p = total = math.exp(-mean)
         k = 0
         while total <= u:
@@ -318,7 +318,11 @@ def test_mixing_edges(spark, docs, rows, empty):
     for r in rows:
         sizes[r[3]] += len(r[1] or "")
     rate = {s: sum(sizes.values()) / len(sizes) / n for s, n in sizes.items()}
-    want = Counter((r[0], r[1], c) for r in rows for c in range(1, poisson(rate[r[3]], r[0]) + 1))
+    seen, want = Counter(), Counter()
+    for r in rows:
+        seen[r] += 1
+        name = r[0] if r[0] is not None else f"null:{hashlib.sha256((r[1] or '').encode()).hexdigest()}:{seen[r]}"
+        want.update((r[0], r[1], c) for c in range(1, poisson(rate[r[3]], name) + 1))
     assert Counter((r["doc_id"], r["text"], r["copy"]) for r in out.collect()) == want
     assert mixing.mix(empty, mixing.rates(empty)).count() == 0
     many = spark.createDataFrame([(i, "x", "en", "tiny", 1) for i in range(20)], DDL)
@@ -326,6 +330,14 @@ def test_mixing_edges(spark, docs, rows, empty):
     assert got == Counter({i: poisson(100.0, i) for i in range(20)})
 
 
+def test_mixing_draws_each_row_without_an_id(spark):
+    bare = spark.createDataFrame([(None, f"text {i % 700}", "en", "s", 6) for i in range(1000)], DDL).repartition(3)
+    for seed in (17, 1, 2):
+        out = mixing.mix(bare, mixing.rates(bare), seed=seed)
+        n, keys = out.count(), out.select("shuffle_key").distinct().count()
+        assert 850 < n < 1150 and keys == n
+
+
 def test_simhash(spark, docs, rows, empty):
     import xxhash
 
@@ -353,7 +365,7 @@ def components(least: dict[int, int | None]) -> dict[int, int | None]:
         changed = False
         for a in label:
             for b in label:
-                if label[a] is not None and label[b] is not None and (a ^ b).bit_count() <= 2 and label[b] < label[a]:
+                if label[b] is not None and (a ^ b).bit_count() <= 2 and (label[a] is None or label[b] < label[a]):
                     label[a], changed = label[b], True
     return label
 
@@ -369,7 +381,7 @@ def test_simhash_links_find_all_pairs_within_two_bits(spark):
             fps.add(g)
     nodes = sorted(fps)
     df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(nodes)], "node long, fp long")
-    for segments in (8, 16):
+    for segments in (8, 16, 32):
         got = {tuple(r) for r in simhash.links(df, 2, segments).collect()}
         assert got == {(i, j) for i, f in enumerate(nodes) for j in range(i) if (f ^ nodes[j]).bit_count() <= 2}
     label = components(dict(zip(nodes, range(len(nodes)), strict=True)))
@@ -379,6 +391,16 @@ def test_simhash_links_find_all_pairs_within_two_bits(spark):
     assert {i: found.get(i, i) for i in range(len(nodes))} == {i: label[f] for i, f in enumerate(nodes)}
 
 
+def test_simhash_links_through_rows_without_an_id(spark, monkeypatch):
+    given = spark.createDataFrame([(1, 0), (None, 3), (2, 15), (None, 1 << 40), (None, 1 << 40 | 1 << 50), (9, 0x5555)], "doc long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: given)
+    got = {(r["doc_id"], int(r["fingerprint"], 16)): r["component_id"] for r in simhash.near_duplicates(given).collect()}
+    assert got == {(1, 0): 1, (None, 3): 1, (2, 15): 1, (None, 1 << 40): 1, (None, 1 << 40 | 1 << 50): 1, (9, 0x5555): 9}
+    alone = given.where("doc is null and fp > 3")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: alone)
+    assert {r["component_id"] for r in simhash.near_duplicates(alone).collect()} == {None}
+
+
 def test_quality(spark, docs, rows, empty):
     rnd = random.Random(6)
     good = [(i, words(rnd, 60), "en", f"s{i % 4}", 0) for i in range(300)]
