@@ -9,8 +9,10 @@ Everything is a DataFrame expression; the only groups are the sources, summed wi
 size costs its rows once.
 
 Defined cases: a null source is a source of its own; a null text has size 0; a source of size 0, and one that the
-targets don't name (if targets are given), has mean 0 and leaves; rows that repeat an id draw the same count; a null id
-draws as one id; an empty table gives no rows; the columns copy, rate and shuffle_key replace such input columns.
+targets don't name (if targets are given), has mean 0 and leaves; rows that repeat an id draw the same count; a row
+without an id draws by its text's digest and its number among the rows that equal it in all columns, so many such rows
+neither draw alike nor meet in one partition; an empty table gives no rows; the columns copy, rate and shuffle_key
+replace such input columns.
 """
 
 from __future__ import annotations
@@ -62,15 +64,24 @@ def rates(docs: DataFrame, targets: dict[str | None, float] | None = None, sourc
     return sizes.select("source", (F.col("weight") / F.lit(float(sums["weight"] or 1)) * F.lit(whole) / F.col("size")).alias("rate"))
 
 
-def mix(docs: DataFrame, rated: DataFrame, seed: int = SEED, id_col: str = "doc_id", source: str = "source") -> DataFrame:
+def _named(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """`docs` with `_name`, what a row draws by. Equal rows without an id are counted and told apart by number, so none of them move one by one."""
+    known = docs.where(F.col(id_col).isNotNull()).withColumn("_name", F.col(id_col).cast("string"))
+    bare = docs.where(F.col(id_col).isNull()).groupBy(*docs.columns).agg(F.count("*").alias("_rows"))
+    bare = bare.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))).alias("_nth"))
+    name = F.concat_ws(":", F.lit("null"), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256), F.col("_nth").cast("string"))
+    return known.unionByName(bare.withColumn("_name", name).drop("_nth"))
+
+
+def mix(docs: DataFrame, rated: DataFrame, seed: int = SEED, id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The copies of `docs`, globally shuffled, with copy (from 1), rate and shuffle_key."""
     rated = rated.select(F.col("source").alias("_source"), F.col("rate").alias("rate"), F.ceil(F.col("rate") / PART).cast("int").alias("_draws"))
     rated = rated.withColumn("_cdf", distribution(F.col("rate") / F.col("_draws")))
     rated = F.broadcast(rated) if rated.count() <= BROADCAST_SOURCES else rated
     docs = without(docs, "copy", "rate", "shuffle_key")
-    met = docs.join(rated, F.col(source).eqNullSafe(F.col("_source")))
-    draws = F.transform(F.sequence(F.lit(1), F.col("_draws")), lambda j: uniform(seed, F.col(id_col), j))
+    met = _named(docs, id_col, text).join(rated, F.col(source).eqNullSafe(F.col("_source")))
+    draws = F.transform(F.sequence(F.lit(1), F.col("_draws")), lambda j: uniform(seed, F.col("_name"), j))
     count = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter(F.col("_cdf"), lambda c: c <= u)))
-    drawn = met.withColumn("_n", count).where("_n > 0").select(*docs.columns, "rate", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
-    dealt = drawn.withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy")))
+    drawn = met.withColumn("_n", count).where("_n > 0").select(*docs.columns, "rate", "_name", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+    dealt = drawn.withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col("_name"), F.col("copy"))).drop("_name")
     return dealt.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select(*docs.columns, "copy", "rate", "shuffle_key")

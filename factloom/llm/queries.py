@@ -114,11 +114,13 @@ rated AS (SELECT source, CAST(1.0 AS DOUBLE) / CAST(count(*) OVER () AS DOUBLE)
 parts AS (SELECT source, rate, CAST(ceil(rate / 16) AS INTEGER) AS draws, rate / ceil(rate / 16) AS mean FROM rated),
 cdf AS (SELECT source, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS p
         FROM parts, LATERAL (SELECT unnest(range(CAST(ceil(mean + 12 * sqrt(mean) + 12) AS BIGINT) + 1)) AS k)),
-drawn AS (SELECT d.doc_id, d.source, d.text, p.rate,
-                 ('0x' || substr(sha256('17:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
-          FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source, LATERAL (SELECT unnest(range(1, p.draws + 1)) AS j)),
-counted AS (SELECT w.doc_id, w.source, w.text, w.rate, w.u, count(c.k) AS n
+named AS (SELECT *, CASE WHEN doc_id IS NOT NULL THEN CAST(doc_id AS VARCHAR) ELSE
+                 'null:' || sha256(coalesce(text, '')) || ':' || row_number() OVER (PARTITION BY doc_id, text, lang, source, n_chars) END AS name FROM documents),
+drawn AS (SELECT d.name, d.doc_id, d.source, d.text, p.rate,
+                 ('0x' || substr(sha256('17:' || d.name || ':' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+          FROM named d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source, LATERAL (SELECT unnest(range(1, p.draws + 1)) AS j)),
+counted AS (SELECT w.name, w.doc_id, w.source, w.text, w.rate, w.u, count(c.k) AS n
             FROM drawn w LEFT JOIN cdf c ON c.source IS NOT DISTINCT FROM w.source AND c.p <= w.u GROUP BY ALL),
-total AS (SELECT doc_id, source, text, rate, sum(n) AS n FROM counted GROUP BY ALL)
+total AS (SELECT name, doc_id, source, text, rate, sum(n) AS n FROM counted GROUP BY ALL)
 SELECT doc_id, source, CAST(copy AS INTEGER) AS copy, round(rate, 9) AS rate, text
 FROM total, LATERAL (SELECT unnest(range(1, CAST(n AS BIGINT) + 1)) AS copy)"""
