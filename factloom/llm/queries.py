@@ -50,7 +50,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm import linededup
 
     out = linededup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_exact", "n_near", "n_links", "text")
+    return out.select("doc_id", "n_lines", "n_exact", "n_near", "near_lines", "text")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from pyspark.sql import functions as F  # noqa: E402
 
-from factloom.llm import bpe, exactdedup, langid, linededup, media, mixing, quality, simhash, tokencount, urlfilter  # noqa: E402
+from factloom.llm import bpe, editjoin, exactdedup, langid, linededup, media, mixing, quality, simhash, tokencount, urlfilter  # noqa: E402
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
@@ -197,11 +197,11 @@ def test_edit_distance_and_segments():
         a, b = "".join(a), "".join(b)
         for most in (0, 1, 2, 3):
             near = distance(a, b) <= most
-            assert linededup.within(a, b, most) == near
+            assert editjoin.within(a, b, most) == near
             x, y = (a, b) if len(a) >= len(b) else (b, a)
             if near and len(y) > most:
-                cut = linededup.segments(len(y), most)
-                assert any(x[at : at + n] == y[cut[i][0] : cut[i][0] + n] for i, at, n in linededup.probes(len(x), len(y), most))
+                cut = editjoin.segments(len(y), most)
+                assert any(x[at : at + n] == y[cut[i][0] : cut[i][0] + n] for i, at, n in editjoin.probes(len(x), len(y), most))
 
 
 @pytest.mark.parametrize("most", [1, 2])
@@ -223,31 +223,35 @@ def test_line_dedup(spark, most):
         for n, x in enumerate((t or "").split("\n") if t is not None else []):
             if x.strip():
                 first.setdefault(x.strip(), (d, n))
-    later, links = set(), Counter()
+    later = set()
     known = [x for x in first if len(x) >= 20]
     for i, a in enumerate(known):
         for b in known[:i]:
             if distance(a, b) <= most:
-                links[a] += 1
-                links[b] += 1
                 later.add(max(a, b, key=first.get))
     want = []
     for d, t in given:
-        keep, exact, near, n_links = [], 0, 0, 0
+        keep, exact, near = [], 0, 0
         for n, x in enumerate(t.split("\n") if t is not None else []):
             s = x.strip()
-            n_links += links[s]
             if s and s in later:
                 near += 1
             elif s and first[s] != (d, n):
                 exact += 1
             else:
                 keep.append(x)
-        want.append((d, None if t is None else "\n".join(keep), exact, near, n_links))
+        want.append((d, None if t is None else "\n".join(keep), exact, near))
     assert later and any(r[2] for r in want)
     df = spark.createDataFrame(given, "doc_id long, text string").withColumn("N_EXACT", F.lit("clash"))
-    got = linededup.dedup_lines(df, most=most).select("doc_id", "text", "n_exact", "n_near", "n_links").collect()
-    assert sorted(map(tuple, got), key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
+    got = linededup.dedup_lines(df, most=most).select("doc_id", "text", "n_exact", "n_near", "near_lines").collect()
+    assert sorted((tuple(r)[:4] for r in got), key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
+    line_at = {place: x for x, place in first.items()}
+    text_of = dict(given)
+    for r in got:
+        assert len(r["near_lines"]) == r["n_near"]
+        for n, of_doc, of_line in r["near_lines"]:
+            x = text_of[r["doc_id"]].split("\n")[n].strip()
+            assert (of_doc, of_line) < first[x] and distance(line_at[of_doc, of_line], x) <= most
 
 
 def test_line_dedup_allows_longer_lines_more_edits(spark):
@@ -267,14 +271,45 @@ def test_line_dedup_allows_longer_lines_more_edits(spark):
     rnd.shuffle(lines)
     near = {(i, j) for j, b in enumerate(lines) for i, a in enumerate(lines[:j]) if min(len(a), len(b)) >= 20 and abs(len(a) - len(b)) <= 10 and distance(a, b) <= max(2, min(len(a), len(b)) // 40)}
     assert any(distance(lines[i], lines[j]) > 5 for i, j in near)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    for dense in (48, 2):  # pairs as they meet, and all of them through rounds
+        got = linededup.dedup_lines(df, dense=dense).collect()
+        assert {r["doc_id"] for r in got if r["n_near"]} == {j for _, j in near}
+        assert all((r["near_lines"][0]["of_doc"], r["doc_id"]) in near for r in got if r["n_near"])
+
+
+def test_buckets_let_dense_keys_go():
+    np = pytest.importorskip("numpy")
+    rnd = random.Random(4)
+    entries = [(7 if rnd.random() < 0.5 else rnd.randrange(60), n, 0x8000, 100) for n in range(600)]
+    outs = []
+    for held in (10**6, 50):
+        bucket, dense = editjoin.Bucket(3, 2, 40, dense=2, held=held), []
+        for at in range(0, 600, 30):
+            columns = zip(*entries[at : at + 30], strict=True)
+            dense += bucket.add(9, b"".join(np.array(c, k).tobytes() for c, k in zip(columns, ("<u4", "<u2", "<u2", "<u2"), strict=True)))
+        pairs, more = bucket.met()
+        rows = {(k, a) for part in dense + more for k, _, a in zip(*(c.tolist() for c in part), strict=True)}
+        outs.append((set() if pairs is None else set(zip(pairs[1].tolist(), pairs[3].tolist(), strict=True)), rows))
+    held = Counter(e[0] for e in entries)
+    assert outs[0] == outs[1] and {a for k, a in outs[0][1] if k == 3 << 32 | 7} == {n for k, n, _, _ in entries if k == 7}
+    assert {k & 0xFFFFFFFF for k, _ in outs[0][1]} == {k for k, n in held.items() if n > 2}
+
+
+def test_line_dedup_of_many_variants(spark):
+    rnd = random.Random(8)
+    base = words(rnd, 40)
+    lines = [" ".join(w if rnd.random() > 0.02 else rnd.choice("pqrstuv") * 3 for w in base.split()) for _ in range(400)]
+    lines = list(dict.fromkeys(lines + [f"{words(rnd, 6)} {base[:120]} {words(rnd, 8)}" for _ in range(120)]))
+    rnd.shuffle(lines)
+    near = {j for j, b in enumerate(lines) if any(editjoin.within(a, b, max(2, min(len(a), len(b)) // 40)) for a in lines[:j])}
     got = linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
-    assert {r["doc_id"]: r["n_links"] for r in got} == {i: sum(i in p for p in near) for i in range(len(lines))}
-    assert {r["doc_id"] for r in got if r["n_near"]} == {j for _, j in near}
+    assert {r["doc_id"] for r in got if r["n_near"]} == near and len(lines) - len(near) > 20
 
 
 def test_line_dedup_edges(docs, rows, empty):
     got = linededup.dedup_lines(docs)
-    assert got.columns == [*docs.columns, "n_lines", "n_exact", "n_near", "n_links"] and got.count() == len(rows)
+    assert got.columns == [*docs.columns, "n_lines", "n_exact", "n_near", "near_lines"] and got.count() == len(rows)
     assert got.where("text is null").count() == sum(r[1] is None for r in rows)
     assert linededup.dedup_lines(empty).count() == 0
 
