@@ -204,6 +204,22 @@ def test_edit_distance_and_segments():
                 assert any(x[at : at + n] == y[cut[i][0] : cut[i][0] + n] for i, at, n in editjoin.probes(len(x), len(y), most))
 
 
+def test_edit_distance_of_many_pairs():
+    rnd = random.Random(15)
+    pairs = [("", "", 0), ("a", "", 1), ("ab", "", 1), ("", "x", 3)]
+    for _ in range(3000):
+        a = "".join(rnd.choice("abcé") for _ in range(rnd.randrange(0, rnd.choice([6, 70, 200]))))
+        b = list(a)
+        for _ in range(rnd.randrange(0, 12)):
+            i = rnd.randrange(0, len(b) + 1)
+            b[i : i + rnd.randrange(2)] = rnd.choice(["", "a", "b", "日"])
+        pairs.append((a, "".join(b), rnd.choice([0, 1, 2, 3, 5, 8, 31, 40])))
+    got = editjoin.many_within(*map(list, zip(*pairs, strict=True)))
+    assert got.tolist() == [editjoin.within(a, b, k) for a, b, k in pairs]
+    for a, b, k in pairs[:300]:
+        assert editjoin.within(a, b, k) == (distance(a, b) <= k)
+
+
 @pytest.mark.parametrize("most", [1, 2])
 def test_line_dedup(spark, most):
     rnd = random.Random(11)
@@ -293,7 +309,7 @@ def test_buckets_let_dense_keys_go():
         outs.append((set() if pairs is None else set(zip(pairs[1].tolist(), pairs[3].tolist(), strict=True)), rows))
     held = Counter(e[0] for e in entries)
     assert outs[0] == outs[1] and {a for k, a in outs[0][1] if k == 3 << 32 | 7} == {n for k, n, _, _ in entries if k == 7}
-    assert {k & 0xFFFFFFFF for k, _ in outs[0][1]} == {k for k, n in held.items() if n > 2}
+    assert {k & 0xFFFFFFFF for k, _ in outs[0][1]} == {k for k, n in held.items() if n > 3}
 
 
 def test_line_dedup_of_many_variants(spark):
