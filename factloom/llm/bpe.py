@@ -8,9 +8,10 @@ bytes by an ordered aggregation.
 
 Defined cases: a null text is an empty one, has no tokens and decodes to no bytes; a word that is a token as a
 whole is that token, as in the library; repeated rows give repeated results; an empty table gives no rows; input
-columns named like an output column are replaced. Words of any length are taken: those over LONG bytes, rare in
-text, are contracted round by round by one query a round that contracts all occurrences of the minimum pair up to
-the first whose result could make a pair of no higher rank, which gives the same ids as one pair at a time.
+columns named like an output column are replaced. Texts and words of any length are taken: a long text is encoded and
+decoded in runs of words and of ids, so what DuckDB holds doesn't grow with it. Words over LONG bytes, rare in text, are
+contracted outside DuckDB, by the same rule with a heap of pairs over a linked list, in n log n steps: the recursion
+takes a round for each pair, which for a word of 1,000 bytes is seconds and for one of 1,000,000 is never.
 """
 
 from __future__ import annotations
@@ -18,20 +19,23 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from factloom.llm.common import map_arrow, without
 
-#: Bytes of a word from which the round-by-round form is used.
+#: Bytes of a word beyond which pairs are contracted from a heap.
 LONG = 128
 #: Words that each of a worker's two generations remembers; its memory is bounded by this, whatever the input.
 REMEMBERED = 150_000
 #: Bytes of text that are encoded and decoded at a time.
 SLICE = 1 << 20
-#: Distinct words that one recursive query takes.
-WORDS = 20_000
+#: Distinct words that one recursive query takes, and their bytes.
+WORDS, WORD_BYTES = 20_000, 400_000
+#: Words of a long text that are encoded at a time, and ids that one query decodes.
+RUN_WORDS, RUN_IDS = 100_000, 250_000
 
 #: A row holds its token, the token and position to its right, and the rank of the pair they make. A round takes each
 #: word's least pair (rank, then position), drops its right row, and looks up only the two pairs that change.
@@ -58,35 +62,7 @@ WITH RECURSIVE step(word, pos, tok, right_tok, right_pos, rank, done) AS (
    FROM moved v LEFT JOIN merges m ON m.pair = CASE WHEN changed THEN v.tok::BIGINT * 4294967296 + v.right_tok END))
 SELECT word, list(tok ORDER BY pos) AS ids FROM step WHERE done GROUP BY word ORDER BY word"""
 
-#: One round over long words; position gaps are kept, so neighbours are found by row number.
-ROUND = """
-WITH placed AS (
-  SELECT word, pos, tok, row_number() OVER w AS i, lead(tok) OVER w AS r, lead(pos) OVER w AS rpos,
-         lag(tok) OVER w AS l, lead(tok, 2) OVER w AS rr
-  FROM long_words WINDOW w AS (PARTITION BY word ORDER BY pos)),
-ranked AS (SELECT a.*, m.merged FROM placed a JOIN merges m ON m.pair = a.tok::BIGINT * 4294967296 + a.r),
-least AS (SELECT word, min(merged) AS merged FROM ranked GROUP BY word),
-found AS (
-  SELECT k.*, i - row_number() OVER (PARTITION BY k.word ORDER BY i) AS island
-  FROM ranked k JOIN least USING (word, merged)),
-apart AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word, island ORDER BY i) AS nth FROM found) WHERE nth % 2 = 1),
-risky AS (
-  SELECT a.*, coalesce(x.merged <= a.merged, false) OR coalesce(y.merged <= a.merged, false)
-              OR coalesce(z.merged <= a.merged, false) AS risk
-  FROM apart a
-  LEFT JOIN merges x ON x.pair = a.l::BIGINT * 4294967296 + a.merged
-  LEFT JOIN merges y ON y.pair = a.merged::BIGINT * 4294967296 + a.rr
-  LEFT JOIN merges z ON z.pair = a.merged::BIGINT * 4294967296 + a.merged),
-taken AS (
-  SELECT word, pos, rpos, merged FROM (
-    SELECT *, coalesce(sum(risk::INTEGER) OVER (PARTITION BY word ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-    FROM risky) WHERE before = 0)
-SELECT w.word, w.pos, coalesce(t.merged, w.tok) AS tok
-FROM long_words w LEFT JOIN taken t ON t.word = w.word AND t.pos = w.pos
-WHERE NOT EXISTS (SELECT 1 FROM taken d WHERE d.word = w.word AND d.rpos = w.pos)"""
-
-#: The bytes of a slice's ids in order of document and position; documents are cut from it where their ids end.
+#: The bytes of a run of ids in order of document and position; documents are cut from it where their ids end.
 DECODE = "SELECT list(bytes ORDER BY pos) AS parts FROM ids JOIN vocabulary USING (tok)"
 
 
@@ -103,7 +79,8 @@ class Codec:
         import numpy as np
         import regex
 
-        self.ranks, self.find = read_ranks(content), regex.compile(pattern).findall
+        self.ranks, self.pattern = read_ranks(content), regex.compile(pattern)
+        self.find = self.pattern.findall
         pairs, merged = [], []
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
@@ -111,7 +88,7 @@ class Codec:
                 if left is not None and right is not None:
                     pairs.append(left << 32 | right)
                     merged.append(rank)
-        # No temporary folder: slices are bounded, so nothing has to leave memory.
+        # No temporary folder: runs are bounded whatever a text's length, so nothing has to leave memory.
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         given = pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int32())})
         tokens = pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(self.ranks, pa.binary())})
@@ -120,6 +97,8 @@ class Codec:
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM tokens")
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.rank_of: dict[int, int] = {}
+        self.pairs = (pairs, merged)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -144,18 +123,32 @@ class Codec:
             yield flat[begin:end].tobytes()
 
     def _contract_long(self, word: bytes) -> bytes:
-        self.con.register("given", self._rows([word]))
-        self.con.execute("CREATE OR REPLACE TEMP TABLE long_words AS SELECT word, pos, tok FROM given")
-        left = len(word)
-        while True:
-            self.con.execute(f"CREATE OR REPLACE TEMP TABLE next_words AS {ROUND}")
-            now = self.con.sql("SELECT count(*) FROM next_words").fetchall()[0][0]
-            if now == left:
-                break
-            left = now
-            self.con.execute("CREATE OR REPLACE TEMP TABLE long_words AS SELECT * FROM next_words")
-        ids = self.con.sql("SELECT list(tok ORDER BY pos) FROM long_words").fetchall()[0][0]
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        """The leftmost pair of least rank is taken from a heap; entries that no longer hold are passed over."""
+        from array import array
+        from heapq import heapify, heappop, heappush
+
+        if not self.rank_of:
+            self.rank_of = dict(zip(*self.pairs, strict=True))
+        rank_of, n = self.rank_of.get, len(word)
+        tok = array("q", self.byte[list(word)].tolist())
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        heap = [r << 40 | i for i in range(n - 1) if (r := rank_of(tok[i] << 32 | tok[i + 1])) is not None]
+        heapify(heap)
+        while heap:
+            top = heappop(heap)
+            rank, i = top >> 40, top & (1 << 40) - 1
+            j = after[i]
+            if tok[i] < 0 or j >= n or rank_of(tok[i] << 32 | tok[j]) != rank:
+                continue
+            tok[i], tok[j] = rank, -1
+            after[i] = j = after[j]
+            if j < n:
+                before[j] = i
+                if (r := rank_of(rank << 32 | tok[j])) is not None:
+                    heappush(heap, r << 40 | i)
+            if (h := before[i]) >= 0 and (r := rank_of(tok[h] << 32 | rank)) is not None:
+                heappush(heap, r << 40 | h)
+        return array("I", (t for t in tok if t >= 0)).tobytes()
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that aren't known yet; words not met for a generation are forgotten."""
@@ -175,16 +168,31 @@ class Codec:
             else:
                 new.append(w)
                 raw.append(b)
-        for at in range(0, len(new), WORDS):
-            self.known.update(zip(new[at : at + WORDS], self._contract(raw[at : at + WORDS]), strict=True))
+        at = 0
+        while at < len(new):
+            end, size = at, 0
+            while end < len(new) and end - at < WORDS and (size := size + len(raw[end])) <= WORD_BYTES:
+                end += 1
+            self.known.update(zip(new[at:end], self._contract(raw[at:end]), strict=True))
+            at = end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.find(t) if t else [] for t in texts]
-        words = set().union(*split)
-        self.learn(words)
+        split = [self.find(t) if t and len(t) <= SLICE else [] for t in texts]
+        self.learn(set().union(*split))
         get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in split]
+        out = [b"".join(map(get, w)) for w in split]
+        for i, t in enumerate(texts):
+            if t and len(t) > SLICE:
+                out[i] = b"".join(self._runs(t))
+        return out
+
+    def _runs(self, text: str) -> Iterator[bytes]:
+        """The ids of a long text, a run of words at a time; the pattern goes on where the run before ended."""
+        matches = self.pattern.finditer(text)
+        while words := [m.group() for m in islice(matches, RUN_WORDS)]:
+            self.learn(set(words))
+            yield b"".join(map(self.known.__getitem__, words))
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each list of ids."""
@@ -193,14 +201,20 @@ class Codec:
         flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
         if not len(flat):
             return [b""] * len(ids)
-        self.con.register("ids", pa.table({"pos": np.arange(len(flat), dtype=np.int32), "tok": flat}))
-        joined = self.con.sql(DECODE).to_arrow_table().column("parts").combine_chunks().values
-        if len(joined) != len(flat):
-            raise ValueError("an id isn't in the vocabulary")
-        ends = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset : joined.offset + len(joined) + 1]
-        data = memoryview(joined.buffers()[2] or b"")
+        data, ends, size = [], [np.zeros(1, np.int64)], 0
+        for at in range(0, len(flat), RUN_IDS):
+            run = flat[at : at + RUN_IDS]
+            self.con.register("ids", pa.table({"pos": np.arange(len(run), dtype=np.int32), "tok": run}))
+            joined = self.con.sql(DECODE).to_arrow_table().column("parts").combine_chunks().values
+            if len(joined) != len(run):
+                raise ValueError("an id isn't in the vocabulary")
+            cut = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset : joined.offset + len(joined) + 1].astype(np.int64)
+            data.append(bytes(memoryview(joined.buffers()[2] or b"")[cut[0] : cut[-1]]))
+            ends.append(cut[1:] - cut[0] + size)
+            size += len(data[-1])
+        whole, ends = memoryview(b"".join(data)), np.concatenate(ends)
         at = ends[np.cumsum([0, *(len(i) // 4 for i in ids)])].tolist()
-        return [bytes(data[begin:end]) for begin, end in zip(at, at[1:], strict=False)]
+        return [bytes(whole[begin:end]) for begin, end in zip(at, at[1:], strict=False)]
 
 
 _codecs: dict[str, Codec] = {}

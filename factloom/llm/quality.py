@@ -147,28 +147,31 @@ def posteriors(scored: DataFrame, labels: DataFrame, model, soft: float = SOFT)
     labels = labels.where("id is not null and good is not null").groupBy("id").agg(F.avg("good").alias("good"))
     p = 1 / (1 + F.exp(-(F.col("llr") + odds)))
     joined = scored.join(labels, "id", "left")
-    sums = joined.groupBy("site", "path").agg(
-        F.sum(F.when(F.col("good").isNull(), soft).otherwise(1.0)).alias("n"), F.sum(F.coalesce(F.col("good").cast("double"), soft * p)).alias("s")
-    )
-    paths = write_shared(sums, "paths")
+    n, s = F.when(F.col("good").isNull(), soft).otherwise(1.0), F.coalesce(F.col("good").cast("double"), soft * p)
+    sums = [F.sum(F.when(own == f, x).otherwise(0.0)).alias(f"{name}{f}") for f in (0, 1) for name, x in (("n", n), ("s", s))]
+    paths = write_shared(joined.groupBy("site", "path").agg(*sums), "paths")
+    out = [_rates(paths.select("site", "path", F.col(f"n{1 - f}").alias("n"), F.col(f"s{1 - f}").alias("s"))).withColumn("fold", F.lit(f)) for f in (0, 1)]
+    return write_shared(out[0].unionByName(out[1]), "posteriors")
+
+
+def _rates(paths: DataFrame) -> DataFrame:
+    """site, path, path_rate, site_rate from the sums n and s of every path; a path or site with nothing in it has its parent's rate."""
     sites = paths.groupBy("site").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = sites.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    if not total["n"]:
-        return paths.select("site", "path", F.lit(0.5).alias("path_rate"), F.lit(0.5).alias("site_rate"))
-    mean = (total["s"] + 0.5) / (total["n"] + 1)
+    mean = (total["s"] + 0.5) / (total["n"] + 1) if total["n"] else 0.5
     of_site = _strength(sites, F.lit(mean))
     rated = sites.select("site", ((F.col("s") + of_site * mean) / (F.col("n") + of_site)).alias("site_rate"))
     both = paths.alias("p").join(rated.alias("r"), F.col("p.site").eqNullSafe(F.col("r.site"))).select("p.site", "path", "n", "s", "site_rate")
     of_path = _strength(both, F.col("site_rate"))
-    return write_shared(both.select("site", "path", ((F.col("s") + of_path * F.col("site_rate")) / (F.col("n") + of_path)).alias("path_rate"), "site_rate"), "posteriors")
+    return both.select("site", "path", ((F.col("s") + of_path * F.col("site_rate")) / (F.col("n") + of_path)).alias("path_rate"), "site_rate")
 
 
-def decide(scored: DataFrame, rates: DataFrame, site: str, path: str, threshold: float = THRESHOLD) -> DataFrame:
+def decide(scored: DataFrame, rates: DataFrame, site: str, path: str, threshold: float = THRESHOLD, id_col: str = "doc_id") -> DataFrame:
     """`scored` with site_rate, path_rate, posterior and keep."""
-    rates = rates.select(F.col("site").alias("_site"), F.col("path").alias("_path"), "site_rate", "path_rate")
+    rates = rates.select(F.col("fold").alias("_of"), F.col("site").alias("_site"), F.col("path").alias("_path"), "site_rate", "path_rate")
     rates = F.broadcast(rates) if rates.count() <= BROADCAST_PATHS else rates
-    met = without(scored, "site_rate", "path_rate", "posterior", "keep")
-    met = met.join(rates, met[site].eqNullSafe(F.col("_site")) & met[path].eqNullSafe(F.col("_path")), "left").drop("_site", "_path")
+    met = without(scored, "site_rate", "path_rate", "posterior", "keep").withColumn("_fold", fold_of(F.col(id_col)))
+    met = met.join(rates, (F.col("_fold") == F.col("_of")) & F.col(site).eqNullSafe(F.col("_site")) & F.col(path).eqNullSafe(F.col("_path")), "left").drop("_site", "_path", "_of", "_fold")
     logit = F.col("llr") + F.log(F.col("path_rate") / (1 - F.col("path_rate")))
     met = met.withColumn("posterior", 1 / (1 + F.exp(-logit)))
     return met.withColumn("keep", F.col("posterior") >= threshold)
@@ -179,7 +182,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
 
     The texts are read twice, once for the sums and once for the decisions, so that they never move.
     """
-    model = learn(docs, labels, id_col, text, sample)
+    models = learn(docs, labels, id_col, text, sample)
     slim = docs.select(F.col(id_col).alias("id"), F.col(site).alias("site"), F.col(path).alias("path"), F.col(text).alias("text"))
-    rates = posteriors(score(slim, model).drop("text"), labels, model)
-    return decide(score(docs, model, text), rates, site, path, threshold)
+    rates = posteriors(score(slim, models, id_col="id").drop("text"), labels, models)
+    return decide(score(docs, models, text, id_col=id_col), rates, site, path, threshold, id_col)

@@ -88,6 +88,24 @@ def test_bpe_contracts_one_leftmost_pair_of_least_rank_at_a_time():
             assert [int.from_bytes(got[i : i + 4], "little") for i in range(0, len(got), 4)] == want, (trial, n)
 
 
+def test_bpe_takes_long_texts_and_words():
+    tiktoken = pytest.importorskip("tiktoken")
+    content = bpe.vocabulary(VOCABULARY)
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(content), special_tokens={})
+    rnd = random.Random(2)
+    vocabulary = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randrange(1, 9))) for _ in range(3000)]
+    letters = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(500_000))
+    c = bpe.Codec(content, PATTERN)
+    for text in ("a" * 1_000_000, letters, " ".join(rnd.choice(vocabulary) for _ in range(1_000_000)) * 4 + "  \n\n x"):
+        ids = c.encode(["short one", text, None])
+        assert c.decode(ids) == [b"short one", text.encode(), b""]
+        for at in (0, len(text) // 2):  # the library is slow on a word of this length, so parts of texts in words are compared
+            part = text[:20_000] if at == 0 else text[-20_000:]
+            assert c.encode([part])[0] == b"".join(i.to_bytes(4, "little") for i in library.encode_ordinary(part))
+        if " " in text:
+            assert ids[1] == b"".join(i.to_bytes(4, "little") for i in library.encode_ordinary(text))
+
+
 def greedy(word: bytes, pieces: set[bytes], most: int) -> int:
     n = at = 0
     while at < len(word):
@@ -470,8 +488,76 @@ def test_quality(spark, docs, rows, empty):
 def test_quality_shrinks_sparse_sites(spark):
     scored = spark.createDataFrame([(i, "big", "p", 0.0) for i in range(400)] + [(1000 + i, "poor", "p", 0.0) for i in range(400)] + [(2000, "tiny", "p", 0.0), (2001, None, None, 0.0)], "id long, site string, path string, llr double")
     labels = spark.createDataFrame([(i, float(i % 10 > 0)) for i in range(400)] + [(1000 + i, float(i % 10 > 6)) for i in range(400)] + [(2000, 0.0)], "id long, good double")
-    rate = {r["site"]: r["path_rate"] for r in quality.posteriors(scored, labels, None).collect()}
-    assert abs(rate["big"] - 0.9) < 0.05 and abs(rate["poor"] - 0.3) < 0.05 and rate["poor"] < rate["tiny"] < rate["big"]
+    for fold in (0, 1):
+        rate = {r["site"]: r["path_rate"] for r in quality.posteriors(scored, labels, [None, None]).where(F.col("fold") == fold).collect()}
+        assert abs(rate["big"] - 0.9) < 0.06 and abs(rate["poor"] - 0.3) < 0.07 and rate["poor"] < rate["tiny"] < rate["big"]
+
+
+def test_quality_equals_a_recomputation(spark):
+    """Every figure anew in plain Python, from the labels of the other fold only."""
+    import math
+
+    rnd = random.Random(16)
+    rows = [(i, words(rnd, rnd.randrange(0, 60)) if rnd.random() < 0.7 else "## " * rnd.randrange(60), rnd.choice(["en", "fr", None]), rnd.choice(["a", "a", "a", "b", "c", None]), 0) for i in range(240)]
+    given = {r[0]: float(rnd.random() < (0.8 if "#" not in r[1] else 0.2)) for r in rows if rnd.random() < 0.5}
+    df = spark.createDataFrame([*rows, (None, None, "de", "only", 0)], DDL)
+    fold = {r["doc_id"]: r["f"] for r in df.select("doc_id", quality.fold_of(F.col("doc_id")).alias("f")).collect()}
+    models = []
+    for f in (0, 1):
+        known = sorted((quality.features(r[1]), given[r[0]]) for r in rows if r[0] in given and fold[r[0]] != f)
+        models.append(quality.fit([x for x, _ in known], [g for _, g in known]))
+    llr = {}
+    for i, text, *_ in [*rows, (None, None)]:
+        w, centre, scale, odds = models[fold[i]]
+        llr[i] = min(30, max(-30, sum((x - c) / s * v for x, c, s, v in zip(quality.features(text), centre, scale, w, strict=False)) + w[-1] - odds))
+
+    def strength(sums):  # name: (n, s, expected rate)
+        held = [x for x in sums.values() if x[0] > 0]
+        v, w = (sum(c * r * (1 - r) for n, _, r in held for c in [n]), sum(r * (1 - r) for _, _, r in held) / len(held))
+        assert v
+        q, chance, spread = sum((s - n * r) ** 2 / n for n, s, r in held), len(held) * w, sum(n for n, _, _ in held) * w
+        return 1 / min(max((q - chance) / max(spread - chance, 1e-9), 1e-4), 0.99) - 1
+
+    want = {}
+    everywhere = [*rows, (None, None, "de", "only", 0)]
+    for f in (0, 1):
+        paths, sites = {(r[3], r[2]): [0.0, 0.0] for r in everywhere}, {r[3]: [0.0, 0.0] for r in everywhere}
+        for i, _, lang, source, _ in everywhere:
+            if fold[i] != f:
+                p = 1 / (1 + math.exp(-(llr[i] + models[fold[i]][3])))
+                n, s = (1.0, given[i]) if i in given else (quality.SOFT, quality.SOFT * p)
+                for held in (paths[source, lang], sites[source]):
+                    held[0] += n
+                    held[1] += s
+        mean = (sum(s for _, s in sites.values()) + 0.5) / (sum(n for n, _ in sites.values()) + 1)
+        k = strength({name: (n, s, mean) for name, (n, s) in sites.items()})
+        site_rate = {name: (s + k * mean) / (n + k) for name, (n, s) in sites.items()}
+        k = strength({name: (n, s, site_rate[name[0]]) for name, (n, s) in paths.items()})
+        for i, _, lang, source, _ in everywhere:
+            if fold[i] == f:
+                n, s = paths[source, lang]
+                rate = (s + k * site_rate[source]) / (n + k)
+                want[i] = (site_rate[source], rate, 1 / (1 + math.exp(-(llr[i] + math.log(rate / (1 - rate))))))
+    labels = spark.createDataFrame(list(given.items()), "id long, good double")
+    for r in quality.classify(df, labels).collect():
+        i = r["doc_id"]
+        assert (r["llr"], r["site_rate"], r["path_rate"], r["posterior"]) == pytest.approx((llr[i], *want[i]), abs=1e-9)
+        assert r["keep"] == (r["posterior"] >= quality.THRESHOLD)
+
+
+def test_quality_tells_held_out_documents(spark):
+    """Every label is held out from the verdict on its own document, so agreement with all of them is held-out accuracy."""
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("the synthetic tables aren't there")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("good"))
+    out = quality.classify(spark.read.parquet(f"{folder}/documents.parquet"), labels)
+    both = out.join(labels.where("good is not null"), out["doc_id"] == labels["id"]).select("keep", "good").collect()
+    right, common = sum(r["keep"] == (r["good"] == 1) for r in both), sum(r["good"] for r in both)
+    print("held-out accuracy", right, len(both), common)
+    assert len(both) >= 100 and right / len(both) > max(common, len(both) - common) / len(both) + 0.05
 
 
 def test_langid(spark, docs, rows, empty):
