@@ -8,6 +8,9 @@ site's rate; the strength of either prior is estimated from how much the rates v
 moments), so sparse sites shrink to their parents. The document's log likelihood ratio added to the log odds of its
 path gives the posterior probability of good quality; below THRESHOLD the document is rejected.
 
+No document is judged by its own label: documents fall into FOLDS folds by a hash of the id, and classifier and sums
+for a fold come from the other ones. Where these have nothing to learn from, they say nothing, as below.
+
 A document's site and path are columns: in `documents` the source is the site and the language its first path
 segment, as in the URLs of `pages`.
 
@@ -29,6 +32,8 @@ from factloom.llm.common import map_arrow, without, write_shared
 
 #: Labelled documents the classifier is fitted on, about.
 SAMPLE = 20_000
+#: Parts that documents fall into; each is judged by what the others tell.
+FOLDS = 5
 #: Weight of an unlabelled document's probability in its site's and path's sums.
 SOFT = 0.1
 #: Least posterior probability of good quality that a document is kept with.
@@ -93,77 +98,85 @@ def fit(rows: list[list[float]], good: list[float], ridge: float = 1.0):
     return w, centre, scale, float(np.log(y.mean() / (1 - y.mean())))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE):
-    """The classifier, fitted on about `sample` of the labelled documents, drawn by a hash of the id."""
+def fold_of(name: Column) -> Column:
+    """The fold of a document, by a hash of the id; documents without one are in fold 0."""
+    return F.coalesce(F.pmod(F.xxhash64(name.cast("string"), F.lit("fold")), F.lit(FOLDS)).cast("int"), F.lit(0))
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> list:
+    """For each fold the classifier that judges it: fitted on the other ones' share of about `sample` labelled documents, drawn by a hash of the id."""
     labels = labels.where("id is not null and good is not null").groupBy("id").agg(F.avg("good").alias("good"))
     part = min(1.0, sample / max(labels.count(), 1))
     drawn = labels.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) < int(part * (1 << 30)))
     given = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(drawn), "id")  # at most about `sample` rows
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=["good", "x"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([features(t) for t in batch.column(2).to_pylist()], pa.list_(pa.float64()))], names=["fold", "good", "x"])
 
-    got = map_arrow(given.select("good", "text"), each, "good double, x array<double>").toArrow()
-    order = sorted(zip(got.column("x").to_pylist(), got.column("good").to_pylist(), strict=True))  # the same fit whatever the order of rows
-    return fit([x for x, _ in order], [float(g >= 0.5) for _, g in order])
+    got = map_arrow(given.select(fold_of(F.col("id")).alias("fold"), "good", "text"), each, "fold int, good double, x array<double>").toArrow()
+    order = sorted(zip(*(got.column(c).to_pylist() for c in ("fold", "x", "good")), strict=True))  # the same fit whatever the order of rows
+    return [fit([x for f, x, _ in order if f != fold], [float(g >= 0.5) for f, _, g in order if f != fold]) for fold in range(FOLDS)]
 
 
-def score(df: DataFrame, model, text: str = "text", out: str = "llr") -> DataFrame:
-    """`df` with the document's log likelihood ratio of good to bad quality, in the column `out`."""
+def score(df: DataFrame, models: list, text: str = "text", out: str = "llr", id_col: str = "doc_id") -> DataFrame:
+    """`df` with the document's log likelihood ratio of good to bad quality by its fold's classifier, in the column `out`."""
     df = without(df, out)
-    names = df.columns
+    names, given = df.columns, df.withColumn("_fold", fold_of(F.col(id_col)))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         import numpy as np
 
         x = np.array([features(t) for t in batch.column(names.index(text)).to_pylist()], float)
-        made = np.zeros(batch.num_rows)
-        if model is not None and len(x):
-            w, centre, scale, odds = model
-            made = np.clip(((x - centre) / scale) @ w[:-1] + w[-1] - odds, -30, 30)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], names=[*names, out])
+        fold, made = np.asarray(batch.column(len(names))), np.zeros(batch.num_rows)
+        for f, model in enumerate(models):
+            if model is not None and len(x):
+                w, centre, scale, odds = model
+                made = np.where(fold == f, np.clip(((x - centre) / scale) @ w[:-1] + w[-1] - odds, -30, 30), made)
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made)], names=[*names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return map_arrow(df, each, f"{schema}, `{out}` double", text)
+    return map_arrow(given, each, f"{schema}, `{out}` double", text)
 
 
-def _strength(groups: DataFrame, rate: Column) -> float:
-    """The strength of the beta prior around `rate` that explains how the groups' rates vary (method of moments)."""
+def _strengths(groups: DataFrame, rate: Column) -> Column:
+    """By fold, the strength of the beta prior around `rate` that explains how the groups' rates vary (method of moments)."""
     size, hits = F.col("n"), F.col("s")
-    sums = groups.where("n > 0").agg(
-        F.count("*").alias("g"), F.sum(size).alias("n"), F.sum(size * size).alias("nn"), F.sum(size * rate * (1 - rate)).alias("v"), F.sum(F.pow(hits - size * rate, 2) / size).alias("q"), F.avg(rate * (1 - rate)).alias("w")
-    ).first()
-    if not sums["g"] or not sums["v"]:
-        return 1.0
-    # q sums each group's n (rate_g - rate)^2: chance alone gives its share of w, variation between groups the rest
-    chance, spread = sums["g"] * sums["w"], sums["n"] * sums["w"]
-    rho = min(max((sums["q"] - chance) / max(spread - chance, 1e-9), 1e-4), 0.99)
-    return 1 / rho - 1
-
-
-def posteriors(scored: DataFrame, labels: DataFrame, model, soft: float = SOFT) -> DataFrame:
-    """site, path, path_rate, site_rate of every path; `scored` has id, site, path, llr."""
-    odds = 0.0 if model is None else model[3]
+    sums = groups.where("n > 0").groupBy("fold").agg(
+        F.count("*").alias("g"), F.sum(size).alias("n"), F.sum(size * rate * (1 - rate)).alias("v"), F.sum(F.pow(hits - size * rate, 2) / size).alias("q"), F.avg(rate * (1 - rate)).alias("w")
+    ).collect()
+    found = dict.fromkeys(range(FOLDS), 1.0)
+    for x in sums:
+        if x["v"]:
+            # q sums each group's n (rate_g - rate)^2: chance alone gives its share of w, variation between groups the rest
+            chance, spread = x["g"] * x["w"], x["n"] * x["w"]
+            found[x["fold"]] = 1 / min(max((x["q"] - chance) / max(spread - chance, 1e-9), 1e-4), 0.99) - 1
+    return _by_fold(found)
+
+
+def _by_fold(values: dict[int, float]) -> Column:
+    return F.element_at(F.array(*[F.lit(float(values[f])) for f in range(FOLDS)]), F.col("fold") + 1)
+
+
+def posteriors(scored: DataFrame, labels: DataFrame, models: list, soft: float = SOFT) -> DataFrame:
+    """fold, site, path, path_rate, site_rate: for each fold the rates that the other folds give to all paths; `scored` has id, site, path, llr.
+
+    A path or site that the other folds have nothing of has its parent's rate.
+    """
+    odds = _by_fold({f: 0.0 if m is None else m[3] for f, m in enumerate(models)})
     labels = labels.where("id is not null and good is not null").groupBy("id").agg(F.avg("good").alias("good"))
-    p = 1 / (1 + F.exp(-(F.col("llr") + odds)))
-    joined = scored.join(labels, "id", "left")
-    n, s = F.when(F.col("good").isNull(), soft).otherwise(1.0), F.coalesce(F.col("good").cast("double"), soft * p)
-    sums = [F.sum(F.when(own == f, x).otherwise(0.0)).alias(f"{name}{f}") for f in (0, 1) for name, x in (("n", n), ("s", s))]
+    joined = scored.withColumn("fold", fold_of(F.col("id"))).join(labels, "id", "left")
+    n, s = F.when(F.col("good").isNull(), soft).otherwise(1.0), F.coalesce(F.col("good").cast("double"), soft / (1 + F.exp(-(F.col("llr") + odds))))
+    sums = [F.sum(F.when(F.col("fold") != f, x).otherwise(0.0)).alias(f"{name}{f}") for f in range(FOLDS) for name, x in (("n", n), ("s", s))]
     paths = write_shared(joined.groupBy("site", "path").agg(*sums), "paths")
-    out = [_rates(paths.select("site", "path", F.col(f"n{1 - f}").alias("n"), F.col(f"s{1 - f}").alias("s"))).withColumn("fold", F.lit(f)) for f in (0, 1)]
-    return write_shared(out[0].unionByName(out[1]), "posteriors")
-
-
-def _rates(paths: DataFrame) -> DataFrame:
-    """site, path, path_rate, site_rate from the sums n and s of every path; a path or site with nothing in it has its parent's rate."""
-    sites = paths.groupBy("site").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    total = sites.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    mean = (total["s"] + 0.5) / (total["n"] + 1) if total["n"] else 0.5
-    of_site = _strength(sites, F.lit(mean))
-    rated = sites.select("site", ((F.col("s") + of_site * mean) / (F.col("n") + of_site)).alias("site_rate"))
-    both = paths.alias("p").join(rated.alias("r"), F.col("p.site").eqNullSafe(F.col("r.site"))).select("p.site", "path", "n", "s", "site_rate")
-    of_path = _strength(both, F.col("site_rate"))
-    return both.select("site", "path", ((F.col("s") + of_path * F.col("site_rate")) / (F.col("n") + of_path)).alias("path_rate"), "site_rate")
+    paths = paths.select("site", "path", F.inline(F.array(*[F.struct(F.lit(f).alias("fold"), F.col(f"n{f}").alias("n"), F.col(f"s{f}").alias("s")) for f in range(FOLDS)])))
+    sites = paths.groupBy("fold", "site").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    total = {x["fold"]: x for x in sites.groupBy("fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()}
+    mean = _by_fold({f: (total[f]["s"] + 0.5) / (total[f]["n"] + 1) if f in total and total[f]["n"] else 0.5 for f in range(FOLDS)})
+    of_site = _strengths(sites, mean)
+    rated = sites.select(F.col("fold").alias("of"), F.col("site").alias("at"), ((F.col("s") + of_site * mean) / (F.col("n") + of_site)).alias("site_rate"))
+    both = paths.join(rated, (F.col("fold") == F.col("of")) & F.col("site").eqNullSafe(F.col("at"))).select("fold", "site", "path", "n", "s", "site_rate")
+    of_path = _strengths(both, F.col("site_rate"))
+    return write_shared(both.select("fold", "site", "path", ((F.col("s") + of_path * F.col("site_rate")) / (F.col("n") + of_path)).alias("path_rate"), "site_rate"), "posteriors")
 
 
 def decide(scored: DataFrame, rates: DataFrame, site: str, path: str, threshold: float = THRESHOLD, id_col: str = "doc_id") -> DataFrame:

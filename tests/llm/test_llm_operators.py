@@ -99,11 +99,7 @@ def test_bpe_takes_long_texts_and_words():
     for text in ("a" * 1_000_000, letters, " ".join(rnd.choice(vocabulary) for _ in range(1_000_000)) * 4 + "  \n\n x"):
         ids = c.encode(["short one", text, None])
         assert c.decode(ids) == [b"short one", text.encode(), b""]
-        for at in (0, len(text) // 2):  # the library is slow on a word of this length, so parts of texts in words are compared
-            part = text[:20_000] if at == 0 else text[-20_000:]
-            assert c.encode([part])[0] == b"".join(i.to_bytes(4, "little") for i in library.encode_ordinary(part))
-        if " " in text:
-            assert ids[1] == b"".join(i.to_bytes(4, "little") for i in library.encode_ordinary(text))
+        assert ids[1] == b"".join(i.to_bytes(4, "little") for i in library.encode_ordinary(text))
 
 
 def greedy(word: bytes, pieces: set[bytes], most: int) -> int:
@@ -488,13 +484,13 @@ def test_quality(spark, docs, rows, empty):
 def test_quality_shrinks_sparse_sites(spark):
     scored = spark.createDataFrame([(i, "big", "p", 0.0) for i in range(400)] + [(1000 + i, "poor", "p", 0.0) for i in range(400)] + [(2000, "tiny", "p", 0.0), (2001, None, None, 0.0)], "id long, site string, path string, llr double")
     labels = spark.createDataFrame([(i, float(i % 10 > 0)) for i in range(400)] + [(1000 + i, float(i % 10 > 6)) for i in range(400)] + [(2000, 0.0)], "id long, good double")
-    for fold in (0, 1):
-        rate = {r["site"]: r["path_rate"] for r in quality.posteriors(scored, labels, [None, None]).where(F.col("fold") == fold).collect()}
+    for fold in range(quality.FOLDS):
+        rate = {r["site"]: r["path_rate"] for r in quality.posteriors(scored, labels, [None] * quality.FOLDS).where(F.col("fold") == fold).collect()}
         assert abs(rate["big"] - 0.9) < 0.06 and abs(rate["poor"] - 0.3) < 0.07 and rate["poor"] < rate["tiny"] < rate["big"]
 
 
 def test_quality_equals_a_recomputation(spark):
-    """Every figure anew in plain Python, from the labels of the other fold only."""
+    """Every figure anew in plain Python, from the labels of the other folds only."""
     import math
 
     rnd = random.Random(16)
@@ -503,7 +499,7 @@ def test_quality_equals_a_recomputation(spark):
     df = spark.createDataFrame([*rows, (None, None, "de", "only", 0)], DDL)
     fold = {r["doc_id"]: r["f"] for r in df.select("doc_id", quality.fold_of(F.col("doc_id")).alias("f")).collect()}
     models = []
-    for f in (0, 1):
+    for f in range(quality.FOLDS):
         known = sorted((quality.features(r[1]), given[r[0]]) for r in rows if r[0] in given and fold[r[0]] != f)
         models.append(quality.fit([x for x, _ in known], [g for _, g in known]))
     llr = {}
@@ -520,7 +516,7 @@ def test_quality_equals_a_recomputation(spark):
 
     want = {}
     everywhere = [*rows, (None, None, "de", "only", 0)]
-    for f in (0, 1):
+    for f in range(quality.FOLDS):
         paths, sites = {(r[3], r[2]): [0.0, 0.0] for r in everywhere}, {r[3]: [0.0, 0.0] for r in everywhere}
         for i, _, lang, source, _ in everywhere:
             if fold[i] != f:
