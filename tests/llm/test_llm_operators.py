@@ -620,3 +620,16 @@ def test_url_rules_on_numbers_values_and_blanks(spark):
     mined = urlfilter.mine(pages, spark.createDataFrame([(i, is_bad(u)) for i, u in rows], "id long, bad boolean"), support=0.01, confidence=0.9)
     assert {("p:7",), ("p:bad part",), ("p:8", "v:year=1999")} <= {tuple(r["rule"]) for r in mined.collect()}
     assert {r["page_id"]: r["verdict"] == "block" for r in urlfilter.judge(pages, mined, rules=()).collect()} == {i: is_bad(u) for i, u in rows}
+
+
+def test_url_rules_on_long_repeated_urls(spark):
+    import time
+
+    long = "http://x.com/" + "/".join(f"part {k}" for k in range(40)) + "?a=b c&d"
+    rows = [(i, long) for i in range(30)] + [(100 + i, f"http://y.com/{'/'.join(str(k) for k in range(i % 30))}/ok") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    begin = time.perf_counter()
+    mined = urlfilter.mine(pages, spark.createDataFrame([(i, u == long or i % 30 == 29) for i, u in rows], "id long, bad boolean"), confidence=0.9, least=10)
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(pages, mined, rules=()).collect()}
+    assert time.perf_counter() - begin < 20
+    assert all(got[i] == "block" for i in range(30)) and got[100] == "allow"
