@@ -50,31 +50,59 @@ def _fits(a: Column, b: Column) -> Column:
     return F.forall(F.zip_with(a, b, lambda x, y: (x == y) | _open(x) | _open(y)), lambda ok: ok)
 
 
-def best_match(calls: DataFrame, operations: DataFrame) -> DataFrame:
+#: Marks under which operations and calls with a parameter at a path's end register; no path holds them.
+_ANY, _PARAMETER, _ROOT = "\u0001*", "\u0001{", "\u0001/"
+
+
+def _ends(segments: Column, asked: bool) -> list[Column]:
+    """What a path registers under at its first and at its last segment.
+
+    A call asks for its own literal and for parameters, or for anything where it has a parameter itself; an operation
+    stands under its literal or the mark of a parameter, and under that of anything. So a pair that can fit meets once.
+    """
+    out = []
+    for at in (F.lit(0), F.size(segments) - 1):
+        one = F.get(segments, at)
+        named = F.when(_open(one), F.lit(_PARAMETER)).otherwise(one)
+        faces = F.when(_open(one), F.array(F.lit(_ANY))).otherwise(F.array(one, F.lit(_PARAMETER))) if asked else F.array(named, F.lit(_ANY))
+        out.append(F.when(F.size(segments) == 0, F.array(F.lit(_ROOT))).otherwise(faces))
+    return out
+
+
+def _registered(rows: DataFrame, segments: Column, asked: bool) -> DataFrame:
+    first, last = _ends(segments, asked)
+    return rows.withColumn("first", F.explode(first)).withColumn("last", F.explode(last))
+
+
+def best_match(calls: DataFrame, operations: DataFrame, scope: str | None = None) -> DataFrame:
     """`calls` (call_id, unit, method, path) with operation: the one operation of another unit that fits best, else null.
 
     `operations` has operation, unit, method, path, path_partial. Paths of as many segments score 1000 and one for each
     pair of segments that are equal or both parameters; a partial operation that ends a longer call scores 500 and its
     length; an operation that a shorter call ends scores 100 and the call's length. A tie for the best gives null.
-    Candidates meet by (method, segments compared), never by comparing all with all.
+    With `scope`, a column of both, only operations of the call's scope count, and only they can tie.
+    Candidates meet by equality of scope, method, segments compared and both ends of the path, so operations of one
+    length meet only the calls that agree with them there.
     """
-    c = calls.select("call_id", "unit", "method", _segments(F.col("path")).alias("cs")).withColumn("cn", F.size("cs"))
-    o = operations.select("operation", F.col("unit").alias("ounit"), F.col("method").alias("om"), "path_partial", _segments(F.col("path")).alias("os")).withColumn("on", F.size("os"))
+    area = F.col(scope) if scope else F.lit(0)
+    c = calls.select(area.alias("area"), "call_id", "unit", "method", _segments(F.col("path")).alias("cs")).withColumn("cn", F.size("cs"))
+    o = operations.select(area.alias("area"), "operation", F.col("unit").alias("ounit"), F.col("method").alias("m"), "path_partial", _segments(F.col("path")).alias("os")).withColumn("on", F.size("os"))
     c = c.withColumn("m", F.explode(F.array_distinct(F.array(F.col("method"), F.lit("ANY"))))).drop("method")
-    o = o.withColumnRenamed("om", "m")
-    other = F.col("unit") != F.col("ounit")
-    full = c.join(o, (c["m"] == o["m"]) & (c["cn"] == o["on"])).where(other & _fits(F.col("cs"), F.col("os")))
+    other, keys = F.col("unit") != F.col("ounit"), ["area", "m", "n", "first", "last"]
+
+    def met(asked: DataFrame, offered: DataFrame, ct: Column, ot: Column) -> DataFrame:
+        return _registered(asked, ct, True).join(_registered(offered, ot, False), keys).where(other & _fits(ct, ot))
+
+    whole = met(c.withColumn("n", F.col("cn")), o.withColumn("n", F.col("on")), F.col("cs"), F.col("os"))
     alike = F.zip_with("cs", "os", lambda x, y: (x == y) | (_open(x) & _open(y)))
-    full = full.select("call_id", "operation", (F.lit(1000) + F.size(F.filter(alike, lambda x: x))).alias("score"))
+    whole = whole.select("call_id", "operation", (F.lit(1000) + F.size(F.filter(alike, lambda x: x))).alias("score"))
     # the call is longer: every shorter tail of it may be a partial operation
-    tails = c.where("cn > 1").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("cn") - 1)))
-    ends = tails.join(o.where("path_partial and on > 0"), (tails["m"] == o["m"]) & (F.col("n") == F.col("on")))
-    ends = ends.where(other & _fits(F.slice("cs", F.col("cn") - F.col("n") + 1, F.col("n")), F.col("os"))).select("call_id", "operation", (F.lit(500) + F.col("on")).alias("score"))
+    tails = c.where("cn > 1").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("cn") - 1))).withColumn("ct", F.slice("cs", F.col("cn") - F.col("n") + 1, F.col("n")))
+    ends = met(tails, o.where("path_partial and on > 0").withColumn("n", F.col("on")), F.col("ct"), F.col("os")).select("call_id", "operation", (F.lit(500) + F.col("on")).alias("score"))
     # the operation is longer: its tails meet calls of their length
-    longer = o.where("on > 1").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("on") - 1)))
-    starts = c.where("cn > 0").join(longer, (c["m"] == longer["m"]) & (F.col("cn") == F.col("n")))
-    starts = starts.where(other & _fits(F.col("cs"), F.slice("os", F.col("on") - F.col("n") + 1, F.col("n")))).select("call_id", "operation", (F.lit(100) + F.col("cn")).alias("score"))
-    scored = full.unionByName(ends).unionByName(starts).groupBy("call_id", "score").agg(F.count("*").alias("n"), F.min("operation").alias("operation"))
+    longer = o.where("on > 1").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("on") - 1))).withColumn("ot", F.slice("os", F.col("on") - F.col("n") + 1, F.col("n")))
+    starts = met(c.where("cn > 0").withColumn("n", F.col("cn")), longer, F.col("cs"), F.col("ot")).select("call_id", "operation", (F.lit(100) + F.col("cn")).alias("score"))
+    scored = whole.unionByName(ends).unionByName(starts).groupBy("call_id", "score").agg(F.count("*").alias("n"), F.min("operation").alias("operation"))
     best = scored.groupBy("call_id").agg(F.max(F.struct("score", "n", "operation")).alias("b"))
     return calls.join(best.select("call_id", F.when(F.col("b.n") == 1, F.col("b.operation")).alias("operation"), F.col("b.score").alias("score")), "call_id", "left")
 
@@ -105,14 +133,16 @@ def overlapping(a: DataFrame, b: DataFrame, scope: str, bucket: int) -> DataFram
 
 
 def prefer_own(accesses: DataFrame, entities: DataFrame, alias: str = "alias", owner: str = "unit") -> DataFrame:
-    """`accesses` (access_id, alias, unit) with entity: one of the same unit if it is the only such, else the only one of any."""
-    met = accesses.select("access_id", alias, owner).join(entities.select(alias, F.col(owner).alias("_o"), "entity"), alias)
-    own = F.col(owner) == F.col("_o")
-    per = met.groupBy("access_id").agg(
-        F.countDistinct(F.when(own, F.col("entity"))).alias("no"), F.min(F.when(own, F.col("entity"))).alias("eo"), F.countDistinct("entity").alias("na"), F.min("entity").alias("ea")
-    )
-    pick = F.when(F.col("no") == 1, F.col("eo")).when((F.col("no") == 0) & (F.col("na") == 1), F.col("ea"))
-    return accesses.join(per.select("access_id", pick.alias("entity")), "access_id", "left")
+    """`accesses` (access_id, alias, unit) with entity: one of the same unit if it is the only such, else the only one of any.
+
+    Entities are counted by alias and owner, and by alias, before accesses meet them, so an access meets one row of each.
+    """
+    known = entities.select(alias, owner, "entity").where(F.col("entity").isNotNull()).distinct()
+    own = known.groupBy(alias, owner).agg(F.count("*").alias("no"), F.min("entity").alias("eo"))
+    # an entity that several units own is one of any
+    every = known.groupBy(alias).agg(F.min("entity").alias("ea"), F.max("entity").alias("eb"))
+    pick = F.when(F.col("no") == 1, F.col("eo")).when(F.col("no").isNull() & (F.col("ea") == F.col("eb")), F.col("ea"))
+    return accesses.join(own, [alias, owner], "left").join(every, alias, "left").withColumn("entity", pick).select(*accesses.columns, "entity")
 
 
 def by_variants(rows: DataFrame, names: DataFrame, key: str, variants: Column) -> DataFrame:
@@ -147,21 +177,24 @@ def nearest_name(asked: DataFrame, known: DataFrame, name: str = "name") -> Data
     """`asked` (name) with suggestion: the known name of the least edit distance, letters compared in lower case.
 
     The distance may be at most a third of the longer name's bytes, and at least 1 is allowed; ties go to the lesser
-    name. `known` is a dictionary of identifiers: it is broadcast only if it is small by Spark's own estimate.
+    name. Candidates meet by length, and what 62 groups of letters they hold has to agree but for two an edit.
     """
     a, b = F.lower(F.col("a")), F.lower(F.col("b"))
     distance = F.levenshtein(a, b)
     limit = F.greatest(F.lit(1), F.floor(F.greatest(F.octet_length("a"), F.octet_length("b")) / 3)).cast("int")
     # names within the limit differ in length by at most it, so candidates meet by length: in the window of the name with more bytes
     def sized(df: DataFrame, c: str) -> DataFrame:
-        return df.select(F.col(name).alias(c)).distinct().withColumn("n", F.length(F.lower(F.col(c))))
+        bits = F.transform(F.array_distinct(F.transform(F.split(F.lower(F.col(c)), ""), lambda x: F.pmod(F.hash(x), F.lit(62)))), lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k))
+        held = F.aggregate(bits, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x))
+        return df.select(F.col(name).alias(c)).distinct().select(c, F.length(F.lower(F.col(c))).alias("n"), held.alias(f"{c}_held"))
 
     def window(df: DataFrame, c: str) -> DataFrame:
         reach = F.greatest(F.lit(1), F.floor(F.octet_length(c) / 3)).cast("int")
         return df.withColumn("n", F.explode(F.sequence(F.greatest(F.lit(0), F.col("n") - reach), F.col("n") + reach)))
 
     x, y = sized(asked, "a"), sized(known, "b")
-    met = window(x, "a").join(y, "n").select("a", "b").unionByName(x.join(window(y, "b"), "n").where(F.octet_length("b") > F.octet_length("a")).select("a", "b"))
+    alike = F.bit_count(F.col("a_held").bitwiseXOR(F.col("b_held"))) <= 2 * limit
+    met = window(x, "a").join(y, "n").where(alike).select("a", "b").unionByName(x.join(window(y, "b"), "n").where((F.octet_length("b") > F.octet_length("a")) & alike).select("a", "b"))
     met = met.withColumn("d", distance).where(F.col("d") <= limit)
     best = met.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select(F.col("a").alias(name), F.col("m.b").alias("suggestion"), F.col("m.d").alias("distance"))
     return asked.join(best, name, "left")

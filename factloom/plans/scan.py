@@ -275,9 +275,9 @@ def _client_calls(calls: DataFrame, operations: DataFrame, shaped: DataFrame) ->
     response doesn't declare. Nothing can be said where the response has no known fields, or where the caller's shape is
     the declared one."""
     numbered = calls.withColumn("call_id", F.concat_ws("\u0001", "repo", "unit", "file", F.col("line").cast("string"), "method", "path"))
-    ids = operations.select(F.concat_ws("\u0001", "repo", "id").alias("operation"), F.concat_ws("\u0001", "repo", "unit").alias("unit"), "method", "path", "path_partial")
-    asked = numbered.select("call_id", F.concat_ws("\u0001", "repo", "unit").alias("unit"), "method", "path").distinct()
-    met = joins.best_match(asked, ids).select("call_id", F.element_at(F.split("operation", "\u0001"), 2).alias("operation"))
+    ids = operations.select("repo", F.col("id").alias("operation"), "unit", "method", "path", "path_partial")
+    asked = numbered.select("repo", "call_id", "unit", "method", "path").distinct()
+    met = joins.best_match(asked, ids, "repo").select("call_id", "operation")  # another repository's operations never count
     wire = shaped.select("repo", "unit", "name", F.transform("fields", lambda f: f["name"]).alias("names"))
     expected = F.regexp_replace("response_type", r"^(?:Promise<|Array<|List<|Vec<|list\[)+|\[\]$|>+$|\]$", "")
     own = numbered.join(met, "call_id", "left").withColumn("name", expected).join(wire.withColumnRenamed("names", "wanted"), ["repo", "unit", "name"], "left").drop("name")
@@ -420,10 +420,10 @@ def cross_repo(model: Model, members: DataFrame) -> DataFrame:
     calls = model.client_calls.where("operation is null and target_host is not null")
     named = calls.join(members.withColumnsRenamed({"repo": "member", "host": "target_host"}), "target_host").where("member <> repo")
     asked = named.withColumn("call_id", F.to_json(F.struct("repo", "unit", "method", "path", "evidence", "member")))
-    ids = model.operations.select(F.concat_ws("\u0001", "repo", "id").alias("operation"), F.concat_ws("\u0001", "repo", "unit").alias("unit"), "method", "path", "path_partial")
-    met = joins.best_match(asked.select("call_id", F.concat_ws("\u0001", "repo", "unit").alias("unit"), "method", "path").distinct(), ids)
-    found = asked.join(met.select("call_id", F.col("operation").alias("far")), "call_id").where(F.element_at(F.split("far", "\u0001"), 1) == F.col("member"))
-    return found.select("repo", "unit", "method", "path", "target_host", "member", F.element_at(F.split("far", "\u0001"), 2).alias("operation"), "evidence")
+    ids = model.operations.select(F.col("repo").alias("member"), F.col("id").alias("operation"), F.concat_ws("\u0001", "repo", "unit").alias("unit"), "method", "path", "path_partial")
+    met = joins.best_match(asked.select("member", "call_id", F.concat_ws("\u0001", "repo", "unit").alias("unit"), "method", "path").distinct(), ids, "member")
+    found = asked.drop("operation").join(met.select("call_id", "operation"), "call_id").where("operation is not null")
+    return found.select("repo", "unit", "method", "path", "target_host", "member", "operation", "evidence")
 
 
 def diff(base: Model, head: Model) -> DataFrame:

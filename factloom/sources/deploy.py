@@ -69,13 +69,13 @@ def compose_services(files: DataFrame) -> DataFrame:
 
 
 def overlays(services: DataFrame) -> DataFrame:
-    """folder, variant, adds, changes: what each variant's services add to and change of the base file beside it."""
-    tagged = services.where("error is null").select(F.regexp_replace("path", "[^/]*$", "").alias("folder"), "variant", "name")
-    base = tagged.where("variant is null").groupBy("folder").agg(F.collect_set("name").alias("base"))
-    over = tagged.where("variant is not null").groupBy("folder", "variant").agg(F.collect_set("name").alias("over"))
+    """repo, folder, variant, adds, changes: what each variant's services add to and change of the base file beside it."""
+    tagged = services.where("error is null").select("repo", F.regexp_replace("path", "[^/]*$", "").alias("folder"), "variant", "name")
+    base = tagged.where("variant is null").groupBy("repo", "folder").agg(F.collect_set("name").alias("base"))
+    over = tagged.where("variant is not null").groupBy("repo", "folder", "variant").agg(F.collect_set("name").alias("over"))
     none = F.array().cast("array<string>")
-    met = over.join(base, "folder", "left").withColumn("base", F.coalesce("base", none))
-    return met.select("folder", "variant", F.array_sort(F.array_except("over", "base")).alias("adds"), F.array_sort(F.array_intersect("over", "base")).alias("changes"))
+    met = over.join(base, ["repo", "folder"], "left").withColumn("base", F.coalesce("base", none))
+    return met.select("repo", "folder", "variant", F.array_sort(F.array_except("over", "base")).alias("adds"), F.array_sort(F.array_intersect("over", "base")).alias("changes"))
 
 
 def render_values(text: str, values: dict) -> str | None:
@@ -130,15 +130,25 @@ def workloads(files: DataFrame) -> DataFrame:
 
 
 def topology_links(objects: DataFrame) -> DataFrame:
-    """from, to, kind: services to the workloads they select, ingresses to services, workloads to the hosts they name."""
+    """repo, namespace, from, to, kind: services to the workloads they select, ingresses to services, workloads to the hosts they name.
+
+    Names count within their repository and namespace; a host may name another namespace after a dot.
+    """
     from factloom.operators.joins import selected
 
-    o = objects.where("error is null")
-    services = o.where("kind = 'Service'").select("namespace", F.col("name").alias("sid"), "selector")
-    pods = o.where("kind in ('Deployment', 'StatefulSet', 'DaemonSet', 'Job', 'CronJob')").select("namespace", F.col("name").alias("oid"), "labels", "env")
-    chosen = selected(services, pods.drop("env")).select(F.col("sid").alias("from"), F.col("oid").alias("to"), F.lit("selects").alias("kind"))
-    routed = o.where("kind = 'Ingress'").select(F.col("name").alias("from"), F.col("target").alias("to"), F.lit("routes").alias("kind")).join(services.select(F.col("sid").alias("to")), "to", "left_semi")
-    value = F.col("e.value")
-    named = pods.select(F.col("oid").alias("from"), F.explode("env").alias("e")).select("from", F.regexp_extract(value, r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^@/]*@)?([A-Za-z0-9-]+)(?:[.:/]|$)", 1).alias("host"))
-    direct = named.join(chosen.select(F.col("from").alias("host"), F.col("to")), "host").where(F.col("from") != F.col("to")).select("from", "to", F.lit("calls").alias("kind"))
-    return chosen.select("from", "to", "kind").unionByName(routed.select("from", "to", "kind")).unionByName(direct).distinct()
+    o = objects.where("error is null").withColumn("area", F.struct("repo", "namespace"))
+    services = o.where("kind = 'Service'").select("area", F.col("name").alias("sid"), "selector")
+    pods = o.where("kind in ('Deployment', 'StatefulSet', 'DaemonSet', 'Job', 'CronJob')").select("area", F.col("name").alias("oid"), "labels", "env")
+    # ids hold the area, so that a service meets its own workloads only
+    chosen = selected(services.withColumn("sid", F.struct("area", "sid")), pods.select("area", F.struct("area", "oid").alias("oid"), "labels"), "area")
+    chosen = chosen.select(F.col("sid.area").alias("area"), F.col("sid.sid").alias("from"), F.col("oid.oid").alias("to"), F.lit("selects").alias("kind"))
+    routed = o.where("kind = 'Ingress'").select("area", F.col("name").alias("from"), F.col("target").alias("to"), F.lit("routes").alias("kind")).join(services.select("area", F.col("sid").alias("to")), ["area", "to"], "left_semi")
+    host = r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^@/]*@)?([A-Za-z0-9-]+)(?:\.([A-Za-z0-9-]+))?(?:[.:/]|$)"
+    named = pods.select("area", F.col("oid").alias("from"), F.explode("env").alias("e")).select("area", "from", F.regexp_extract("e.value", host, 1).alias("host"), F.regexp_extract("e.value", host, 2).alias("space"))
+    spaces = o.select("area").distinct()
+    there = F.struct(F.col("area.repo").alias("repo"), F.when(F.col("space") == "", F.col("area.namespace")).otherwise(F.col("space")).alias("namespace"))
+    asked = named.withColumn("there", there).join(spaces.select(F.col("area").alias("there"), F.lit(True).alias("known")), "there", "left")
+    asked = asked.withColumn("there", F.when(F.col("known"), F.col("there")).otherwise(F.col("area")))  # a.b.c may also be a host of its own, or a port
+    direct = asked.join(chosen.select(F.col("area").alias("there"), F.col("from").alias("host"), "to"), ["there", "host"]).where((F.col("from") != F.col("to")) | (F.col("there") != F.col("area")))
+    every = chosen.select("area", "from", "to", "kind").unionByName(routed.select("area", "from", "to", "kind")).unionByName(direct.select("area", "from", "to", F.lit("calls").alias("kind"))).distinct()
+    return every.select("area.repo", "area.namespace", "from", "to", "kind")

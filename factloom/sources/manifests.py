@@ -127,7 +127,8 @@ def _said(e: ET.Element | None, name: str) -> str | None:
 def maven(text: str) -> dict:
     root = _xml(text)
     deps, at = [], 0
-    for d in _child(root, "dependencies") or ():
+    held = _child(root, "dependencies")
+    for d in held if held is not None else ():
         group, artifact = _said(d, "groupId"), _said(d, "artifactId")
         if artifact:
             at = max(text.find(f"<artifactId>{artifact}<", at), 0)

@@ -216,7 +216,7 @@ def test_functions(spark):
     assert one(fn.slug(lit(" Äpi Gate-Way! "))) == "pi-gate-way" and one(fn.snake(lit("HTTPServerName"))) == "http_server_name" and one(fn.camel(lit("order_item"))) == "orderItem"
     assert [one(fn.plural(lit(w))) for w in ("city", "day", "box", "cat")] == ["cities", "days", "boxes", "cats"] and [one(fn.singular(lit(w))) for w in ("cities", "boxes", "cats", "class")] == ["city", "box", "cat", "class"]
     assert one(fn.join_path(lit("/api/"), lit("//users/:id/<int:n>/{k:[0-9]+}/*rest"))) == "/api/users/{id}/{n}/{k}/{rest}" and one(fn.same_params(lit("/a/:id/b/"))) == "/a/{}/b"
-    assert one(fn.fnv32(lit("é"))) == 0xD0A0B39B or one(fn.fnv32(lit("a"))) == 0xE40C292C
+    assert one(fn.fnv32(lit("é"))) == 0x1E9DE8C1 and one(fn.fnv32(lit("a"))) == 0xE40C292C
     assert one(fn.fnv64(lit("a"))) == "af63dc4c8601ec8c" and one(fn.rfc3339(lit(951782400))) == "2000-02-29T00:00:00Z"
     assert one(fn.placeholder_default(lit("http://${HOST:-db}:${PORT:5432}/${X}"))) == "http://db:5432/"
     assert one(fn.permalink(lit("git@forge.example:a/b.git"), lit("abc"), lit("x.py"), lit(3), lit(5))) == "https://forge.example/a/b/blob/abc/x.py#L3-L5"

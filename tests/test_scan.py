@@ -180,6 +180,28 @@ def test_two_runs_agree(spark, tree, model):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_repositories_dont_mix(spark, tree, model):
+    from pyspark.sql import functions as F
+
+    one = read_tree(spark, tree)
+    both = scan.scan(one.withColumn("repo", F.lit("a")).unionByName(one.withColumn("repo", F.lit("b"))))
+    for name, alone in model.tables().items():
+        drop = [c for c in alone.columns if c == "repo"]
+        want = sorted(alone.drop(*drop).toJSON().collect())
+        for repo in ("a", "b") if drop else ():
+            got = both.tables()[name].where(F.col("repo") == repo).drop("repo").toJSON().collect()
+            assert sorted(x.replace(f'"entity:{repo}:', '"entity::') for x in got) == want, (name, repo)  # keys hold the repository
+
+
+def test_calls_reach_member_repositories(spark, tree):
+    from pyspark.sql import functions as F
+
+    one = read_tree(spark, tree)
+    far = scan.scan(one.where("path not like 'stock/%'").withColumn("repo", F.lit("a")).unionByName(one.where("path like 'stock/%'").withColumn("repo", F.lit("b"))).unionByName(one.where("path like 'stock/%'").withColumn("repo", F.lit("c"))))
+    got = scan.cross_repo(far, spark.createDataFrame([("b", "stock")], "repo string, host string")).collect()
+    assert [(r["repo"], r["member"], r["operation"]) for r in got] == [("a", "b", "stock:POST /books/{book_id}/copies")]
+
+
 def test_diff_says_what_changed(spark, tree, model):
     files = read_tree(spark, tree)
     from pyspark.sql import functions as F

@@ -54,7 +54,13 @@ def test_compose_and_kubernetes(spark):
     files = spark.createDataFrame([("r", "compose.yml", base), ("r", "compose.prod.yml", "services:\n  api: {}\n  cache: {image: redis}\n"), ("r", "k8s/all.yaml", K8S)], "repo string, path string, content string")
     assert [tuple(r) for r in deploy.overlays(deploy.compose_services(files)).select("variant", "adds", "changes").collect()] == [("prod", ["cache"], ["api"])]
     links = deploy.topology_links(deploy.workloads(files))
-    assert sorted(map(tuple, links.collect())) == [("edge", "api", "routes"), ("api", "api-pod", "selects"), ("db", "db-pod", "selects"), ("api-pod", "db-pod", "calls")] or sorted(map(tuple, links.collect())) == sorted([("edge", "api", "routes"), ("api", "api-pod", "selects"), ("db", "db-pod", "selects"), ("api-pod", "db-pod", "calls")])
+    want = {("edge", "api", "routes"), ("api", "api-pod", "selects"), ("db", "db-pod", "selects"), ("api-pod", "db-pod", "calls")}
+    assert {tuple(r) for r in links.collect()} == {("r", "default", *w) for w in want}
+    other = K8S.replace("metadata: {", "metadata: {namespace: far, ").replace("db:5432", "db.default:5432")
+    both = files.unionByName(spark.createDataFrame([("s", "k8s/all.yaml", K8S), ("r", "k8s/far.yaml", other)], files.schema))
+    got = {tuple(r) for r in deploy.topology_links(deploy.workloads(both)).collect()}
+    assert {r[2:] for r in got if r[0] == "s"} == want and {r[2:] for r in got if r[:2] == ("r", "far")} == want
+    assert {r[2:] for r in got if r[:2] == ("r", "default")} == want
     assert deploy.render_values("image: {{ .Values.image.name | quote }}:{{ .Values.tag | default \"v1\" }}", {"image": {"name": "x"}}) == "image: x:v1" and deploy.render_values("{{ if .Values.a }}x{{ end }}", {}) is None
 
 
