@@ -45,9 +45,12 @@ def chunked(rows: DataFrame, scope: Sequence[str], order: Sequence, size: int =
 
 
 def shortest_suffix(rows: DataFrame, group: str, path: str, sep: str = "/") -> DataFrame:
-    """`suffix`: as few last parts of the path as tell all paths of its group apart, one at least; whole paths else."""
+    """`suffix`: as few last parts of the path as tell all paths of its group apart, one at least; whole paths else.
+
+    Paths with the same parts are one path, whatever separators they repeat or end with.
+    """
     parts = F.filter(F.split(path, sep), lambda p: p != "")
-    deep = rows.select(group, F.col(path).alias("_p"), parts.alias("_s")).distinct()
+    deep = rows.select(group, parts.alias("_s")).distinct()
     # a path shorter than k takes part with all of its parts
     most = deep.groupBy(group).agg(F.max(F.size("_s")).alias("most"), F.count("*").alias("paths"))
     every = deep.join(most, group).withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest("most", F.lit(1)))))

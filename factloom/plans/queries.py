@@ -127,15 +127,28 @@ def _edges(spark, sf_dir, most: int) -> DataFrame:
     return windows.top_per_group(counted, ["src"], [F.desc("n"), "dst"], most, "r")
 
 
-@query(EDGES + """,
-keys AS (SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst, l_orderkey AS k FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey),
-top AS (SELECT src, dst, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY k) AS r FROM keys) WHERE r <= 6 GROUP BY 1, 2)
-SELECT src, dst, n, first_order, evidence FROM e JOIN top USING (src, dst)""")
+@query("""
+WITH l AS (SELECT 'n' || s_nationkey AS source, 'n' || c_nationkey AS target, l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_quantity > 45 THEN 'code' WHEN l_linenumber = 1 THEN 'compose' ELSE 'manifest' END AS origin,
+                  o_orderpriority AS edge_type, o_orderstatus AS label, 'o' || l_orderkey AS evidence
+           FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey <> c_nationkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY seq) AS n FROM l),
+c AS (SELECT source, target, min(n) FILTER (WHERE origin = 'code') AS c FROM r GROUP BY 1, 2),
+o AS (SELECT r.*, CASE WHEN n = c THEN 0 ELSE n END AS pos FROM r JOIN c USING (source, target)),
+x AS (SELECT *, lag(evidence) OVER (PARTITION BY source, target ORDER BY pos) AS before FROM o),
+e AS (SELECT source, target, evidence, pos, row_number() OVER (PARTITION BY source, target ORDER BY pos) AS k FROM x WHERE before IS DISTINCT FROM evidence)
+SELECT o.source, o.target, arg_min(edge_type, o.pos) AS edge_type, arg_min(label, o.pos) AS label, (SELECT string_agg(DISTINCT origin, '+' ORDER BY origin) FROM l WHERE l.source = o.source AND l.target = o.target) AS sources,
+       (SELECT string_agg(evidence, ',' ORDER BY pos) FROM e WHERE e.source = o.source AND e.target = o.target AND k <= 6) AS evidence FROM o GROUP BY 1, 2""")
 def q06_merge_edges(spark, sf_dir):
-    per_order = _shipments(spark, sf_dir).groupBy("src", "dst", "order").agg(F.count("*").alias("n"))
-    whole = per_order.groupBy("src", "dst").agg(F.sum("n").alias("n"), F.min("order").alias("first_order"))
-    top = windows.top_per_group(per_order, ["src", "dst"], ["order"], 6).groupBy("src", "dst").agg(F.array_join(F.transform(F.array_sort(F.collect_list("order")), lambda k: k.cast("string")), ",").alias("evidence"))
-    return whole.join(top, ["src", "dst"])
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    customer, supplier = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    met = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    origin = F.when(F.col("l_quantity") > 45, "code").when(F.col("l_linenumber") == 1, "compose").otherwise("manifest")
+    rows = met.select(
+        F.concat(F.lit("n"), "s_nationkey").alias("source"), F.concat(F.lit("n"), "c_nationkey").alias("target"), F.col("o_orderpriority").alias("edge_type"), F.col("o_orderstatus").alias("label"), origin.alias("origin"),
+        F.concat(F.lit("o"), "l_orderkey").alias("evidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+    )
+    return aggregates.merge_relationships(rows).select("source", "target", "edge_type", "label", F.array_join("sources", "+").alias("sources"), F.array_join("evidence", ",").alias("evidence"))
 
 
 @query(EDGES + """,
@@ -320,8 +333,9 @@ def q23_score(spark, sf_dir):
 
 @query("""SELECT sha256(text) AS h, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text""")
 def q24_first_definition(spark, sf_dir):
-    # the digest stands for the text, so that texts don't move; the first definition is a minimum, so no window is needed
-    return table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("h"), "doc_id").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    # the digest stands for the text, so that texts don't move
+    rows = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("h"), "doc_id")
+    return windows.first_definition(rows, ["h"], ["doc_id"]).join(rows.groupBy("h").agg(F.count("*").alias("copies")), "h")
 
 
 @query("""
@@ -435,3 +449,142 @@ def q35_prefer_own(spark, sf_dir):
     alias = F.when(F.col("c_mktsegment") == "BUILDING", "ECONOMY").when(F.col("c_mktsegment") == "MACHINERY", "SMALL").otherwise("PROMO")
     accesses = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("access_id"), alias.alias("alias"), (F.col("c_nationkey") * 2 + 1).alias("unit"))
     return joins.prefer_own(accesses, entities).select("access_id", "alias", "unit", "entity")
+
+
+@query("""
+WITH s AS (SELECT source, lang, CAST(sum(n_chars) AS BIGINT) AS weight FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2)
+SELECT source, lang AS language, weight FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, lang) AS r FROM s) WHERE r = 1""")
+def q36_dominant(spark, sf_dir):
+    return aggregates.dominant(table(spark, sf_dir, "documents").where("lang is not null"), ["source"], "lang", "n_chars", "language")
+
+
+@query("""
+WITH c AS (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2)
+SELECT source, string_agg(n || ' ' || lang, ', ' ORDER BY n DESC, lang) AS census FROM c GROUP BY 1""")
+def q37_census(spark, sf_dir):
+    return aggregates.census(table(spark, sf_dir, "documents").where("lang is not null"), ["source"], "lang")
+
+
+@query("""
+WITH r AS (SELECT 't' || n_regionkey AS tab, 'u' || (n_nationkey % 3) AS unit, n_nationkey % 4 = 0 AND n_regionkey <> 2 AS physical,
+                  CASE WHEN n_nationkey % 4 = 0 AND n_regionkey <> 2 THEN 'ddl' WHEN n_nationkey % 4 = 1 THEN 'alembic' ELSE 'jpa' END AS source, n_nationkey AS pos, n_name AS col FROM nation),
+t AS (SELECT tab, count(DISTINCT unit) FILTER (WHERE NOT physical) AS units, bool_or(physical) AS known FROM r GROUP BY 1),
+k AS (SELECT r.*, CASE WHEN units > 1 AND NOT known THEN 'entity:' || unit || '.' || tab ELSE 'entity:' || tab END AS entity, CASE WHEN physical THEN 0 ELSE 1 END AS p, CASE source WHEN 'ddl' THEN 0 WHEN 'alembic' THEN 1 ELSE 3 END AS rank FROM r JOIN t USING (tab)),
+o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY p, rank, pos) AS n FROM k),
+s AS (SELECT entity, string_agg(source, '+' ORDER BY rank) AS source FROM (SELECT DISTINCT entity, source, rank FROM k) GROUP BY 1)
+SELECT entity, tab AS "table", s.source, string_agg(DISTINCT unit, ',' ORDER BY unit) AS declared_by, CASE WHEN bool_or(physical AND n = 1) THEN max(col) FILTER (WHERE n = 1) ELSE string_agg(col, ',' ORDER BY n) END AS columns
+FROM o JOIN s USING (entity) GROUP BY 1, 2, 3""")
+def q38_merge_entities(spark, sf_dir):
+    physical = (F.col("n_nationkey") % 4 == 0) & (F.col("n_regionkey") != 2)
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("t"), "n_regionkey").alias("table"), F.concat(F.lit("u"), (F.col("n_nationkey") % 3).cast("string")).alias("unit"), F.when(physical, "ddl").when(F.col("n_nationkey") % 4 == 1, "alembic").otherwise("jpa").alias("source"),
+        physical.alias("physical"), F.col("n_nationkey").alias("pos"), F.array(F.struct(F.col("n_name").alias("name"), none.alias("references"), none.alias("default"))).alias("columns"),
+    )
+    out = aggregates.merge_entities(rows)
+    return out.select("entity", "table", "source", F.array_join("declared_by", ",").alias("declared_by"), F.array_join(F.transform("columns", lambda c: c["name"]), ",").alias("columns"))
+
+
+@query(EDGES + """,
+busy AS (SELECT src, dst FROM ranked WHERE r <= 3),
+p AS (SELECT 0 AS node, [0] AS path UNION ALL SELECT busy.dst, list_append(p.path, busy.dst) FROM p JOIN busy ON busy.src = p.node WHERE len(p.path) < 8 AND NOT list_contains(p.path, busy.dst)),
+best AS (SELECT path FROM p WHERE node = 10 ORDER BY len(path), path LIMIT 1)
+SELECT CAST(i AS INTEGER) AS pos, path[i] AS node FROM best, LATERAL (SELECT unnest(range(1, len(path) + 1)) AS i)""")
+def q39_shortest_path(spark, sf_dir):
+    found = graphs.shortest_path(_edges(spark, sf_dir, 3), 0, 10)
+    return spark.createDataFrame([(i, int(x)) for i, x in enumerate(found, 1)], "pos int, node int")
+
+
+@query("""
+WITH s AS (SELECT n_nationkey AS sid, n_nationkey % 3 AS scope, CASE n_nationkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END AS st, CASE WHEN n_nationkey % 2 = 1 THEN '5-LOW' END AS pr FROM nation)
+SELECT sid, count(*) AS objects, min(o_orderkey) AS first_object FROM s JOIN orders ON o_custkey % 3 = scope AND o_orderstatus = st AND (pr IS NULL OR o_orderpriority = pr) GROUP BY 1""")
+def q40_selected(spark, sf_dir):
+    key = F.col("n_nationkey")
+    status = F.when(key % 3 == 0, "F").when(key % 3 == 1, "O").otherwise("P")
+    selector = F.when(key % 2 == 1, F.create_map(F.lit("status"), status, F.lit("priority"), F.lit("5-LOW"))).otherwise(F.create_map(F.lit("status"), status))
+    selectors = table(spark, sf_dir, "nation").select(key.alias("sid"), (key % 3).cast("long").alias("namespace"), selector.alias("selector"))
+    objects = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("oid"), (F.col("o_custkey") % 3).cast("long").alias("namespace"), F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), "o_orderpriority").alias("labels"))
+    return joins.selected(selectors, objects).groupBy("sid").agg(F.count("*").alias("objects"), F.min("oid").alias("first_object"))
+
+
+@query("""
+WITH h AS (SELECT DISTINCT o_custkey AS class, o_custkey % 40 AS unit, o_orderpriority || o_orderstatus AS m FROM orders),
+n AS (SELECT unit, interface, unnest(['1-URGENTF', '5-LOWO', '2-HIGHF', '3-MEDIUMO'][1:k]) AS m, k FROM (SELECT DISTINCT unit FROM h), (VALUES ('two', 2), ('three', 3), ('four', 4)) t(interface, k)),
+f AS (SELECT n.unit, interface, class, k FROM n JOIN h USING (unit, m) GROUP BY ALL HAVING count(*) = k),
+o AS (SELECT unit, interface, min(class) AS class FROM f GROUP BY 1, 2 HAVING count(*) = 1)
+SELECT DISTINCT n.unit, n.interface, o.class FROM n LEFT JOIN o USING (unit, interface)""")
+def q41_only_implementor(spark, sf_dir):
+    classes = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("class")).agg(F.collect_set(F.concat("o_orderpriority", "o_orderstatus")).alias("methods")).withColumn("unit", F.col("class") % 40)
+    wanted = ["1-URGENTF", "5-LOWO", "2-HIGHF", "3-MEDIUMO"]
+    kinds = spark.createDataFrame([(name, wanted[:k]) for name, k in (("two", 2), ("three", 3), ("four", 4))], "interface string, methods array<string>")
+    interfaces = classes.select("unit").distinct().join(F.broadcast(kinds))  # three rows
+    return joins.only_implementor(interfaces, classes).select("unit", "interface", "class")
+
+
+@query("""
+WITH s AS (SELECT o_custkey AS operation, list(DISTINCT o_orderpriority) FILTER (WHERE o_orderstatus = 'F') AS f, list(DISTINCT o_orderpriority) FILTER (WHERE o_orderstatus = 'O') AS o FROM orders GROUP BY 1)
+SELECT operation, CASE WHEN f IS NOT NULL THEN array_to_string(list_sort(list_filter(o, lambda x: NOT list_contains(f, x))), ',') END AS drift FROM s WHERE o IS NOT NULL""")
+def q42_drift(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("operation"), "o_orderpriority", "o_orderstatus")
+    calls = orders.where("o_orderstatus = 'O'").groupBy("operation").agg(F.collect_set("o_orderpriority").alias("reads"))
+    served = orders.where("o_orderstatus = 'F'").groupBy("operation").agg(F.collect_set("o_orderpriority").alias("fields"))
+    return sets.drift(calls, served).select("operation", F.array_join("drift", ",").alias("drift"))
+
+
+@query(r"""
+WITH d AS (SELECT DISTINCT split_part(split_part(url, '://', 2), '/', 1) AS host, list_filter(string_split(regexp_extract(url, '://([^?#]*)', 1), '/'), lambda x: x <> '') AS s FROM pages),
+m AS (SELECT host, max(len(s)) AS most, count(*) AS paths FROM d GROUP BY 1),
+e AS (SELECT d.host, k, paths, count(DISTINCT array_to_string(s[greatest(len(s) - k + 1, 1):], '/')) AS n FROM d JOIN m USING (host), LATERAL (SELECT unnest(range(1, greatest(most, 1) + 1)) AS k) GROUP BY ALL),
+b AS (SELECT host, min(k) AS k FROM e WHERE n = paths GROUP BY 1)
+SELECT page_id, array_to_string(s[greatest(len(s) - greatest(1, least(coalesce(k, len(s)), len(s))) + 1, 1):], '/') AS suffix
+FROM (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, list_filter(string_split(regexp_extract(url, '://([^?#]*)', 1), '/'), lambda x: x <> '') AS s FROM pages) LEFT JOIN b USING (host)""")
+def q43_shortest_suffix(spark, sf_dir):
+    rest = F.regexp_extract("url", "://([^?#]*)", 1)
+    pages = table(spark, sf_dir, "pages").select("page_id", F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)).alias("host"), rest.alias("path"))
+    return windows.shortest_suffix(pages, "host", "path").select("page_id", "suffix")
+
+
+@query("""
+SELECT event_id, view_id FROM (SELECT *, max(CASE WHEN event_type = 'view' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS view_id FROM events) WHERE event_type = 'click'""")
+def q44_nearest_before(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    marks = events.where("event_type = 'view'").select("user_id", "event_id", F.col("event_id").alias("view_id"))
+    return windows.nearest_before(events.where("event_type = 'click'"), marks, ["user_id"], "event_id", "view_id").select("event_id", "view_id")
+
+
+@query("""
+SELECT event_id, event_type FROM (SELECT *, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS w FROM events) WHERE event_type <> 'view' OR w IS NULL OR event_id - w > 500""")
+def q45_suppress_after(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "purchase", "write").when(F.col("event_type") == "view", "read").otherwise("none")
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", kind.alias("kind"))
+    return windows.suppress_after(events, ["user_id"], "event_id", "kind", 500).select("event_id", "event_type")
+
+
+SCOPED = ORACLES["q05_best_match"].replace("SELECT page_id AS call_id,", "SELECT page_id AS call_id, starts_with(url, 'https') AS area,", 1).replace("WITH ops(operation, unit, method, path, part) AS (VALUES", "WITH plain(operation, unit, method, path, part) AS (VALUES", 1).replace(
+    "o AS (SELECT *,", "ops AS (SELECT area || operation AS operation, unit, method, path, part, area = 'tls ' AS area FROM plain, (VALUES ('tls '), ('bare ')) t(area) WHERE area = 'tls ' OR unit <> 'net'),\no AS (SELECT *,", 1
+).replace("ON c.unit <> o.unit AND", "ON c.area = o.area AND c.unit <> o.unit AND", 1)
+
+
+@query(SCOPED)
+def q46_scoped_match(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    calls = pages.select(
+        F.col("page_id").alias("call_id"), F.col("url").startswith("https").alias("area"), F.regexp_extract("url", "://[^/?#]*[.]([a-z]+)", 1).alias("unit"), F.when(F.col("page_id") % 3 == 0, "POST").otherwise("GET").alias("method"), fn.url_path(F.col("url")).alias("path")
+    )
+    both = [(f"{'tls' if area else 'bare'} {o[0]}", *o[1:], area) for area in (True, False) for o in OPERATIONS if area or o[1] != "net"]
+    operations = spark.createDataFrame(both, "operation string, unit string, method string, path string, path_partial boolean, area boolean")
+    return joins.best_match(calls, operations, "area").select("call_id", F.col("score").cast("long").alias("score"), "operation")
+
+
+@query("""
+WITH ids AS (SELECT r_name AS id FROM region UNION ALL SELECT n_name FROM nation UNION ALL SELECT 'e' || (n_nationkey % 20) FROM nation)
+SELECT 'ERR_INVALID_ID' AS code, count(*) AS n FROM ids WHERE NOT regexp_full_match(id, '[A-Za-z0-9][A-Za-z0-9_.-]*') HAVING count(*) > 0
+UNION ALL SELECT 'ERR_DUPLICATE_ID', count(*) FROM (SELECT id FROM ids GROUP BY id HAVING count(*) > 1) HAVING count(*) > 0""")
+def q47_id_checks(spark, sf_dir):
+    from factloom.plans.validate import id_checks
+
+    d = F.lit("d").alias("diagram")
+    nation = table(spark, sf_dir, "nation")
+    containers = table(spark, sf_dir, "region").select(d, F.col("r_name").alias("id"))
+    edges = nation.select(d, F.concat(F.lit("e"), (F.col("n_nationkey") % 20).cast("string")).alias("id"))
+    return id_checks(containers, nation.select(d, F.col("n_name").alias("id")), edges).groupBy("code").agg(F.count("*").alias("n"))
