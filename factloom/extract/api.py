@@ -155,6 +155,7 @@ def _key(file: str, name: str) -> str:
 def _python(unit: Unit, files: dict[str, str]) -> None:
     modules = {p.removesuffix(".py").removesuffix("/__init__").replace("/", "."): p for p in files if p.endswith(".py")}
     trees: dict[str, ast.Module] = {}
+    walked: dict[str, list[ast.AST]] = {}  # every node, in the order of a walk
     members: dict[str, set[str]] = {}  # values of string attributes of classes, by name
     for path, text in files.items():
         if path.endswith(".py"):
@@ -162,7 +163,8 @@ def _python(unit: Unit, files: dict[str, str]) -> None:
                 trees[path] = ast.parse(text)
             except SyntaxError:
                 continue
-            for c in (n for n in ast.walk(trees[path]) if isinstance(n, ast.ClassDef)):
+            walked[path] = list(ast.walk(trees[path]))
+            for c in (n for n in walked[path] if isinstance(n, ast.ClassDef)):
                 for n in c.body:
                     target = n.targets[0] if isinstance(n, ast.Assign) else n.target if isinstance(n, ast.AnnAssign) else None
                     if isinstance(target, ast.Name) and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str):
@@ -171,7 +173,7 @@ def _python(unit: Unit, files: dict[str, str]) -> None:
         imported: dict[str, str] = {}
         consts = {t.id: n.value.value for n in tree.body if isinstance(n, ast.Assign) and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str) for t in n.targets if isinstance(t, ast.Name)}
         here = path.removesuffix(".py").removesuffix("/__init__").replace("/", ".").split(".")
-        for n in ast.walk(tree):
+        for n in walked[path]:
             if isinstance(n, ast.ImportFrom):
                 base = ".".join([*here[: len(here) - n.level + path.endswith("__init__.py")], *([n.module] if n.module else [])]) if n.level else n.module or ""
                 for a in n.names:
@@ -207,7 +209,7 @@ def _python(unit: Unit, files: dict[str, str]) -> None:
             names = [ast.unparse(c.args[0]) for c in ast.walk(given) if isinstance(c, ast.Call) and ast.unparse(c.func).split(".")[-1] in ("Depends", "Security") and c.args] if given else []
             return [a for a in map(auth_of, names) if a]
 
-        for n in ast.walk(tree):
+        for n in walked[path]:
             if isinstance(n, ast.Assign) and isinstance(n.value, ast.Call) and isinstance(n.targets[0], ast.Name):
                 kind = ast.unparse(n.value.func).split(".")[-1]
                 kw = {k.arg: k.value for k in n.value.keywords}
@@ -223,7 +225,7 @@ def _python(unit: Unit, files: dict[str, str]) -> None:
                 unit.mounts.append((router(n.func.value), router(n.args[0]), "" if prefix is None else said(prefix)))
                 if n.func.attr == "include_router":
                     unit.guards.setdefault(router(n.args[0]), []).extend(guards(n))
-        for f in ast.walk(tree):
+        for f in walked[path]:
             if not isinstance(f, ast.FunctionDef | ast.AsyncFunctionDef):
                 continue
             for d in f.decorator_list:
@@ -260,8 +262,8 @@ def _python(unit: Unit, files: dict[str, str]) -> None:
                 answers = list(dict.fromkeys(k.value for d_ in given for k in d_.keys if isinstance(k, ast.Constant) and isinstance(k.value, str)))
                 for method in methods:
                     unit.route(router(d.func.value), method or "ANY", at, file=path, line=f.lineno, framework="Flask" if flask else "FastAPI", handler=f.name, params=params, request=request, response=response, status=status, errors=[r for r in raised if r], auth=auth, answers=answers, summary=(ast.get_docstring(f) or "").split("\n")[0] or None)
-        owner = lambda line: min((f for f in ast.walk(tree) if isinstance(f, ast.FunctionDef | ast.AsyncFunctionDef) and f.lineno <= line <= f.end_lineno), key=lambda f: f.end_lineno - f.lineno, default=None)
-        for c in ast.walk(tree):
+        owner = lambda line: min((f for f in walked[path] if isinstance(f, ast.FunctionDef | ast.AsyncFunctionDef) and f.lineno <= line <= f.end_lineno), key=lambda f: f.end_lineno - f.lineno, default=None)
+        for c in walked[path]:
             if isinstance(c, ast.Call) and isinstance(c.func, ast.Attribute) and c.func.attr in VERBS and c.args:
                 base = ast.unparse(c.func.value)
                 if re.search(r"(?i)^(requests|httpx)\b|client|session|http|api$", base) and _key(path, base) not in unit.apps and base not in ("app", "router"):

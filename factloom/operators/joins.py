@@ -50,8 +50,27 @@ def _fits(a: Column, b: Column) -> Column:
     return F.forall(F.zip_with(a, b, lambda x, y: (x == y) | _open(x) | _open(y)), lambda ok: ok)
 
 
-#: Marks under which operations and calls with a parameter at a path's end register; no path holds them.
-_ANY, _PARAMETER, _ROOT = "\u0001*", "\u0001{", "\u0001/"
+#: Marks under which operations and calls with parameters register; no path holds them. Segments that a face shows.
+_ANY, _PARAMETER, _ROOT, _CUT, _SHOWN = "\u0001*", "\u0001{", "\u0001/", "\u0002", 5
+
+
+def _shown(segments: Column) -> Column:
+    """The segments of a path that its face shows: all, or the first two and the last three."""
+    n = F.size(segments)
+    return F.when(n <= _SHOWN, segments).otherwise(F.concat(F.slice(segments, 1, 2), F.slice(segments, F.greatest(n - 2, F.lit(1)), F.lit(3))))
+
+
+def _face(segments: Column) -> Column:
+    """An operation's face: its literals, and a mark for each parameter."""
+    return F.array_join(F.transform(_shown(segments), lambda s: F.when(_open(s), F.lit(_PARAMETER)).otherwise(s)), _CUT)
+
+
+def _faces(segments: Column) -> Column:
+    """The faces of the operations that a call without parameters may reach: each of its segments as it is, or a parameter."""
+    shown = _shown(segments)
+    masks = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size(shown)) - 1)
+    bit = lambda mask, i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1
+    return F.transform(masks, lambda mask: F.array_join(F.transform(shown, lambda s, i: F.when(bit(mask, i), F.lit(_PARAMETER)).otherwise(s)), _CUT))
 
 
 def _ends(segments: Column, asked: bool) -> list[Column]:
@@ -81,8 +100,8 @@ def best_match(calls: DataFrame, operations: DataFrame, scope: str | None = None
     pair of segments that are equal or both parameters; a partial operation that ends a longer call scores 500 and its
     length; an operation that a shorter call ends scores 100 and the call's length. A tie for the best gives null.
     With `scope`, a column of both, only operations of the call's scope count, and only they can tie.
-    Candidates meet by equality of scope, method, segments compared and both ends of the path, so operations of one
-    length meet only the calls that agree with them there.
+    Candidates meet by equality: a call without parameters under the 2^k faces of the operations that may fit it, of
+    which an operation has one; a call with parameters by both ends of its path.
     """
     area = F.col(scope) if scope else F.lit(0)
     c = calls.select(area.alias("area"), "call_id", "unit", "method", _segments(F.col("path")).alias("cs")).withColumn("cn", F.size("cs"))
@@ -91,7 +110,10 @@ def best_match(calls: DataFrame, operations: DataFrame, scope: str | None = None
     other, keys = F.col("unit") != F.col("ounit"), ["area", "m", "n", "first", "last"]
 
     def met(asked: DataFrame, offered: DataFrame, ct: Column, ot: Column) -> DataFrame:
-        return _registered(asked, ct, True).join(_registered(offered, ot, False), keys).where(other & _fits(ct, ot))
+        loose, columns = F.exists(ct, _open), ["call_id", "operation", "cs", "os", "cn", "on"]
+        plain = asked.where(~loose).withColumn("face", F.explode(_faces(ct))).join(offered.withColumn("face", _face(ot)), ["area", "m", "n", "face"])
+        ends = _registered(asked.where(loose), ct, True).join(_registered(offered, ot, False), keys)
+        return plain.where(other & _fits(ct, ot)).select(*columns).unionByName(ends.where(other & _fits(ct, ot)).select(*columns))
 
     whole = met(c.withColumn("n", F.col("cn")), o.withColumn("n", F.col("on")), F.col("cs"), F.col("os"))
     alike = F.zip_with("cs", "os", lambda x, y: (x == y) | (_open(x) & _open(y)))

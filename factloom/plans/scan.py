@@ -119,7 +119,10 @@ def _unit_rows(files: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFram
         return pa.Table.from_pylist(rows, schema=arrow)
 
     owned = files.join(owners.withColumnsRenamed({"repo": "_r", "path": "_p"}), F.col("repo").eqNullSafe(F.col("_r")) & (F.col("path") == F.col("_p"))).select(F.coalesce("repo", F.lit("")).alias("_k"), "repo", "unit", "path", "content")
-    found = cut(owned.groupBy("_k", "unit").applyInArrow(read, kind))
+    # few bytes, much work: a stated number of partitions isn't coalesced
+    session = files.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    found = cut(owned.repartition(tasks, "_k", "unit").groupBy("_k", "unit").applyInArrow(read, kind))
     return found.where("what = 'o'").select("repo", "unit", "o.*"), found.where("what = 'c'").select("repo", "unit", "c.*")
 
 
