@@ -43,7 +43,7 @@ def _json(df) -> list[dict]:
 
 def report(model, flows) -> dict:
     """The whole scan as one document."""
-    kept = ("units", "infra", "relationships", "operations", "models", "excluded", "client_calls", "entities", "accesses", "state_machines", "transitions", "events")
+    kept = ("units", "infra", "relationships", "operations", "models", "excluded", "client_calls", "entities", "accesses", "state_machines", "transitions", "events", "workloads", "topology", "overlays", "configuration", "summaries", "commands")
     return {name: sorted(_json(df), key=lambda r: json.dumps(r, sort_keys=True)) for name, df in model.tables().items() if name in kept} | {"flows": _json(flows)}
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from factloom.extract.code import Source
 from factloom.sources.schemas import close, split_top
 
@@ -61,3 +64,10 @@ def commands(path: str, text: str) -> list[dict]:
         c["program"] = c["program"] or program
         c["args"] = [a for x in c["args"] for a in (groups.get(x[1], []) if isinstance(x, tuple) else [x])]
     return out
+
+
+def surface(files: DataFrame) -> DataFrame:
+    """The commands of all files, as rows."""
+    from factloom.sources.files import extract
+
+    return extract(files, commands, COMMAND, F.col("path").endswith(".rs") & F.col("content").rlike(r"clap|#\[(?:arg|command)"))

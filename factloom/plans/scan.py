@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.extract import api, code, data, events
+from factloom.extract import api, code, commands, data, events
 from factloom.extract import models as shapes
 from factloom.operators import aggregates, joins, sets
 from factloom.operators.cut import cut
 from factloom.plans import states
-from factloom.sources import catalog, deploy, manifests, schemas
+from factloom.sources import catalog, config, deploy, manifests, schemas, specs
 from factloom.sources.files import _arrow, extract, with_language
 
 #: What a unit does to a third party; fixed values.
@@ -45,6 +45,12 @@ class Model:
     transitions: DataFrame
     events: DataFrame
     flows_input: DataFrame
+    workloads: DataFrame
+    topology: DataFrame
+    overlays: DataFrame
+    configuration: DataFrame
+    summaries: DataFrame
+    commands: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
@@ -180,9 +186,13 @@ def scan(files: DataFrame) -> Model:
     unit_table = cut(_unit_table(units, owned, kinds, services))
     infra, relationships = _relationships(unit_table, uses, access, found, calls, services)
     machines, moves = _states(entities, access)
+    placed = cut(_by_repo(deploy.workloads(files)).where("error is null").drop("error"))
+    clean = lambda rows: _by_repo(rows).where("error is null").drop("error")
     return Model(
         files=files.join(owners, ["repo", "path"], "left").select("repo", "path", "unit"), facts=owned, units=unit_table, infra=infra, relationships=relationships, operations=operations, models=_reachable(operations, shaped), excluded=left_out, client_calls=calls,
         entities=entities.drop("code_names"), accesses=access, state_machines=machines, transitions=moves, events=found, flows_input=owned.select("repo", "unit", "path", "symbols", "calls"),
+        workloads=placed, topology=deploy.topology_links(placed.withColumn("error", F.lit(None).cast("string"))), overlays=deploy.overlays(services), configuration=clean(config.configs(files)), summaries=clean(specs.readmes(files)),
+        commands=clean(commands.surface(files)),
     )
 
 

@@ -240,6 +240,36 @@ def test_score(spark, tree, model):
     assert row["source_read"] == 1.0 and row["data_described"] == 1.0 and row["evidence_verified"] is None and 0 < row["score"] <= 100
 
 
+def test_deployment_configuration_and_commands_reach_model_and_book(spark):
+    from factloom.plans.flows import flows
+    from factloom.sources import specs
+
+    manifest = """kind: Deployment
+metadata: {name: desk}
+spec: {template: {metadata: {labels: {app: desk}}, spec: {containers: [{image: "lib/desk:1", env: [{name: DB, value: "postgres://store:5432/x"}]}]}}}
+---
+kind: StatefulSet
+metadata: {name: store}
+spec: {template: {metadata: {labels: {app: store}}}}
+---
+kind: Service
+metadata: {name: store}
+spec: {selector: {app: store}}
+"""
+    extra = {
+        "k8s/all.yaml": manifest, "stock/src/main/resources/application-prod.yml": "server:\n  port: 8080\n", "compose.prod.yml": "services:\n  desk: {}\n  cache: {image: redis}\n",
+        "tool/Cargo.toml": '[package]\nname = "tool"\n[dependencies]\nclap = "4"\n', "tool/src/main.rs": "use clap::Parser;\n/// Counts books.\n#[derive(Parser)]\nstruct Args {\n    /// How many.\n    #[arg(long)]\n    most: Option<u32>,\n}\n",
+    }
+    files = spark.createDataFrame([(None, p, t) for p, t in {**TREE, **extra}.items()], "repo string, path string, content string")
+    model = scan.scan(files)
+    assert [tuple(r)[2:] for r in model.topology.orderBy("from", "to").collect()] == [("desk", "store", "calls"), ("store", "store", "selects")]
+    assert [(r["key"], r["value"], r["profile"]) for r in model.configuration.collect()] == [("server.port", "8080", "prod")]
+    pages = book.plan(model, flows(model), coverage(files))
+    assert "figures/deployment.svg" in pages and specs.diagram_errors(pages["ir/deployment.json"]) == []
+    assert "server.port" in pages["configuration.md"] and "Lends books." in pages["index.md"] and "--most" in pages["commands.md"] and "| desk | loans" in pages["data.md"]
+    assert "### POST /api/loans" in pages["requirements.md"] and "- Access: authenticated" in pages["requirements.md"] and "writes loans" in pages["requirements.md"]
+
+
 def test_book_is_incremental(tmp_path):
     files = {"a.md": "one\n", "ir/x.json": "{}\n"}
     assert book.write(files, str(tmp_path))["written"] == ["a.md", "ir/x.json"] and book.check(files, str(tmp_path)) == {"changed": [], "missing": [], "orphaned": []}
