@@ -34,9 +34,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
+def write_shared(df: DataFrame, name: str, *parts: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read again: a cut of the lineage that survives lost executors.
 
+    Rows of a value of `parts`, the last columns, are in folders of their own, so a filter on these reads no others.
+
     The folder is removed by :func:`clean_shared`, at the latest when the driver's Python ends.
     """
     spark = df.sparkSession
@@ -48,7 +50,8 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(*parts) if parts else writer).parquet(path)
     finally:
         spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -311,18 +311,20 @@ def test_line_dedup_allows_longer_lines_more_edits(spark):
 def test_buckets_let_dense_keys_go():
     np = pytest.importorskip("numpy")
     rnd = random.Random(4)
-    entries = [(7 if rnd.random() < 0.5 else rnd.randrange(60), n, 0x8000, 100) for n in range(600)]
+    entries = [(7 if rnd.random() < 0.5 else rnd.randrange(60), n, 0x8000, 100, 5) for n in range(600)]
     outs = []
     for held in (10**6, 50):
         bucket, dense = editjoin.Bucket(3, 2, 40, dense=2, held=held), []
         for at in range(0, 600, 30):
             columns = zip(*entries[at : at + 30], strict=True)
-            dense += bucket.add(9, b"".join(np.array(c, k).tobytes() for c, k in zip(columns, ("<u4", "<u2", "<u2", "<u2"), strict=True)))
+            key, *rest = columns
+            parts = [np.array(key, "<u4") << 8, *(np.array(c, k) for c, k in zip(rest, ("<u2", "<u2", "<u2", "u1"), strict=True))]
+            dense += bucket.add(9, b"".join(x.astype(x.dtype.newbyteorder("<")).tobytes() for x in parts))
         pairs, more = bucket.met()
         rows = {(k, a) for part in dense + more for k, _, a in zip(*(c.tolist() for c in part), strict=True)}
         outs.append((set() if pairs is None else set(zip(pairs[1].tolist(), pairs[3].tolist(), strict=True)), rows))
     held = Counter(e[0] for e in entries)
-    assert outs[0] == outs[1] and {a for k, a in outs[0][1] if k == 3 << 32 | 7} == {n for k, n, _, _ in entries if k == 7}
+    assert outs[0] == outs[1] and {a for k, a in outs[0][1] if k == 3 << 32 | 7} == {n for k, n, *_ in entries if k == 7}
     assert {k & 0xFFFFFFFF for k, _ in outs[0][1]} == {k for k, n in held.items() if n > 3}
 
 
