@@ -302,8 +302,8 @@ def test_line_dedup_allows_longer_lines_more_edits(spark):
     near = {(i, j) for j, b in enumerate(lines) for i, a in enumerate(lines[:j]) if min(len(a), len(b)) >= 20 and abs(len(a) - len(b)) <= 10 and distance(a, b) <= max(2, min(len(a), len(b)) // 40)}
     assert any(distance(lines[i], lines[j]) > 5 for i, j in near)
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    for dense in (48, 2):  # pairs as they meet, and all of them through rounds
-        got = linededup.dedup_lines(df, dense=dense).collect()
+    for dense, bound in ((48, 0), (2, 0), (2, 10**6)):  # pairs as they meet, all of them through rounds, and where they go to every task
+        got = linededup.dedup_lines(df, dense=dense, bound=bound).collect()
         assert {r["doc_id"] for r in got if r["n_near"]} == {j for _, j in near}
         assert all((r["near_lines"][0]["of_doc"], r["doc_id"]) in near for r in got if r["n_near"])
 
@@ -333,8 +333,9 @@ def test_line_dedup_of_many_variants(spark):
     lines = list(dict.fromkeys(lines + [f"{words(rnd, 6)} {base[:120]} {words(rnd, 8)}" for _ in range(120)]))
     rnd.shuffle(lines)
     near = {j for j, b in enumerate(lines) if any(editjoin.within(a, b, max(2, min(len(a), len(b)) // 40)) for a in lines[:j])}
-    got = linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
-    assert {r["doc_id"] for r in got if r["n_near"]} == near and len(lines) - len(near) > 20
+    for bound in (10**7, 0):
+        got = linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), bound=bound).collect()
+        assert {r["doc_id"] for r in got if r["n_near"]} == near and len(lines) - len(near) > 20
 
 
 def test_line_dedup_edges(docs, rows, empty):
