@@ -98,7 +98,7 @@ class Codec:
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM tokens")
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.rank_of: dict[int, int] = {}
-        self.pairs = (pairs, merged)
+        self.pairs = (np.array(pairs, np.int64), np.array(merged, np.int64))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -128,7 +128,7 @@ class Codec:
         from heapq import heapify, heappop, heappush
 
         if not self.rank_of:
-            self.rank_of = dict(zip(*self.pairs, strict=True))
+            self.rank_of = dict(zip(*(x.tolist() for x in self.pairs), strict=True))
         rank_of, n = self.rank_of.get, len(word)
         tok = array("q", self.byte[list(word)].tolist())
         after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
