@@ -68,8 +68,8 @@ class Encoder:
         self.first = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.width, self.code = ("<u2", "H") if self.first <= 1 << 16 else ("<u4", "I")
         self.words, self.older = Words(self), {}
-        step = self.tokenizer.pre_tokenizer
-        self.letters = {c: step.pre_tokenize_str(chr(c))[0][0] for c in [*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)]} if self.by_words else {}
+        self.model, step = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        self.letters = {c: step.pre_tokenize_str(chr(c))[0][0] for c in [*range(0xDF, 0xF7), *range(0xF8, 0x100)]} if self.by_words else {}
 
     def plain(self, text: str) -> bytes:
         """The ids of a whole text, by the library alone."""
@@ -83,10 +83,13 @@ class Encoder:
         if any(t in word for t in self.added):
             return self.plain(word)
         t = self.tokenizer
-        if MARKED.fullmatch(word) and word[-1].isalpha():
-            return self.pack([x.id for x in t.model.tokenize(word.lower().translate(self.letters))])
         return self.pack([x.id for piece, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word)) for x in t.model.tokenize(piece)])
 
+    def lower(self, word: str) -> bytes:
+        """The ids of a word of lower-case letters that MARKED takes."""
+        pieces = self.model.tokenize(word if word.isascii() else word.translate(self.letters))
+        return array(self.code, [x.id for x in pieces]).tobytes()
+
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -99,7 +102,7 @@ class Encoder:
 
 #: Letters that composition leaves alone and that have one lower-case letter each; a word of them and the marks that
 #: follow it are apart for every step of SPLITS, so such a word needs no step but lower-casing and its bytes' letters.
-MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]*)")
+MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]*)").fullmatch
 
 
 class Words(dict):
@@ -111,12 +114,13 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.encoder.older.get(word)
         if ids is None:
-            split = MARKED.fullmatch(word)
-            low = split[1].lower() if split else ""
-            if split and (split[2] or low != split[1]):
-                ids = self[low] + self[split[2]]
-            else:
+            split = MARKED(word)
+            if split is None:
                 ids = self.encoder.word(word)
+            else:
+                letters, marks = split.groups()
+                low = letters.lower()
+                ids = self[low] + self[marks] if marks else self[low] if low != letters else self.encoder.lower(low)
         if len(word) <= LONGEST:
             self[word] = ids
         return ids
