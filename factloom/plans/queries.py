@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as fn
-from factloom.operators import aggregates, graphs, joins, sets, windows
+from factloom.operators import aggregates, graphs, joins, sets, windows, walks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -588,3 +588,83 @@ def q47_id_checks(spark, sf_dir):
     containers = table(spark, sf_dir, "region").select(d, F.col("r_name").alias("id"))
     edges = nation.select(d, F.concat(F.lit("e"), (F.col("n_nationkey") % 20).cast("string")).alias("id"))
     return id_checks(containers, nation.select(d, F.col("n_name").alias("id")), edges).groupBy("code").agg(F.count("*").alias("n"))
+
+
+def _types(spark, sf_dir):
+    """Types with fields and embeddings, made of nations: cycles, self-embedding and types without a field among them."""
+    n, nation = F.col("n_nationkey"), table(spark, sf_dir, "nation")
+    of = lambda field, to, embedded, pos, keep: nation.where(keep).select(F.col("n_regionkey").alias("scope"), n.alias("type"), F.lit(field).alias("field"), to.cast("int").alias("to"), F.lit(embedded).alias("embedded"), F.lit(pos).alias("pos"))
+    parts = [of("1-URGENT", (n * 7 + 5) % 25, False, 0, n % 3 != 0), of("2-HIGH", (n + 5) % 25, False, 1, n % 4 != 1), of("3-MEDIUM", (n * 3) % 25, False, 2, n % 2 == 0), of("", (n * 2) % 25, True, 3, n % 5 != 4), of("", (n + 10) % 25, True, 4, n % 2 == 1)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
+
+
+TYPES_SQL = """
+f AS (SELECT n_regionkey AS scope, n_nationkey AS type, '1-URGENT' AS field, (n_nationkey * 7 + 5) % 25 AS t, false AS embedded, 0 AS pos FROM nation WHERE n_nationkey % 3 <> 0
+  UNION ALL SELECT n_regionkey, n_nationkey, '2-HIGH', (n_nationkey + 5) % 25, false, 1 FROM nation WHERE n_nationkey % 4 <> 1
+  UNION ALL SELECT n_regionkey, n_nationkey, '3-MEDIUM', (n_nationkey * 3) % 25, false, 2 FROM nation WHERE n_nationkey % 2 = 0
+  UNION ALL SELECT n_regionkey, n_nationkey, '', (n_nationkey * 2) % 25, true, 3 FROM nation WHERE n_nationkey % 5 <> 4
+  UNION ALL SELECT n_regionkey, n_nationkey, '', (n_nationkey + 10) % 25, true, 4 FROM nation WHERE n_nationkey % 2 = 1),
+near AS (SELECT scope, type, type AS cur, CAST([] AS BIGINT[]) AS ord FROM (SELECT DISTINCT scope, type FROM f)
+  UNION SELECT a.scope, a.type, f.t, list_append(a.ord, f.pos) FROM near a JOIN f ON f.scope = a.scope AND f.type = a.cur AND f.embedded WHERE len(a.ord) < 4),
+prom AS (SELECT a.scope, a.type, f.field, arg_min(f.t, (len(a.ord), a.ord)) AS t FROM near a JOIN f ON f.scope = a.scope AND f.type = a.cur AND NOT f.embedded GROUP BY 1, 2, 3)"""
+
+
+@query(f"""
+WITH RECURSIVE {TYPES_SQL},
+walk AS (SELECT o_custkey AS id, n_regionkey AS scope, o_custkey % 25 AS cur, o_names AS names, 1 AS k FROM (SELECT o_custkey, list(o_orderpriority ORDER BY o_orderkey)[1:3] AS o_names FROM orders GROUP BY 1) JOIN nation ON n_nationkey = o_custkey % 25
+  UNION ALL SELECT id, w.scope, p.t, names, k + 1 FROM walk w JOIN prom p ON p.scope = w.scope AND p.type = w.cur AND p.field = names[k] WHERE k <= len(names))
+SELECT id AS chain, CAST(max(CASE WHEN k = len(names) + 1 THEN cur END) AS INTEGER) AS found FROM walk GROUP BY 1""")
+def q48_field_chains(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.slice(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), 1, 3).alias("o"))
+    chains = orders.withColumn("n_nationkey", F.col("id") % 25).join(table(spark, sf_dir, "nation"), "n_nationkey")
+    chains = chains.select("id", F.col("n_regionkey").alias("scope"), F.col("n_nationkey").cast("int").alias("type"), F.col("o.o_orderpriority").alias("names"))
+    return walks.chain_ends(chains, walks.promoted(_types(spark, sf_dir), 4)).select(F.col("id").alias("chain"), "found")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, CAST((o_custkey * 3 + o_orderkey) % 1000 AS BIGINT) AS dst, CAST(o_orderkey AS BIGINT) AS line, o_orderpriority = '1-URGENT' AS remote, CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderstatus END AS via FROM orders),
+t(entry, node, ord, depth, hops, vias, round) USING KEY (entry, node) AS (
+  SELECT s_suppkey, s_suppkey * 7 % 1000, [s_suppkey], 0, 0, CAST([] AS VARCHAR[]), 0 FROM supplier
+  UNION
+  SELECT entry, node, s.o, s.d, s.h, s.v, round FROM (
+    SELECT t.entry, e.dst AS node, min({'o': list_append(t.ord, e.line), 'd': CASE WHEN e.remote THEN 0 ELSE t.depth + 1 END, 'h': t.hops + CAST(e.remote AS INTEGER), 'v': CASE WHEN e.remote THEN list_append(t.vias, e.via) ELSE t.vias END}) AS s, t.round + 1 AS round
+    FROM t JOIN e ON e.src = t.node
+    WHERE CASE WHEN e.remote THEN t.hops < 2 AND NOT list_contains(t.vias, e.via) ELSE t.depth < 2 END AND NOT EXISTS (SELECT 1 FROM recurring.t r WHERE r.entry = t.entry AND r.node = e.dst)
+    GROUP BY t.entry, e.dst, t.round))
+SELECT entry, node, array_to_string(ord, '.') AS "order", depth, hops FROM t""")
+def q49_traverse(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    remote = F.col("o_orderpriority") == "1-URGENT"
+    edges = orders.select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 3 + F.col("o_orderkey")) % 1000).alias("dst"), F.array("o_orderkey").alias("order"), remote.alias("remote"), F.when(remote, F.col("o_orderstatus")).alias("via"))
+    key = F.col("s_suppkey")
+    entries = table(spark, sf_dir, "supplier").select(key.alias("entry"), (key * 7 % 1000).alias("node"), F.array(key).alias("order"))
+    out = walks.traverse(entries, edges, 2, 2)
+    return out.select("entry", "node", F.array_join(F.transform("order", lambda x: x.cast("string")), ".").alias("order"), "depth", "hops")
+
+
+@query("""
+WITH a AS (SELECT o_orderkey AS id, o_custkey % 7 AS scope, o_custkey AS node, [o_orderkey % 900, o_orderkey % 1100] AS m FROM orders),
+x AS (SELECT id, scope, node, p, m[p] AS message FROM a, (VALUES (1), (2)) t(p)),
+t AS (SELECT DISTINCT s_nationkey % 7 AS scope, s_suppkey * 11 % 1100 AS message, s_suppkey AS node FROM supplier UNION SELECT DISTINCT c_custkey % 7, c_custkey % 450, c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'),
+o AS (SELECT id, p, min(t.node) AS taker FROM x JOIN t USING (scope, message) WHERE x.node <> t.node GROUP BY 1, 2 HAVING count(*) = 1)
+SELECT a.id AS call, b.taker FROM a LEFT JOIN (SELECT id, arg_min(taker, p) AS taker FROM o GROUP BY 1) b USING (id)""")
+def q50_only_taker(spark, sf_dir):
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    asked = table(spark, sf_dir, "orders").select(key.alias("id"), (cust % 7).alias("scope"), cust.alias("node"), F.array(key % 900, key % 1100).alias("messages"))
+    supplier = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 7).cast("long").alias("scope"), (F.col("s_suppkey") * 11 % 1100).alias("message"), F.col("s_suppkey").alias("node"))
+    customer = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select((F.col("c_custkey") % 7).alias("scope"), (F.col("c_custkey") % 450).alias("message"), F.col("c_custkey").alias("node"))
+    return walks.only_taker(asked, supplier.unionByName(customer)).select(F.col("id").alias("call"), "taker")
+
+
+@query("""
+WITH p AS (SELECT o_orderkey AS id, o_custkey % 50 AS bus, CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority END AS topic FROM orders),
+c AS (SELECT s_suppkey AS consumer, s_suppkey % 60 AS bus, CASE s_nationkey % 6 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '5-LOW' WHEN 2 THEN '2-HIGH' END AS topic, s_nationkey AS pos FROM supplier),
+e AS (SELECT id, consumer, row_number() OVER (PARTITION BY id ORDER BY pos, consumer) AS n, false AS inferred FROM p JOIN c USING (bus, topic)),
+l AS (SELECT id, min(consumer) AS consumer, 1 AS n, true AS inferred FROM p JOIN c USING (bus) WHERE (p.topic IS NULL OR c.topic IS NULL) AND id NOT IN (SELECT id FROM e) GROUP BY id HAVING count(*) = 1)
+SELECT id, consumer, n, inferred FROM e WHERE n <= 2 UNION ALL SELECT * FROM l""")
+def q51_deliver(spark, sf_dir):
+    orders, nation = table(spark, sf_dir, "orders"), F.col("s_nationkey") % 6
+    published = orders.select(F.col("o_orderkey").alias("id"), F.lit("s").alias("scope"), (F.col("o_custkey") % 50).alias("bus"), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderpriority")).alias("topic"))
+    topic = F.when(nation == 0, "1-URGENT").when(nation == 1, "5-LOW").when(nation == 2, "2-HIGH")
+    consumers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("consumer"), F.lit("s").alias("scope"), (F.col("s_suppkey") % 60).alias("bus"), topic.alias("topic"), F.col("s_nationkey").alias("order"))
+    return walks.deliver(published, consumers, 2)
