@@ -20,8 +20,8 @@ from factloom.sources.schemas import close
 
 FACTS = (
     "language string, line_count int, has_syntax_errors boolean, package string, module_doc string, "
-    "symbols array<struct<name:string,kind:string,start_line:int,end_line:int,exported:boolean,doc:string,params:array<string>,owner:string>>, "
-    "imports array<struct<specifier:string,line:int>>, strings array<struct<value:string,line:int>>, calls array<struct<name:string,callee:string,line:int>>, "
+    "symbols array<struct<name:string,kind:string,start_line:int,end_line:int,exported:boolean,doc:string,params:array<string>,owner:string,receiver:string,receiver_type:string>>, "
+    "imports array<struct<specifier:string,line:int>>, strings array<struct<value:string,line:int>>, calls array<struct<name:string,callee:string,line:int,type_args:array<string>>>, types array<struct<name:string,port:boolean,fields:array<struct<name:string,type:string>>,methods:array<string>>>, "
     "annotations array<struct<name:string,arguments:string,line:int,target:string,owner:string>>, entry_points array<struct<symbol:string,start_line:int,end_line:int,reason:string>>"
 )
 #: Characters of a string literal and of an annotation's arguments that are kept; fixed values.
@@ -105,6 +105,31 @@ def _params(src: Source, at: int) -> list[str]:
     return [re.sub(r"\s+", " ", p).strip() for _, p in split_top(body)]
 
 
+def _last_names(text: str) -> list[str]:
+    """The last name of every part of a list of types."""
+    return [names[-1] for part in text.strip("<>[]:").split(",") if (names := re.findall(r"[A-Za-z_]\w*", part))]
+
+
+def go_types(src: Source) -> list[dict]:
+    """Structs and interfaces with their fields and methods; a field without a name is an embedded type."""
+    out = []
+    for m in re.finditer(r"(?m)^\s*(?:type\s+)?(\w+)\s*(?:\[[^\]]*\]\s*)?(struct|interface)\s*(\{)", src.code):
+        end, depth, fields, methods = close(src.code, m.start(3), "{}"), 0, [], []
+        for line in src.code[m.end() : end].split("\n"):
+            plain, outer = re.sub(r"`[^`]*`", "", line).strip(), depth
+            depth += line.count("{") - line.count("}")
+            if outer or not plain:
+                continue
+            if m[2] == "interface":
+                methods += re.findall(r"^(\w+)\s*\(", plain)
+            elif inner := re.match(r"\*?(?:\w+\.)?(\w+)(?:\[.*\])?$", plain):
+                fields.append({"name": None, "type": inner[1]})
+            elif named := re.match(r"((?:\w+\s*,\s*)*\w+)\s+[*\[\]]*(?:\w+\.)?(\w+)", plain):
+                fields += [{"name": n.strip(), "type": named[2]} for n in named[1].split(",")]
+        out.append({"name": m[1], "port": m[2] == "interface", "fields": fields, "methods": methods})
+    return out
+
+
 def braces(path: str, text: str, language: str) -> dict:
     """Facts of a file of a language with braces."""
     src = Source(text, language)
@@ -117,7 +142,8 @@ def braces(path: str, text: str, language: str) -> dict:
             exported = name[:1].isupper() if language == "Go" else language == "Kotlin" or bool(m.groupdict().get("pub"))
             has_params = m.groupdict().get("p")
             after = close(code, m.start("p")) if has_params else m.end()
-            symbols.append({"name": name, "kind": kind, "start_line": start, "end_line": src.block_end(after), "exported": exported, "doc": src.doc(start), "params": _params(src, m.start("p")) if has_params else []})
+            taken = re.match(r"func\s+\(\s*(?:(\w+)\s+)?\*?\s*(\w+)", m[0]) if language == "Go" and kind == "function" else None
+            symbols.append({"receiver": taken and taken[1], "receiver_type": taken and taken[2], "name": name, "kind": kind, "start_line": start, "end_line": src.block_end(after), "exported": exported, "doc": src.doc(start), "params": _params(src, m.start("p")) if has_params else []})
     symbols.sort(key=lambda s: (s["start_line"], -s["end_line"]))
     owners = [s for s in symbols if s["kind"] in ("class", "interface", "trait", "struct", "enum") and s["end_line"] > s["start_line"]]
     for s in symbols:
@@ -131,7 +157,8 @@ def braces(path: str, text: str, language: str) -> dict:
     else:
         imports = [(m.start("s"), m["s"].rstrip(".*").rstrip(":")) for m in re.finditer(_IMPORTS[language], code)]
     package = re.search(r"(?m)^\s*(?:package|namespace)\s+([\w.]+)", code)
-    calls = [{"name": m[2], "callee": (m[1] or "") + m[2], "line": src.line(m.start(2))} for m in re.finditer(r"((?:\w+(?:\(\))?(?:\.|::|\?\.|->))*)(\w+)\s*(?:::<[^>]*>|<[\w,. ]+>)?\(", code) if m[2] not in _KEYWORDS]
+    typed = r"::<[^>]*>|<[\w,. ]+>" + (r"|\[[\w*., \[\]]+\](?=\()" if language == "Go" else "")
+    calls = [{"name": m[2], "callee": (m[1] or "") + m[2], "line": src.line(m.start(2)), "type_args": _last_names(m[3] or "")} for m in re.finditer(rf"((?:\w+(?:\(\))?(?:\.|::|\?\.|->))*)(\w+)\s*({typed})?\(", code) if m[2] not in _KEYWORDS]
     declared = {(s["name"], s["start_line"]) for s in symbols}
     calls = [c for c in calls if (c["name"], c["line"]) not in declared]
     annotations = []
@@ -150,7 +177,7 @@ def braces(path: str, text: str, language: str) -> dict:
     doc = " ".join(x for x in (re.sub(r"^\s*(?://[!/]?|/\*+|\*+/|\*)\s?|\*/\s*$", "", y).strip() for y in head[1].splitlines()) if x) if head else None
     return {
         "language": language, "line_count": text.count("\n") + (not text.endswith("\n") and bool(text)), "has_syntax_errors": code.count("{") != code.count("}"), "package": package and package[1], "module_doc": doc, "symbols": symbols,
-        "imports": [{"specifier": s, "line": src.line(at)} for at, s in imports if s], "strings": [{"value": s[:MAX_STRING], "line": src.line(at)} for at, s in src.literals], "calls": calls, "annotations": annotations, "entry_points": entries,
+        "imports": [{"specifier": s, "line": src.line(at)} for at, s in imports if s], "strings": [{"value": s[:MAX_STRING], "line": src.line(at)} for at, s in src.literals], "calls": calls, "annotations": annotations, "entry_points": entries, "types": go_types(src) if language == "Go" else [],
     }
 
 

@@ -45,22 +45,24 @@ def drift(calls: DataFrame, operations: DataFrame) -> DataFrame:
     return met.withColumn("drift", F.when(said, F.array_sort(F.array_except(F.array_distinct("reads"), "fields")))).drop("fields")
 
 
-def conform(declared: DataFrame, implemented: DataFrame) -> DataFrame:
+def conform(declared: DataFrame, implemented: DataFrame, scope: str | None = None) -> DataFrame:
     """verdict of every declared and implemented endpoint: matched, partial, missing, unrequested or not-checkable.
 
     `declared` has method, path, statuses; `implemented` method, path, statuses and pos, of which the last of a
     (method, path) counts. Paths are compared with their parameters made alike. Declared rows without a method or
-    path are not checkable; a hit is partial if a declared status isn't among the implemented ones.
+    path are not checkable; a hit is partial if a declared status isn't among the implemented ones. With `scope`, a
+    column of both, only endpoints of one scope meet, and it leads the result.
     """
     from factloom.functions.text import same_params
 
-    d = declared.withColumn("_m", F.upper("method")).withColumn("_p", same_params(F.col("path")))
-    i = implemented.withColumn("_m", F.upper("method")).withColumn("_p", same_params(F.col("path")))
-    i = i.groupBy("_m", "_p").agg(F.max_by(F.struct(F.col("method").alias("m"), F.col("path").alias("p"), F.col("statuses").alias("s")), "pos").alias("own"))
-    d = d.select("_m", "_p", F.struct("method", "path", "statuses").alias("said"))
-    bad = d.where("_m is null or _p is null").select("said", F.lit(None).cast(i.schema["own"].dataType).alias("own"), F.lit("not-checkable").alias("verdict"))
-    met = d.where("_m is not null and _p is not null").join(i, ["_m", "_p"], "full_outer")
+    area = (F.col(scope) if scope else F.lit(0)).alias("_s")
+    d = declared.select("*", area).withColumn("_m", F.upper("method")).withColumn("_p", same_params(F.col("path")))
+    i = implemented.select("*", area).withColumn("_m", F.upper("method")).withColumn("_p", same_params(F.col("path")))
+    i = i.groupBy("_s", "_m", "_p").agg(F.max_by(F.struct(F.col("method").alias("m"), F.col("path").alias("p"), F.col("statuses").alias("s")), "pos").alias("own"))
+    d = d.select("_s", "_m", "_p", F.struct("method", "path", "statuses").alias("said"))
+    bad = d.where("_m is null or _p is null").select("_s", "said", F.lit(None).cast(i.schema["own"].dataType).alias("own"), F.lit("not-checkable").alias("verdict"))
+    met = d.where("_m is not null and _p is not null").join(i, ["_s", "_m", "_p"], "full_outer")
     short = F.size(F.array_except(F.coalesce("said.statuses", F.array().cast("array<int>")), F.coalesce("own.s", F.array().cast("array<int>")))) > 0
     verdict = F.when(F.col("said").isNull(), "unrequested").when(F.col("own").isNull(), "missing").when(short, "partial").otherwise("matched")
-    out = met.select("said", "own", verdict.alias("verdict")).unionByName(bad)
-    return out.select(F.coalesce("said.method", "own.m").alias("method"), F.coalesce("said.path", "own.p").alias("path"), "verdict", F.col("said.statuses").alias("declared"), F.col("own.s").alias("observed"))
+    out = met.select("_s", "said", "own", verdict.alias("verdict")).unionByName(bad)
+    return out.select(*[F.col("_s").alias(scope)] * bool(scope), F.coalesce("said.method", "own.m").alias("method"), F.coalesce("said.path", "own.p").alias("path"), "verdict", F.col("said.statuses").alias("declared"), F.col("own.s").alias("observed"))

@@ -45,6 +45,7 @@ class Model:
     transitions: DataFrame
     events: DataFrame
     flows_input: DataFrame
+    vendor_files: DataFrame
     workloads: DataFrame
     topology: DataFrame
     overlays: DataFrame
@@ -177,7 +178,7 @@ def scan(files: DataFrame) -> Model:
     entities = cut(_entities(declared, physical))
     mapped = entities.select("repo", F.explode("code_names").alias("name"), F.col("table").alias("table"))
     access = cut(access.unionByName(_orm_access(files.where(is_source & ~is_migration), owners, mapped), allowMissingColumns=True))
-    found = cut(_own(extract(files, events.events, events.EVENT, is_source), owners).where("error is null"))
+    found = cut(_on_bus(_own(extract(files, events.events, events.EVENT, is_source), owners).where("error is null"), uses))
 
     shaped = cut(_models(_own(extract(files, shapes.models, shapes.MODEL, is_source), owners).where("error is null")))
     calls = cut(_client_calls(calls, operations, shaped))
@@ -186,16 +187,30 @@ def scan(files: DataFrame) -> Model:
     unit_table = cut(_unit_table(units, owned, kinds, services))
     infra, relationships = _relationships(unit_table, uses, access, found, calls, services)
     machines, moves = _states(entities, access)
+    sold = [k for k in catalog._KINDS if catalog.describe(k)[2] == "third-party"]
+    vendors = uses.where(F.col("infra").isin(sold) & (F.col("origin") == "code")).groupBy("repo", "unit", "path", F.col("infra").alias("target")).agg(F.collect_set("spec").alias("specs"))
     placed = cut(_by_repo(deploy.workloads(files)).where("error is null").drop("error"))
     clean = lambda rows: _by_repo(rows).where("error is null").drop("error")
     return Model(
         files=files.join(owners, ["repo", "path"], "left").select("repo", "path", "unit"), facts=owned, units=unit_table, infra=infra, relationships=relationships, operations=operations, models=_reachable(operations, shaped), excluded=left_out, client_calls=calls,
-        entities=entities.drop("code_names"), accesses=access, state_machines=machines, transitions=moves, events=found, flows_input=owned.select("repo", "unit", "path", "symbols", "calls"),
+        entities=entities.drop("code_names"), accesses=access, state_machines=machines, transitions=moves, events=found, flows_input=owned.select("repo", "unit", "path", "symbols", "calls", "types"), vendor_files=vendors,
         workloads=placed, topology=deploy.topology_links(placed.withColumn("error", F.lit(None).cast("string"))), overlays=deploy.overlays(services), configuration=clean(config.configs(files)), summaries=clean(specs.readmes(files)),
         commands=clean(commands.surface(files)),
     )
 
 
+def _on_bus(found: DataFrame, uses: DataFrame) -> DataFrame:
+    """`found` with the bus of what is published and consumed: the one that the call is of, else one that its file
+    imports, else one that its unit uses; of several the least by name."""
+    kinds = [k for k in catalog._KINDS if catalog.describe(k)[2] == "event-bus"]
+    used = uses.where(F.col("infra").isin(kinds) & ~F.col("dev"))
+    near = used.where("origin = 'code'").groupBy("repo", "unit", "path").agg(F.min("infra").alias("_near"))
+    far = used.groupBy("repo", "unit").agg(F.min("infra").alias("_far"), F.collect_set("infra").alias("_all"))
+    met = found.join(near, ["repo", "unit", "path"], "left").join(far, ["repo", "unit"], "left")
+    bus = F.coalesce(F.when(F.array_contains("_all", F.col("bus")), F.col("bus")), "_near", "_far")
+    return met.withColumn("bus", F.when(F.col("kind").isin("publish", "consume"), bus)).select(*found.columns)
+
+
 def _excluded(operations: DataFrame) -> DataFrame:
     """path, reason of operational routes."""
 
@@ -224,7 +239,7 @@ def _entities(declared: DataFrame, physical: DataFrame) -> DataFrame:
     keyed = rows.withColumn("_t", F.col("table")).withColumn("table", F.concat_ws("\u0001", "repo", F.lower("table")))
     merged = aggregates.merge_entities(keyed.select("table", "unit", "source", "physical", "pos", "columns"))
     side = keyed.groupBy("table").agg(
-        F.min_by("_t", F.struct((~F.col("physical")).cast("int"), "pos")).alias("_name"), F.array_sort(F.collect_set("name")).alias("code_names"), F.flatten(F.collect_list("values_of")).alias("values_of"),
+        F.min_by("_t", F.struct((~F.col("physical")).cast("int"), "pos")).alias("_name"), F.array_sort(F.collect_set("name")).alias("code_names"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct((~F.col("physical")).cast("int").alias("k"), "pos", "values_of"))), lambda x: x["values_of"])).alias("values_of"),
         F.min_by("pos", F.struct((~F.col("physical")).cast("int"), "pos")).alias("pos"), F.first("repo").alias("repo"),
     )
     out = merged.join(side, "table")
@@ -348,8 +363,9 @@ def _relationships(units: DataFrame, uses: DataFrame, access: DataFrame, found:
     used = uses.where("infra is not null and not dev").select("repo", "unit", F.col("infra").alias("kind"), "origin", evidence(F.col("path"), F.col("line")).alias("evidence"))
     infra = used.groupBy("repo", "kind").agg(F.array_sort(F.collect_set("unit")).alias("used_by"), F.slice(F.array_sort(F.collect_set("evidence")), 1, 6).alias("evidence"))
     infra = infra.join(images.groupBy("repo", "kind").agg(F.min("name").alias("compose_service")), ["repo", "kind"], "full_outer").join(known, "kind")
-    topics = found.where("kind in ('publish', 'consume')").groupBy("repo").agg(F.array_sort(F.collect_set("name")).alias("_topics"))
-    infra = infra.join(topics, "repo", "left").select("repo", F.col("kind").alias("id"), "kind", "label", "category", "role", F.coalesce("used_by", F.array().cast("array<string>")).alias("used_by"), "evidence", "compose_service", F.when(F.col("category") == "event-bus", F.col("_topics")).alias("topics"))
+    said = found.where("kind in ('publish', 'consume') and bus is not null").select("repo", "unit", F.col("bus").alias("kind"), F.col("kind").alias("way"), "name", "path", "line", "symbol")
+    topics = said.groupBy("repo", "kind").agg(F.array_sort(F.collect_set("name")).alias("_topics"))
+    infra = infra.join(topics, ["repo", "kind"], "left").select("repo", F.col("kind").alias("id"), "kind", "label", "category", "role", F.coalesce("used_by", F.array().cast("array<string>")).alias("used_by"), "evidence", "compose_service", F.when(F.col("category") == "event-bus", F.col("_topics")).alias("topics"))
 
     per = used.join(known, "kind").groupBy("repo", "unit", "kind", "category").agg(F.min("evidence").alias("evidence"), F.min_by("evidence", F.struct((F.col("origin") != "code").cast("int"), "evidence")).alias("at"), F.max((F.col("origin") == "code").cast("int")).alias("code"))
     tables = access.groupBy("repo", "unit").agg(F.array_sort(F.collect_set(F.when(F.col("mode") == "write", F.col("table")))).alias("w"), F.array_sort(F.collect_set(F.when(F.col("mode") == "read", F.col("table")))).alias("r"), F.min_by(evidence(F.col("path"), F.col("line"), symbol=F.col("symbol")), F.struct(F.when(F.col("mode") == "write", 0).otherwise(1), "path", "line")).alias("seen"))
@@ -360,12 +376,15 @@ def _relationships(units: DataFrame, uses: DataFrame, access: DataFrame, found:
         "repo", F.col("unit").alias("source"), F.col("kind").alias("target"), F.when(writes, "write").when(reads, "read").otherwise("sync").alias("edge_type"),
         F.when(writes, F.concat(F.lit("writes "), two("w"))).when(reads, F.concat(F.lit("reads "), two("r"))).otherwise(F.lit("connects")).alias("label"), F.when(F.col("code") == 1, "code").otherwise("manifest").alias("origin"), F.when(writes | reads, F.coalesce("seen", "at")).otherwise(F.col("at")).alias("evidence"),
     )
-    shared = found.where("kind in ('publish', 'consume')").groupBy("repo", "unit", "kind").agg(F.min(F.struct("name", "path", "line", "symbol")).alias("e")).withColumnRenamed("kind", "way")
-    bus = per.where("category = 'event-bus'").join(shared, ["repo", "unit"], "left")
+    # a topic that another unit shares on this bus names the relationship, else the least; one that isn't known comes last
+    met = said.join(said.groupBy("repo", "kind", "name").agg(F.count_distinct("unit").alias("units")), ["repo", "kind", "name"], "left")
+    rank = F.struct(F.col("name").isNull(), F.coalesce(F.col("units"), F.lit(1)) < 2, "name", "path", "line", "symbol")
+    shared = met.groupBy("repo", "unit", "kind", "way").agg(F.min_by(F.struct("name", "path", "line", "symbol"), rank).alias("e"))
+    bus = per.where("category = 'event-bus'").join(shared, ["repo", "unit", "kind"], "left")
     sends, out = F.col("way") == "publish", F.col("way") == "consume"
     buses = bus.select(
         "repo", F.when(out, F.col("kind")).otherwise(F.col("unit")).alias("source"), F.when(out, F.col("unit")).otherwise(F.col("kind")).alias("target"), F.when(sends | out, "event").otherwise("async").alias("edge_type"),
-        F.when(sends, F.concat(F.lit("publishes "), "e.name")).when(out, F.concat(F.lit("delivers "), "e.name")).otherwise(F.lit("connects")).alias("label"), F.when(F.col("code") == 1, "code").otherwise("manifest").alias("origin"),
+        F.when(sends, F.concat(F.lit("publishes "), F.coalesce("e.name", F.lit("messages")))).when(out, F.concat(F.lit("delivers "), F.coalesce("e.name", F.lit("messages")))).otherwise(F.lit("connects")).alias("label"), F.when(F.col("code") == 1, "code").otherwise("manifest").alias("origin"),
         F.when(F.col("e").isNotNull(), evidence(F.col("e.path"), F.col("e.line"), symbol=F.col("e.symbol"))).otherwise(F.col("at")).alias("evidence"),
     )
     verbs = F.create_map(*[x for k, v in VERBS.items() for x in (F.lit(k), F.lit(v))])
@@ -405,8 +424,10 @@ def _imaged(services: DataFrame) -> DataFrame:
 
 def _states(entities: DataFrame, access: DataFrame) -> tuple[DataFrame, DataFrame]:
     """state_machines and transitions of columns with a closed set of values that code moves between them."""
-    closed = entities.select("repo", "table", F.explode("values_of").alias("v"), "columns").select("repo", "table", F.col("v.column").alias("column"), F.col("v.values").alias("values"), "columns")
-    closed = closed.where(F.lower("column").rlike("status|state|stage|phase|lifecycle") & (F.size("values") >= 2)).dropDuplicates(["repo", "table", "column"])
+    # of several closed sets of a column the first counts: of schemas before code, then by path and line
+    closed = entities.select("repo", "table", F.posexplode("values_of").alias("at", "v"), "columns").select("repo", "table", F.col("v.column").alias("column"), F.col("v.values").alias("values"), "columns", "at")
+    closed = closed.where(F.lower("column").rlike("status|state|stage|phase|lifecycle") & (F.size("values") >= 2))
+    closed = closed.groupBy("repo", "table", "column").agg(F.min_by(F.struct("values", "columns"), "at").alias("c")).select("repo", "table", "column", "c.values", "c.columns")
     plain = lambda c: F.regexp_replace(c, "^'|'$", "")
     sets_ = access.where("mode = 'write'").select("repo", "unit", "table", "path", "line", "symbol", "wheres", F.explode("sets").alias("s"))
     moved = sets_.join(closed, ["repo", "table"]).where(F.col("s.column") == F.col("column")).withColumn("to", plain(F.col("s.value"))).where(F.array_contains("values", F.col("to")))
@@ -464,6 +485,7 @@ def diff(base: Model, head: Model) -> DataFrame:
 
 
 def conform(declared: DataFrame, model: Model) -> DataFrame:
-    """verdicts of declared endpoints against the model's operations."""
-    done = model.operations.select("method", "path", F.array_distinct(F.concat(F.array_compact(F.array("success_status")), "errors")).alias("statuses"), F.struct("id", "file", "line").alias("pos"))
-    return sets.conform(declared, done)
+    """verdicts of declared endpoints against the model's operations, of the same repository if `declared` has `repo`."""
+    scope = "repo" if "repo" in declared.columns else None
+    done = model.operations.select(*[scope] * bool(scope), "method", "path", F.array_distinct(F.concat(F.array_compact(F.array("success_status")), "errors")).alias("statuses"), F.struct("id", "file", "line").alias("pos"))
+    return sets.conform(_by_repo(declared) if scope else declared, done, scope)

@@ -354,13 +354,6 @@ def test_sql_statements():
 
 
 def test_inline_handlers_end_where_they_end():
-    from factloom.plans.flows import trace
-
     text = 'import express from "express";\nconst app = express();\napp.get("/a", (req, res) => {\n' + "  step();\n" * 60 + '  res.send("x");\n});\napp.get("/b", (req, res) => {\n  res.send("y");\n});\n'
     a, b = sorted(api.read_unit({"src/app.js": text})[0], key=lambda r: r["line"])
     assert (a["line"], a["end_line"], b["line"], b["end_line"]) == (3, 65, 66, 68)
-    op = lambda key, r: ("operation", "u", "src/app.js", None, r["line"], r["end_line"], r["line"], [("id", key), ("method", "GET"), ("route", r["path"])])
-    effect = lambda line, name: ("effect", "u", "src/app.js", None, 0, 0, line, [("to", "postgres"), ("kind", "write"), ("label", name)])
-    rows = [op("A", a), op("B", b), effect(60, "late"), effect(67, "next"), effect(61, "later"), effect(68, "other")]
-    entries = [(k, "u", "src/app.js", None, r["line"], k, ["web"]) for k, r in (("A", a), ("B", b))]
-    assert {f["entry"]: [s["label"] for s in f["steps"] if s["kind"] == "write"] for f in trace("r", rows, entries)} == {"A": ["late", "later"], "B": ["next", "other"]}
