@@ -6,7 +6,8 @@ matching would take of the node's string are popped and the walk goes on at the
 of popped pieces is kept, computed ahead for every node, so a word's length in pieces comes from one walk in which
 every byte is read once and no piece is built.
 
-The distinct words of a slice of texts walk in lock-step, a byte position at a time, in numpy.
+The distinct words of a slice of texts walk in lock-step, a byte position at a time, in numpy; those over LONG bytes,
+for which lock-step would take a round of calls a byte, walk one by one over plain lists.
 
 Defined cases: a null or empty text has no words and no tokens; a byte that no piece can start with counts one
 (unknown) piece; words are the matches of the given pattern; repeated rows count each; an empty table gives no rows;
@@ -25,6 +26,8 @@ from factloom.llm.common import map_arrow, without
 
 #: Words that each of a worker's two generations remembers.
 REMEMBERED = 300_000
+#: Bytes from which a word walks by itself.
+LONG = 64
 
 
 class Automaton:
@@ -59,6 +62,7 @@ class Automaton:
             while b not in self.children[at]:  # ends at the root: every byte is a piece
                 popped, at = popped + self.pops[at], self.fail[at]
             self.fail[node], self.pops[node] = self.children[at][b], popped
+        self.plain = self.fail.tolist(), self.pops.tolist()
         edges = sorted((at << 8 | b, to) for at, kids in enumerate(self.children) for b, to in kids.items())
         self.keys = np.array([k for k, _ in edges], np.int64)
         self.to = np.array([t for _, t in edges], np.int32)
@@ -79,6 +83,22 @@ class Automaton:
             now[left] = self.fail[now[left]]
         return now, popped
 
+    def length(self, word: bytes) -> int:
+        """The number of greedy pieces of one word."""
+        children, (fail, pops) = self.children, self.plain
+        node = count = 0
+        for b in word:
+            to = children[node].get(b)
+            while to is None:  # ends at the root: every byte is a piece
+                count += pops[node]
+                node = fail[node]
+                to = children[node].get(b)
+            node = to
+        while node:
+            count += pops[node]
+            node = fail[node]
+        return count
+
     def lengths(self, words: list[bytes]):
         """The number of greedy pieces of each word."""
         import numpy as np
@@ -127,9 +147,10 @@ class Counter:
                 new.append(w)
             else:
                 self.known[w] = old
-        # long words apart: the walk's steps are those of the longest word
-        for words in ([w for w in new if len(w) <= 64], [w for w in new if len(w) > 64]):
-            self.known.update(zip(words, self.automaton.lengths([w.encode() for w in words]).tolist(), strict=True))
+        coded = {w: w.encode() for w in new}
+        short = [w for w, b in coded.items() if len(b) <= LONG]
+        self.known.update(zip(short, self.automaton.lengths([coded[w] for w in short]).tolist(), strict=True))
+        self.known.update((w, self.automaton.length(b)) for w, b in coded.items() if len(b) > LONG)
         get = self.known.__getitem__
         return [(len(w), sum(map(get, w))) for w in split]
 

@@ -598,6 +598,61 @@ def test_url_rules(spark):
     assert urlfilter.judge(pages.where("false"), mined).count() == 0
 
 
+def test_mined_rules_equal_an_exhaustive_search(spark):
+    from itertools import combinations
+
+    rnd = random.Random(14)
+    for trial, (tokens, size) in enumerate(((5, 4), (7, 6))):
+        urls = ["http://h.x/" + "/".join(sorted(rnd.sample([f"t{k}" for k in range(tokens)], rnd.randrange(1, size + 1)))) for _ in range(400)]
+        bad = [("t1" in u and "t3" in u) or rnd.random() < 0.15 for u in urls]
+        held = [(frozenset(urlfilter_tokens(u)), b) for u, b in zip(urls, bad, strict=True)]
+        every = frozenset().union(*(t for t, _ in held))
+        sure = {}
+        for n in range(1, len(every) + 1):
+            for c in map(frozenset, combinations(sorted(every), n)):
+                hits, total = sum(b for t, b in held if c <= t), sum(c <= t for t, _ in held)
+                if hits >= 12 and hits >= 0.6 * total:
+                    sure[c] = hits / total
+        same = {"d:h.x": "d:h.x", "d:x": "d:h.x"}  # always together: named by the least
+        named = lambda c: frozenset(same.get(t, t) for t in c)
+        sure = {c: p for c, p in sure.items() if c == named(c)}
+        want = {c for c in sure if not any(sure.get(c - {t}, -1) >= sure[c] for t in c)}
+        pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        mined = urlfilter.mine(pages, spark.createDataFrame(list(enumerate(bad)), "id long, bad boolean"), support=0.0, confidence=0.6, least=12).collect()
+        assert {frozenset(r["rule"]) for r in mined} == want and want, trial
+
+
+def urlfilter_tokens(url):
+    host, _, path = url.removeprefix("http://").partition("/")
+    return {f"p:{s}" for s in path.split("/")} | {f"d:{host}", f"d:{host.partition('.')[2]}"}
+
+
+def test_mined_rules_lose_no_token_of_long_urls(spark):
+    rnd = random.Random(21)
+    rows, bad = [], []
+    for i in range(2000):
+        a, b = rnd.random() < 0.5, rnd.random() < 0.5
+        noise = rnd.sample([f"n{k}" for k in range(40)], 16)
+        rows.append((i, "http://site.example/" + "/".join([*noise, *["aa"] * a, *["bb"] * b])))
+        bad.append((i, a == b))
+    mined = urlfilter.mine(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(bad, "id long, bad boolean"), support=0.12, confidence=0.9).collect()
+    assert [(r["rule"], r["confidence"]) for r in mined] == [(["p:aa", "p:bb"], 1.0)]
+
+
+def test_long_words_take_a_walk_of_their_own():
+    import time
+
+    pieces = set(bpe.read_ranks(bpe.vocabulary(VOCABULARY)))
+    automaton, most = tokencount.Automaton(pieces), max(map(len, pieces))
+    rnd = random.Random(6)
+    for word in (b"a" * 5000, bytes(rnd.randrange(256) for _ in range(20_000)), ("日本語のテキスト" * 700).encode(), b"", b"x"):
+        assert automaton.length(word) == greedy(word, pieces, most) == automaton.lengths([word, b"the"])[0]
+    begun = time.process_time()
+    word = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    assert tokencount.Counter(bpe.vocabulary(VOCABULARY), PATTERN).count([word]) == [(1, greedy(word.encode(), pieces, most))]
+    assert time.process_time() - begun < 60
+
+
 def test_mined_url_rules(spark):
     rnd = random.Random(1)
     hosts = ["good.example.com", "mixed.example.com", "bad.example.com"]
