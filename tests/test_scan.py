@@ -131,6 +131,13 @@ def model(spark, tree):
     return scan.scan(read_tree(spark, tree))
 
 
+@pytest.fixture(scope="module")
+def drawn(model):
+    from factloom.plans.flows import flows
+
+    return flows(model)
+
+
 def test_model(model):
     assert {r["id"]: (r["kind"], r["language"], r["compose_service"]) for r in model.units.collect()} == {"desk": ("http-service", "TypeScript", "desk"), "stock": ("http-service", "Python", "stock"), "letters": ("worker", "Python", "letters")}
     assert {r["id"]: r["used_by"] for r in model.infra.collect()} == {"postgres": ["desk", "stock"], "rabbitmq": ["desk", "letters"]}
@@ -152,10 +159,8 @@ def test_model(model):
     assert sorted((r["from"], r["to"], r["trigger"]) for r in model.transitions.collect()) == [("late", "done", "endLoan"), ("open", "done", "endLoan")]
 
 
-def test_flow_order(model):
-    from factloom.plans.flows import flows
-
-    told = {r["entry"]: [(s["from"], s["to"], s["kind"]) for s in r["steps"]] for r in flows(model).collect()}
+def test_flow_order(drawn):
+    told = {r["entry"]: [(s["from"], s["to"], s["kind"]) for s in r["steps"]] for r in drawn.collect()}
     assert told["desk:POST /api/loans"] == [("desk", "stock", "call"), ("stock", "postgres", "read"), ("stock", "desk", "reply"), ("desk", "postgres", "write"), ("desk", "rabbitmq", "event"), ("rabbitmq", "letters", "deliver")]
 
 
@@ -211,11 +216,10 @@ def test_diff_says_what_changed(spark, tree, model):
     assert got == [("containers", "removed", "letters"), ("relationships", "removed", "rabbitmq -> letters (event)"), ("entities", "changed", "books")]
 
 
-def test_diagrams_are_valid_and_drawn(spark, model):
-    from factloom.plans.flows import flows
+def test_diagrams_are_valid_and_drawn(spark, model, drawn):
     from factloom.sources import specs
 
-    told = flows(model).collect()
+    told = drawn.collect()
     entities, machine, moves = model.entities.collect(), model.state_machines.first(), model.transitions.collect()
     for document in (draft.system(model), draft.sequence(told[0]), draft.entity_diagram(entities), draft.lifecycle(machine, moves)):
         assert specs.diagram_errors(json.dumps(document)) == []
@@ -232,11 +236,10 @@ def test_domains_and_capabilities(model):
     assert [(r["unit"], r["capability"], r["operations"]) for r in draft.capabilities(model.operations).collect()] == [("desk", "Loans", 2), ("stock", "Books", 1)]
 
 
-def test_score(spark, tree, model):
-    from factloom.plans.flows import flows
+def test_score(spark, tree, model, drawn):
     from factloom.plans.score import score
 
-    row = score(model, coverage(read_tree(spark, tree)), flows(model)).first()
+    row = score(model, coverage(read_tree(spark, tree)), drawn).first()
     assert row["source_read"] == 1.0 and row["data_described"] == 1.0 and row["evidence_verified"] is None and 0 < row["score"] <= 100
 
 
