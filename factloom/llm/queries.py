@@ -50,7 +50,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm import linededup
 
     out = linededup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_exact", "n_near", "near_lines", "text")
+    # which earlier line a near copy was met with is left out: it isn't canonical
+    return out.select("doc_id", "n_lines", "n_exact", "n_near", F.transform("near_lines", lambda x: x["line"]).alias("near_lines"), "text")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -333,8 +333,11 @@ def test_line_dedup_of_many_variants(spark):
     lines = list(dict.fromkeys(lines + [f"{words(rnd, 6)} {base[:120]} {words(rnd, 8)}" for _ in range(120)]))
     rnd.shuffle(lines)
     near = {j for j, b in enumerate(lines) if any(editjoin.within(a, b, max(2, min(len(a), len(b)) // 40)) for a in lines[:j])}
+    told = []
     for bound in (10**7, 0):
         got = linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), bound=bound).collect()
+        told.append(sorted((r["doc_id"], r["text"], r["n_lines"], r["n_exact"], r["n_near"], [n[0] for n in r["near_lines"]]) for r in got))
+        assert told[0] == told[-1]  # all but the witness
         assert {r["doc_id"] for r in got if r["n_near"]} == near and len(lines) - len(near) > 20
 
 
