@@ -398,3 +398,50 @@ def orm_accesses(path: str, text: str, names: dict[str, str]) -> list[dict]:
                     out.append(row)
                 break
     return [r for r in out if r["mode"] == "write" or not any(w["mode"] == "write" and w["table"] == r["table"] and w["symbol"] == r["symbol"] and 0 < r["line"] - w["line"] <= 3 for w in out)]
+
+
+#: A type whose name ends so hands out an entity's rows.
+_REPOSITORIES = ("Repository", "Dao", "Store")
+CLASS = "name string, params array<string>, parent string, args array<string>, uses array<struct<line:int,symbol:string,mode:string,param:string>>"
+
+
+def _generic(text: str) -> tuple[str, list[str]]:
+    """A type's name and its arguments' names."""
+    m = re.match(r"\s*([\w.]+)\s*(?:<(.*)>)?", text, re.S)
+    if not m:
+        return "", []
+    inner = [p.strip() for _, p in split_top(m[2].replace("<", "(").replace(">", ")"))] if m[2] else []
+    return m[1].split(".")[-1], [re.match(r"(?:\?\s*extends\s+)?([\w.]*)", p)[1].split(".")[-1] for p in inner]
+
+
+def classes(path: str, text: str) -> list[dict]:
+    """Java classes with their type parameters, their parent and its arguments, and what they read and write through
+    a repository that an abstract method hands out or a variable whose type is one of their parameters."""
+    if catalog.language_of(path) != "Java":
+        return []
+    src, out, holder = Source(text, "Java"), [], _symbol_of(path, text)
+    nested = r"<((?:[^<>]|<[^<>]*>)*)>"
+    for m in re.finditer(rf"\bclass\s+(\w+)\s*(?:{nested})?\s*(?:extends\s+([\w.]+\s*(?:{nested})?))?[^{{;]*(\{{)", src.code):
+        begin, end = m.end(), close(src.code, m.start(5), "{}")
+        params = [re.match(r"\s*(\w*)", p)[1] for p in re.sub(r"<[^<>]*>", "", m[2] or "").split(",")] if m[2] else []
+        parent, args = _generic(m[3]) if m[3] else (None, [])
+        body, stores, values = src.code[begin:end], {}, {}
+        for a in re.finditer(rf"\babstract\s+([\w.]+\s*{nested})\s+(\w+)\s*\(", body):
+            kind, inner = _generic(a[1])
+            of = next((x for x in inner if x in params), None)
+            if kind.endswith(_REPOSITORIES) and of:
+                stores[rf"\b{a[3]}\s*\(\s*\)"] = of
+                for v in re.finditer(rf"(\w+)\s*=\s*{a[3]}\s*\(\s*\)\s*;", body):
+                    stores[rf"\b{v[1]}"] = of
+        for p in params:
+            for v in re.finditer(rf"[(,;{{]\s*(?:final\s+)?{p}\s+(\w+)\s*[,)=;]", body):
+                values[rf"\b{v[1]}\b"] = p
+        uses = []
+        kinds = [("write", rf"{x}\s*\.{_WRITES}\s*\(", of) for x, of in stores.items()] + [("write", rf"\.{_WRITES}\s*\([^)]*{x}", of) for x, of in values.items()] + [("read", rf"{x}\s*\.{_READS}\s*\(", of) for x, of in stores.items()]
+        for n, line in enumerate(body.split("\n"), src.line(begin)):
+            mode, _, of = next((k for k in kinds if re.search(k[1], line)), (None, None, None))
+            if mode:
+                uses.append({"line": n, "symbol": holder(n), "mode": mode, "param": of})
+        if params or parent or uses:
+            out.append({"name": m[1], "params": params, "parent": parent, "args": args, "uses": uses})
+    return out

@@ -134,3 +134,28 @@ def deliver(published: DataFrame, consumers: DataFrame, most: int) -> DataFrame:
     lone = rest.select("id", pick.alias("consumer"), F.lit(None).cast(dict(c.dtypes)["at"]).alias("at"), F.lit(True).alias("inferred")).where("consumer is not null")
     n = F.row_number().over(Window.partitionBy("id").orderBy("at", "consumer"))
     return exact.unionByName(lone).withColumn("n", n).where(F.col("n") <= most).select("id", "consumer", "n", "inferred")
+
+
+def bound_parameters(classes: DataFrame, extends: DataFrame) -> DataFrame:
+    """scope, base, param, sub, bound: what a type parameter of a class becomes in the classes below it.
+
+    `classes` has scope, class, params (array), of which the first by params of a (scope, class) counts; `extends` has
+    scope, class, parent, args (array). A generation a round: an argument that is itself a parameter of the class below
+    is followed further, any other is the end of its line. A class that extends without that argument binds nothing; a
+    class is visited once for a parameter of a base and one of its own, so classes may extend each other.
+    """
+    params = cut(classes.where("scope is not null and class is not null").groupBy("scope", "class").agg(F.min("params").alias("params")))
+    below = extends.where("parent is not null").select("scope", F.col("parent").alias("at"), F.col("class").alias("sub"), "args").distinct()
+    below = cut(below.join(params.withColumnsRenamed({"class": "sub", "params": "own"}), ["scope", "sub"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>"))))
+    front = cut(params.select("scope", F.col("class").alias("base"), F.posexplode("params").alias("pos", "param"), F.col("class").alias("at")))
+    state = ["scope", "base", "param", "at", "pos"]
+    seen, found = [front.select(*state)], []
+    while not front.isEmpty():
+        met = front.join(below, ["scope", "at"]).withColumn("bound", F.get("args", F.col("pos"))).where("bound is not null")
+        met = cut(met.select("scope", "base", "param", "sub", "bound", (F.array_position("own", F.col("bound")) - 1).cast("int").alias("next")))
+        found.append(met.where("next < 0").select("scope", "base", "param", "sub", "bound"))
+        to = met.where("next >= 0").select("scope", "base", F.col("next").alias("pos"), "param", F.col("sub").alias("at"))
+        front = cut(to.select(*state).distinct().join(reduce(DataFrame.unionByName, seen), state, "left_anti"))
+        seen.append(front)
+    empty = params.select("scope", F.col("class").alias("base"), F.col("class").alias("param"), F.col("class").alias("sub"), F.col("class").alias("bound")).where("false")
+    return reduce(DataFrame.unionByName, found, empty).distinct()

@@ -668,3 +668,20 @@ def q51_deliver(spark, sf_dir):
     topic = F.when(nation == 0, "1-URGENT").when(nation == 1, "5-LOW").when(nation == 2, "2-HIGH")
     consumers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("consumer"), F.lit("s").alias("scope"), (F.col("s_suppkey") % 60).alias("bus"), topic.alias("topic"), F.col("s_nationkey").alias("order"))
     return walks.deliver(published, consumers, 2)
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT c_mktsegment, CAST(c_custkey AS VARCHAR) AS class, CAST(c_custkey // 3 AS VARCHAR) AS parent, CASE c_custkey % 4 WHEN 3 THEN [] WHEN 2 THEN ['E'] ELSE ['K', 'E'] END AS params,
+        [CASE c_nationkey % 3 WHEN 0 THEN 'E' WHEN 1 THEN 'K' ELSE c_mktsegment END, CASE c_nationkey % 2 WHEN 0 THEN 'E' ELSE 'T' || c_custkey END][1:1 + CAST(c_acctbal > 0 AS INTEGER)] AS args FROM customer),
+w AS (SELECT class AS base, p AS param, class AS cur, p AS arg FROM c, LATERAL (SELECT unnest(params) AS p)
+  UNION SELECT w.base, w.param, x.class, x.args[list_position(c.params, w.arg)] FROM w JOIN c ON c.class = w.cur AND list_contains(c.params, w.arg) JOIN c x ON x.parent = w.cur)
+SELECT DISTINCT w.base, w.param, w.cur AS sub, w.arg AS bound FROM w JOIN c ON c.class = w.cur WHERE w.arg IS NOT NULL AND NOT list_contains(c.params, w.arg)""")
+def q52_bound_parameters(spark, sf_dir):
+    some = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
+    cust, nation = F.col("c_custkey"), F.col("c_nationkey")
+    args = F.array(F.when(nation % 3 == 0, "E").when(nation % 3 == 1, "K").otherwise(F.col("c_mktsegment")), F.when(nation % 2 == 0, "E").otherwise(F.concat(F.lit("T"), cust.cast("string"))))
+    rows = table(spark, sf_dir, "customer").select(
+        F.lit("s").alias("scope"), cust.cast("string").alias("class"), F.floor(cust / 3).cast("string").alias("parent"), F.when(cust % 4 == 3, some()).when(cust % 4 == 2, some("E")).otherwise(some("K", "E")).alias("params"),
+        F.slice(args, F.lit(1), 1 + (F.col("c_acctbal") > 0).cast("int")).alias("args"),
+    )
+    return walks.bound_parameters(rows.select("scope", "class", "params"), rows.select("scope", "class", "parent", "args")).select("base", "param", "sub", "bound")

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from factloom.extract import api, code, commands, data, events
 from factloom.extract import models as shapes
-from factloom.operators import aggregates, joins, sets
+from factloom.operators import aggregates, joins, sets, walks
 from factloom.operators.cut import cut
 from factloom.plans import states
 from factloom.sources import catalog, config, deploy, manifests, schemas, specs
@@ -178,6 +178,7 @@ def scan(files: DataFrame) -> Model:
     entities = cut(_entities(declared, physical))
     mapped = entities.select("repo", F.explode("code_names").alias("name"), F.col("table").alias("table"))
     access = cut(access.unionByName(_orm_access(files.where(is_source & ~is_migration), owners, mapped), allowMissingColumns=True))
+    access = cut(access.unionByName(_inherited(_own(extract(files, data.classes, data.CLASS, F.col("path").endswith(".java")), owners).where("error is null"), mapped), allowMissingColumns=True))
     found = cut(_on_bus(_own(extract(files, events.events, events.EVENT, is_source), owners).where("error is null"), uses))
 
     shaped = cut(_models(_own(extract(files, shapes.models, shapes.MODEL, is_source), owners).where("error is null")))
@@ -267,6 +268,17 @@ def _orm_access(files: DataFrame, owners: DataFrame, mapped: DataFrame) -> DataF
     return _own(given.mapInArrow(run, schema), owners)
 
 
+def _inherited(classes: DataFrame, mapped: DataFrame) -> DataFrame:
+    """Accesses of generic bases, once for every class below that binds the parameter to a mapped class (`through`)."""
+    scoped = cut(classes.withColumn("scope", F.concat_ws("\u0001", "repo", "unit")))
+    first = scoped.groupBy("scope", F.col("name").alias("class")).agg(F.min_by(F.struct("params", "parent", "args"), F.struct("path")).alias("c")).select("scope", "class", "c.*")
+    bound = walks.bound_parameters(first.select("scope", "class", "params"), first.select("scope", "class", "parent", "args"))
+    used = scoped.select("repo", "unit", "path", "scope", F.col("name").alias("base"), F.explode("uses").alias("u")).select("repo", "unit", "path", "scope", "base", "u.*")
+    met = used.join(bound, ["scope", "base", "param"]).join(mapped.withColumnRenamed("name", "bound"), ["repo", "bound"])
+    none = F.array().cast("array<struct<column:string,value:string>>")
+    return met.select("repo", "unit", "path", "line", "symbol", "table", "mode", none.alias("sets"), none.alias("wheres"), F.array().cast("array<string>").alias("conditions"), none.alias("inserted"), F.col("sub").alias("through"))
+
+
 def _models(found: DataFrame) -> DataFrame:
     """id, unit, name, fields of each unit's shapes: the first definition in path order; parents' fields come first.
 

@@ -218,6 +218,66 @@ def test_the_first_closed_set_counts(spark):
         assert [[s["name"] for s in r["states"]] for r in got] == [["new", "done"]]
 
 
+DAO = """package dao;
+
+public abstract class AbstractDao<E extends Base<E>, K> extends Root {
+    protected abstract JpaRepository<E, K> getRepository();
+
+    public E save(E entity) {
+        getRepository().save(entity);
+        entityManager.persist(entity);
+        return entity;
+    }
+
+    public E find(K id) {
+        return getRepository().findById(id);
+    }
+}
+"""
+DAOS = {
+    "app/pom.xml": "<project><artifactId>app</artifactId><dependencies><dependency><groupId>org.springframework.boot</groupId><artifactId>spring-boot-starter-data-jpa</artifactId></dependency></dependencies></project>",
+    "app/src/main/java/AbstractDao.java": DAO,
+    "app/src/main/java/Middle.java": "package dao;\n\npublic abstract class Middle<T> extends AbstractDao<T, String> {\n}\n",
+    "app/src/main/java/DeviceDao.java": "package dao;\n\npublic class DeviceDao extends AbstractDao<Device, Long> {\n}\n",
+    "app/src/main/java/AssetDao.java": "package dao;\n\npublic class AssetDao extends Middle<Asset> {\n}\n",
+    "app/src/main/java/LoneDao.java": DAO.replace("AbstractDao", "LoneDao"),
+    "app/src/main/java/Device.java": 'package dao;\n\n@Entity\n@Table(name = "device")\npublic class Device {\n    @Id\n    private Long id;\n}\n',
+    "app/src/main/java/Asset.java": 'package dao;\n\n@Entity\n@Table(name = "asset")\npublic class Asset {\n    @Id\n    private Long id;\n}\n',
+}
+
+
+def test_a_generic_base_writes_for_the_classes_that_bind_it(spark):
+    model = scan.scan(spark.createDataFrame([("", p, t) for p, t in DAOS.items()], "repo string, path string, content string"))
+    got = sorted((r["table"], r["through"], r["mode"], DAO.split("\n")[r["line"] - 1].strip()) for r in model.accesses.where("through is not null").collect())
+    calls = [("read", "return getRepository().findById(id);"), ("write", "entityManager.persist(entity);"), ("write", "getRepository().save(entity);")]
+    assert got == [(t, sub, mode, line) for t, sub in (("asset", "AssetDao"), ("device", "DeviceDao")) for mode, line in calls]
+    assert model.accesses.where("path like '%LoneDao%'").count() == 0
+
+
+def test_bound_parameters_against_brute_force(spark):
+    rnd = random.Random(2)
+    names = [f"c{k}" for k in range(9)]
+    params = {c: rnd.sample(["E", "K", "V"], rnd.randrange(4)) for c in names}
+    extends = [(rnd.choice(names), rnd.choice(names), [rnd.choice(["E", "K", "V", "x", "y", None]) for _ in range(rnd.randrange(4))]) for _ in range(22)]
+    want = set()
+    for base in names:
+        for param in params[base]:
+            todo, seen = [(base, param)], {(base, param)}
+            while todo:
+                at, arg = todo.pop()
+                for sub, parent, args in extends:
+                    k = params[at].index(arg)
+                    if parent == at and k < len(args) and args[k] is not None:
+                        if args[k] in params[sub]:
+                            if (sub, args[k]) not in seen:
+                                seen.add((sub, args[k]))
+                                todo.append((sub, args[k]))
+                        else:
+                            want.add((base, param, sub, args[k]))
+    got = walks.bound_parameters(spark.createDataFrame([("s", c, p) for c, p in params.items()] + [("s", None, ["E"])], "scope string, class string, params array<string>"), spark.createDataFrame([("s", *e) for e in extends] + [("s", "c1", None, ["x"])], "scope string, class string, parent string, args array<string>"))
+    assert {(r["base"], r["param"], r["sub"], r["bound"]) for r in got.collect()} == want and want
+
+
 def brute_promoted(fields, most):
     own, inner = {}, {}
     for scope, type_, field, to, embedded, pos in sorted(fields, key=lambda f: (f[5], f[3])):
