@@ -560,6 +560,51 @@ def test_quality_tells_held_out_documents(spark):
     assert len(both) >= 100 and right / len(both) > max(common, len(both) - common) / len(both) + 0.05
 
 
+def gram_ids(text):
+    """N-grams one by one, by their stated hash."""
+    mask, found = 0xFFFFFFFF, Counter()
+    c = [0, *(ord(x) if x.isalpha() else 0 for x in (text or "").lower()), 0]
+    for i, x in enumerate(c):
+        if x:
+            found[x * 668265263 & mask] += 1
+        if i + 1 < len(c) and (x or c[i + 1]):
+            b = c[i + 1] * 2246822519 & mask
+            found[(x * 2654435761 & mask) + (b ^ b >> 15) & mask] += 1
+        if 0 < i < len(c) - 1 and x:
+            b = x * 2246822519 & mask
+            three = (c[i - 1] * 2654435761 & mask ^ (b << 7 & mask) ^ b >> 25) + (c[i + 1] * 3266489917 & mask) & mask
+            found[three * 374761393 & mask] += 1
+    return found
+
+
+def test_langid_equals_brute_force(spark):
+    rnd = random.Random(33)
+    make = lambda letters: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 7))) for _ in range(rnd.randrange(1, 25)))
+    # languages whose letters overlap, and two that can't be told apart: ties go by name
+    rows = [(i, make({"aa": "abcde", "bb": "cdefg", "cc": "efgha"}[lang]), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 12)]
+    rows += [(100 + i, t, lang) for i, t in enumerate([make("uvwxy") for _ in range(6)]) for lang in ("yy", "zz")] + [(200, None, "aa"), (201, "12 !", "bb"), (202, "É ßtraße", None), (203, "", "cc"), (None, "abc", "aa"), (3, rows[3][1], "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    size, counts = 40, {}
+    for _, t, lang in rows:
+        if lang is not None and t is not None:
+            counts.setdefault(lang, Counter()).update(gram_ids(t))
+    top = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:size]]
+    profiles = {lang: {g: k for k, g in enumerate(top(c))} for lang, c in counts.items()}
+    assert profiles["yy"] == profiles["zz"]
+    learned = langid.learn(df, size=size)
+    got = Counter((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in langid.identify(df, learned).collect())
+    want = Counter()
+    for i, t, _ in rows:
+        own = top(gram_ids(t))
+        if not own:
+            want[i, "und", 0.0] += 1
+            continue
+        away = {lang: sum(abs(p[g] - k) if g in p else size for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(away), key=away.__getitem__)
+        want[i, best, round(1 - away[best] / (size * len(own)), 9)] += 1
+    assert got - want == want - got == Counter() and any(k[1] == "yy" for k in got) and not any(k[1] == "zz" for k in got)
+
+
 def test_langid(spark, docs, rows, empty):
     rnd = random.Random(8)
     letters = {"aa": "abcde", "bb": "efghi", "cc": "ijklm"}
