@@ -65,4 +65,5 @@ def conform(declared: DataFrame, implemented: DataFrame, scope: str | None = Non
     short = F.size(F.array_except(F.coalesce("said.statuses", F.array().cast("array<int>")), F.coalesce("own.s", F.array().cast("array<int>")))) > 0
     verdict = F.when(F.col("said").isNull(), "unrequested").when(F.col("own").isNull(), "missing").when(short, "partial").otherwise("matched")
     out = met.select("_s", "said", "own", verdict.alias("verdict")).unionByName(bad)
-    return out.select(*[F.col("_s").alias(scope)] * bool(scope), F.coalesce("said.method", "own.m").alias("method"), F.coalesce("said.path", "own.p").alias("path"), "verdict", F.col("said.statuses").alias("declared"), F.col("own.s").alias("observed"))
+    lead = [F.col("_s").alias(scope)] if scope else []
+    return out.select(*lead, F.coalesce("said.method", "own.m").alias("method"), F.coalesce("said.path", "own.p").alias("path"), "verdict", F.col("said.statuses").alias("declared"), F.col("own.s").alias("observed"))
