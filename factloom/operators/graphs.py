@@ -7,6 +7,7 @@ over the same edges agree. Nulls are no nodes: edges with one are dropped.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -31,14 +32,55 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
         reached = cut(reached.unionByName(fresh))
 
 
+def _trimmed(live: DataFrame) -> DataFrame:
+    """Edges that may lie on a cycle: those whose source has an edge in and whose target has one out, to the end."""
+    while True:
+        into, out = live.select(F.col("dst").alias("src")).distinct(), live.select(F.col("src").alias("dst")).distinct()
+        kept = cut(live.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"))
+        if kept.count() == live.count():
+            return kept
+        live = kept
+
+
+def _colours(live: DataFrame) -> DataFrame:
+    """node, colour: the least node that reaches it, itself included; a front of changes moves along the edges."""
+    colours = cut(live.select(F.col("src").alias("node")).unionByName(live.select(F.col("dst").alias("node"))).distinct().withColumn("colour", F.col("node")))
+    front = colours
+    while True:
+        to = front.join(live, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("next"))
+        front = cut(to.join(colours, "node").where("next < colour").select("node", F.col("next").alias("colour")))
+        if front.isEmpty():
+            return colours
+        colours = cut(colours.join(front.withColumnRenamed("colour", "next"), "node", "left").select("node", F.coalesce("next", "colour").alias("colour")))
+
+
 def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """node, component: the least node of its cycle, or the node itself."""
-    pairs = _edges(edges, src, dst)
+    """node, component: the least node of its cycle, or the node itself.
+
+    Forward and backward by colours: edges that can't lie on a cycle are trimmed, every node takes the least node that
+    reaches it, and of each colour the nodes that reach back to it are one component. What is left goes on. A round
+    costs the edges that are left, not the pairs that reach each other.
+    """
+    pairs = cut(_edges(edges, src, dst))
     nodes = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct()
-    reach = closure(pairs)
-    mutual = reach.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"])
-    least = mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
-    return nodes.join(least, "node", "left").select("node", F.least("node", F.coalesce("m", "node")).alias("component"))
+    live, found = _trimmed(pairs.where("src <> dst")), []
+    while not live.isEmpty():
+        colours = _colours(live)
+        ends = colours.select(F.col("node").alias("src"), F.col("colour").alias("a")), colours.select(F.col("node").alias("dst"), F.col("colour").alias("b"))
+        inner = cut(live.join(ends[0], "src").join(ends[1], "dst").where("a = b").select("src", "dst", "a"))
+        # backwards from the node that names the colour, within it
+        front = cut(colours.where("node = colour").select("node", F.col("colour").alias("component")))
+        members = [front]
+        while not front.isEmpty():
+            back = front.join(inner, (F.col("node") == F.col("dst")) & (F.col("component") == F.col("a"))).select(F.col("src").alias("node"), "component").distinct()
+            front = cut(back.join(reduce(DataFrame.unionByName, members), ["node", "component"], "left_anti"))
+            members.append(front)
+        found.append(cut(reduce(DataFrame.unionByName, members)))
+        gone = found[-1].select("node")
+        live = _trimmed(cut(inner.select("src", "dst").join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")))
+    if not found:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.join(reduce(DataFrame.unionByName, found), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def _star(both: DataFrame, larger: bool) -> DataFrame:
@@ -175,10 +217,11 @@ def neighbourhoods(edges: DataFrame, src: str = "src", dst: str = "dst") -> Data
 
 
 def on_cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """The edges whose target reaches their source."""
+    """The edges whose target reaches their source: both ends lie in one strong component."""
     pairs = _edges(edges, src, dst)
-    back = closure(pairs).select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    return pairs.join(back, ["src", "dst"], "left_semi")
+    parts = strong_components(pairs)
+    met = pairs.join(parts.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(parts.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
+    return met.where("a = b and src <> dst or src = dst").select("src", "dst")
 
 
 def propagate_labels(nodes: DataFrame, edges: DataFrame, graph: str, rounds: int = 3) -> DataFrame:
