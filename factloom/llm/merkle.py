@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from factloom.llm.common import write_shared
 
 FAN = 3
+#: Levels after which paths on their way down are written, above the lowest ones.
+CUT = 3
 
 
 def field(value: Column) -> Column:
@@ -86,14 +88,15 @@ def _paths(levels: list[DataFrame], tops: DataFrame) -> DataFrame:
     own columns but grp."""
     last = [c for c in tops.columns if c != "grp"]
     above = None
-    for level in reversed(levels):
+    for height, level in reversed(list(enumerate(levels))):
         own = level.select("grp", "idx", "n", "step", F.expr(f"idx div {FAN}").alias("up"))
         # a run that makes its group's last node has no path above it
         ends = own.where(F.col("n") <= FAN).join(tops, "grp").select("grp", "idx", F.array("step").alias("path"), *last)
         if above is not None:
             rest = own.where(F.col("n") > FAN).join(above.select("grp", F.col("idx").alias("up"), F.col("path").alias("path_up"), *last), ["grp", "up"])
             ends = ends.unionByName(rest.select("grp", "idx", F.concat(F.array("step"), "path_up").alias("path"), *last))
-        above = ends
+        # small plans: of the upper levels, whose rows are few, every third is written
+        above = write_shared(ends, "merkle-paths") if height > CUT and height % CUT == 0 else ends
     return above
 
 

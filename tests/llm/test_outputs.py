@@ -92,7 +92,7 @@ def test_manifest_equals_brute_force(spark, folder, rows):
     assert queries.op11_merkle(spark, f"{folder}/none").count() == 0
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 9, 10, 28])
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 9, 10, 28, 800])
 def test_manifest_of_one_group_and_of_lone_leaves(spark, n):
     one = [(i, str(i), "en", "s", i) for i in range(n)]
     for rows in (one, [(i, t, lang, f"s{i}", c) for i, t, lang, _, c in one]):
