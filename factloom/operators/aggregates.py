@@ -127,3 +127,24 @@ def merge_entities(rows: DataFrame) -> DataFrame:
     more = F.aggregate(others, F.slice(base["columns"], 1, 0), lambda a, o: F.when(F.array_contains(known, plain(o)) | F.exists(a, lambda x: plain(x) == plain(o)), a).otherwise(F.array_append(a, o)))
     columns = F.when(base["physical"], filled).otherwise(F.concat(filled, more))
     return listed.select("entity", "table", F.array_join(F.array_distinct(F.transform("d", lambda x: x["source"])), "+").alias("source"), "declared_by", columns.alias("columns")).where(F.size("columns") > 0)
+
+
+def busiest(units: DataFrame, scope: str = "repo") -> DataFrame:
+    """scope, id: the unit worth a look inside, of `units` (scope, id, modules, service, degree, lines).
+
+    One with four modules or more before others, then a deployed service, then the most connected, then the longest,
+    then the least id. Nulls count as zero or false.
+    """
+    rank = F.struct(-(F.coalesce("modules", F.lit(0)) >= 4).cast("int"), -F.coalesce("service", F.lit(False)).cast("int"), -F.coalesce("degree", F.lit(0)).cast("long"), -F.coalesce("lines", F.lit(0)).cast("long"), "id")
+    return units.groupBy(scope).agg(F.min_by("id", rank).alias("id"))
+
+
+def contracts(operations: DataFrame, excluded: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, operations, typed, partial, opaque, excluded of `operations` (keys, confidence) and `excluded` (keys).
+
+    A confidence that is neither typed nor partial is opaque. Keys that only one side has count zero on the other.
+    """
+    told = operations.select(*keys, F.coalesce("confidence", F.lit("opaque")).alias("c"), F.lit(0).alias("x"))
+    both = told.unionByName(excluded.select(*keys, F.lit(None).cast("string").alias("c"), F.lit(1).alias("x")))
+    typed, part = F.count_if(F.col("c") == "typed"), F.count_if(F.col("c") == "partial")
+    return both.groupBy(*keys).agg(F.count("c").alias("operations"), typed.alias("typed"), part.alias("partial"), (F.count("c") - typed - part).alias("opaque"), F.sum("x").alias("excluded"))

@@ -260,3 +260,21 @@ def by_priority(rows: DataFrame, candidates: list[DataFrame], key: str, value: s
     first = F.row_number().over(Window.partitionBy(key).orderBy("_p", "_o", value))
     best = all_of.withColumn("_r", first).where("_r = 1").select(key, value)
     return rows.join(best, key, "left")
+
+
+def named_services(literals: DataFrame, services: DataFrame, scope: str = "repo") -> DataFrame:
+    """scope, unit, pos, value, service: literals (scope, unit, pos, value) of other units that name a service.
+
+    `services` has scope and service, names of a-z, 0-9 and `-`. A literal names one that begins right behind a `://`
+    in it, or if it is the service's name in capitals, `_` for `-`, with `_URL`, `_SERVICE_URL`, `_HOST` or `_ADDR`.
+    So `http://pay-api` names both `pay` and `pay-api`. The beginnings of what follows `://` and the four variables of
+    a service meet by equality, each distinct text once; a literal that names a service twice is one row.
+    """
+    texts = literals.where("value is not null").select(scope, "value").distinct()
+    runs = texts.select(scope, "value", F.explode(F.regexp_extract_all("value", F.lit("://([a-z0-9-]+)"), F.lit(1))).alias("run"))
+    begun = runs.select(scope, "value", F.explode(F.transform(F.sequence(F.lit(1), F.length("run")), lambda n: F.substring("run", F.lit(1), n))).alias("service"))
+    known = services.where("service is not null").select(scope, "service").distinct()
+    capital = F.upper(F.translate("service", "-", "_"))
+    variables = known.select(scope, "service", F.explode(F.array(*[F.concat(capital, F.lit(x)) for x in ("_URL", "_SERVICE_URL", "_HOST", "_ADDR")])).alias("value"))
+    met = begun.join(known, [scope, "service"]).unionByName(texts.join(variables, [scope, "value"])).distinct()
+    return literals.select(scope, "unit", "pos", "value").join(met, [scope, "value"]).where("unit <> service").select(scope, "unit", "pos", "value", "service").distinct()

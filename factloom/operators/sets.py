@@ -67,3 +67,15 @@ def conform(declared: DataFrame, implemented: DataFrame, scope: str | None = Non
     out = met.select("_s", "said", "own", verdict.alias("verdict")).unionByName(bad)
     lead = [F.col("_s").alias(scope)] if scope else []
     return out.select(*lead, F.coalesce("said.method", "own.m").alias("method"), F.coalesce("said.path", "own.p").alias("path"), "verdict", F.col("said.statuses").alias("declared"), F.col("own.s").alias("observed"))
+
+
+def superseded(tables: DataFrame, used: DataFrame, scope: str = "repo") -> DataFrame:
+    """Distinct scope, table of `tables` (scope, table, written) that a code table of the same singular name replaced.
+
+    Such a table is `written` only in migrations and `used` (scope, table) doesn't name it. A name's singular takes one
+    `s` from the end of every part between `_` that keeps three letters or more.
+    """
+    singular = F.array_join(F.transform(F.split("table", "_"), lambda p: F.when(p.endswith("s") & (F.length(p) > 3), F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(p)), "_")
+    named = tables.where("table is not null").withColumn("one", singular)
+    coded = named.where("not written").select(scope, "one").distinct()
+    return named.where("written").join(coded, [scope, "one"], "left_semi").join(used.select(scope, "table"), [scope, "table"], "left_anti").select(scope, "table").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as fn
-from factloom.operators import aggregates, graphs, joins, sets, windows, walks
+from factloom.operators import aggregates, graphs, joins, sets, types, walks, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -685,3 +685,105 @@ def q52_bound_parameters(spark, sf_dir):
         F.slice(args, F.lit(1), 1 + (F.col("c_acctbal") > 0).cast("int")).alias("args"),
     )
     return walks.bound_parameters(rows.select("scope", "class", "params"), rows.select("scope", "class", "parent", "args")).select("base", "param", "sub", "bound")
+
+
+CLASSES_SQL = """
+c AS (SELECT c_custkey AS class, 'T' || CAST(c_custkey % 400 AS VARCHAR) AS name, c_mktsegment AS package, c_nationkey AS unit, 'f' || CAST(c_custkey % 300 AS VARCHAR) AS path, 'T' || CAST((c_custkey * 7) % 500 AS VARCHAR) AS parent FROM customer),
+o AS (SELECT o_orderkey AS id, o_custkey % 25 AS unit, 'f' || CAST(o_custkey % 300 AS VARCHAR) AS path, c_mktsegment AS package, 'T' || CAST(o_orderkey % 450 AS VARCHAR) AS name, o_orderkey % 3 = 0 AS wide FROM orders JOIN customer ON c_custkey = o_custkey),
+i AS (SELECT path, id AS pos, package, CASE WHEN NOT wide THEN name END AS one FROM o),
+every AS (SELECT name, count(*) AS n, min(class) AS class FROM c GROUP BY 1), near AS (SELECT name, package, unit, min(class) AS class FROM c GROUP BY 1, 2, 3), home AS (SELECT name, unit, count(*) AS n, min(class) AS class FROM c GROUP BY 1, 2),
+a AS (SELECT DISTINCT unit, path, package, name FROM o UNION SELECT unit, path, package, parent FROM c),
+b AS (SELECT a.path, a.name, arg_min(c.class, (i.pos, c.class)) AS class FROM (SELECT DISTINCT path, name FROM a) a JOIN c ON c.name = a.name JOIN i ON i.path = a.path AND i.package = c.package AND coalesce(i.one, c.name) = c.name GROUP BY 1, 2),
+r AS (SELECT a.*, CASE WHEN e.n = 1 THEN e.class ELSE coalesce(near.class, b.class, CASE WHEN home.n = 1 THEN home.class END) END AS class
+      FROM a LEFT JOIN every e USING (name) LEFT JOIN near USING (name, package, unit) LEFT JOIN b USING (path, name) LEFT JOIN home USING (name, unit))"""
+
+
+def _written(spark, sf_dir):
+    """Classes made of customers, names asked for and imports made of orders."""
+    named = lambda c: F.concat(F.lit("T"), c.cast("string"))
+    cust, key, s = F.col("c_custkey"), F.col("o_orderkey"), F.lit("s").alias("scope")
+    people = table(spark, sf_dir, "customer")
+    classes = people.select(s, cust.alias("class"), named(cust % 400).alias("name"), F.col("c_mktsegment").alias("package"), F.col("c_nationkey").cast("long").alias("unit"), F.concat(F.lit("f"), (cust % 300).cast("string")).alias("path"), named(cust * 7 % 500).alias("parent"))
+    orders = table(spark, sf_dir, "orders").join(people.select("c_custkey", F.col("c_mktsegment").alias("package")), F.col("o_custkey") == cust)
+    asked = orders.select(key.alias("id"), s, (F.col("o_custkey") % 25).cast("long").alias("unit"), F.concat(F.lit("f"), (F.col("o_custkey") % 300).cast("string")).alias("path"), "package", named(key % 450).alias("name"))
+    imports = asked.select("scope", "path", F.col("id").alias("pos"), F.concat("package", F.lit("."), F.when(F.col("id") % 3 == 0, "*").otherwise(F.col("name"))).alias("specifier"))
+    return classes, asked, imports
+
+
+@query(f"""
+WITH {CLASSES_SQL}
+SELECT DISTINCT o.unit, o.path, o.package, o.name, r.class FROM o JOIN r USING (unit, path, package, name)""")
+def q53_resolve_types(spark, sf_dir):
+    classes, asked, imports = _written(spark, sf_dir)
+    return types.resolve(asked, classes, imports).drop("scope")
+
+
+@query(f"""
+WITH RECURSIVE {CLASSES_SQL},
+k(name, value) AS (VALUES ('T7', 400), ('T77', 404), ('T421', 409)),
+l AS (SELECT unit, name, arg_min(value, (ord, value)) AS value FROM (SELECT s_nationkey AS unit, 'T' || CAST(s_suppkey * 3 % 400 AS VARCHAR) AS name, 410 + s_suppkey % 10 AS value, s_suppkey AS ord FROM supplier) GROUP BY 1, 2),
+e AS (SELECT 'T' || CAST(p_partkey % 90 * 5 AS VARCHAR) AS name, arg_min(500 + p_size, (p_partkey, p_size)) AS value FROM part GROUP BY 1),
+w AS (SELECT o.id, o.unit, o.name, r.class, 0 AS up FROM o JOIN r USING (unit, path, package, name)
+  UNION ALL SELECT w.id, w.unit, r.name, r.class, up + 1 FROM w JOIN c ON c.class = w.class JOIN r ON r.unit = c.unit AND r.path = c.path AND r.package = c.package AND r.name = c.parent WHERE up < 4),
+h AS (SELECT id, up, 0 AS tier, value FROM w JOIN k USING (name) UNION ALL SELECT id, up, 1, value FROM w JOIN l USING (unit, name) UNION ALL SELECT id, up, 2, value FROM w JOIN e USING (name))
+SELECT o.id, CAST(x.value AS INTEGER) AS value FROM o LEFT JOIN (SELECT id, arg_min(value, (up, tier)) AS value FROM h GROUP BY 1) x USING (id)""")
+def q54_inherited_values(spark, sf_dir):
+    classes, asked, imports = _written(spark, sf_dir)
+    named = lambda c: F.concat(F.lit("T"), c.cast("string")).alias("name")
+    key, part, s = F.col("s_suppkey"), F.col("p_partkey"), F.lit("s").alias("scope")
+    known = spark.createDataFrame([("T7", 400), ("T77", 404), ("T421", 409)], "name string, value int")
+    local = table(spark, sf_dir, "supplier").select(s, F.col("s_nationkey").cast("long").alias("unit"), named(key * 3 % 400), (410 + key % 10).cast("int").alias("value"), key.alias("ord"))
+    every = table(spark, sf_dir, "part").select(s, named(part % 90 * 5), (500 + F.col("p_size")).cast("int").alias("value"), part.alias("ord"))
+    return types.inherited(asked.withColumn("home", F.col("unit")), classes, imports, known, local, every).select("id", "value")
+
+
+@query("""
+WITH n AS (SELECT n_nationkey, lower(replace(n_name, ' ', '-')) AS service FROM nation),
+t AS (SELECT service FROM n UNION SELECT DISTINCT split_part(split_part(url, '://', 2), '.', 1)[1:4] FROM pages WHERE regexp_full_match(split_part(split_part(url, '://', 2), '.', 1)[1:4], '[a-z0-9-]+')),
+l AS (SELECT lower(replace(n_name, ' ', '-')) AS unit, page_id AS pos, url AS value FROM pages JOIN nation ON n_nationkey = page_id % 25
+  UNION ALL SELECT 'u' || CAST(o_custkey % 7 AS VARCHAR), o_orderkey, upper(replace(service, '-', '_')) || CASE o_orderkey % 3 WHEN 0 THEN '_URL' WHEN 1 THEN '_HOST' ELSE '_PORT' END FROM orders JOIN n ON n_nationkey = o_custkey % 25)
+SELECT unit, service, count(*) AS literals, min(pos) AS first FROM l JOIN t ON unit <> service AND (contains(value, '://' || service) OR value IN (upper(replace(service, '-', '_')) || '_URL', upper(replace(service, '-', '_')) || '_SERVICE_URL', upper(replace(service, '-', '_')) || '_HOST', upper(replace(service, '-', '_')) || '_ADDR'))
+GROUP BY 1, 2""")
+def q55_named_services(spark, sf_dir):
+    pages, nation = table(spark, sf_dir, "pages"), table(spark, sf_dir, "nation")
+    s, slug = F.lit("s").alias("repo"), F.lower(F.replace("n_name", F.lit(" "), F.lit("-")))
+    host = F.substring(F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("."), F.lit(1)), 1, 4)
+    services = nation.select(s, slug.alias("service")).unionByName(pages.select(s, host.alias("service")).where(F.col("service").rlike("^[a-z0-9-]+$")))
+    said = pages.join(nation, F.col("page_id") % 25 == F.col("n_nationkey")).select(s, slug.alias("unit"), F.col("page_id").alias("pos"), F.col("url").alias("value"))
+    key = F.col("o_orderkey")
+    ending = F.when(key % 3 == 0, "_URL").when(key % 3 == 1, "_HOST").otherwise("_PORT")
+    orders = table(spark, sf_dir, "orders").join(nation, F.col("o_custkey") % 25 == F.col("n_nationkey"))
+    said = said.unionByName(orders.select(s, F.concat(F.lit("u"), (F.col("o_custkey") % 7).cast("string")).alias("unit"), key.alias("pos"), F.concat(F.upper(F.translate(slug, "-", "_")), ending).alias("value")))
+    return joins.named_services(said, services).groupBy("unit", "service").agg(F.count("*").alias("literals"), F.min("pos").alias("first"))
+
+
+@query("""
+WITH t AS (SELECT p_brand AS repo, CASE p_partkey % 4 WHEN 0 THEN replace(lower(p_type), ' ', 's_') ELSE replace(lower(p_type), ' ', '_') END || CASE WHEN p_partkey % 2 = 0 THEN 's' ELSE '' END AS tab, p_size % 3 > 0 AS written, p_partkey FROM part),
+s AS (SELECT *, array_to_string([CASE WHEN ends_with(x, 's') AND length(x) > 3 THEN x[1:length(x) - 1] ELSE x END FOR x IN string_split(tab, '_')], '_') AS one FROM t)
+SELECT DISTINCT repo, tab AS "table" FROM s WHERE written AND EXISTS (SELECT 1 FROM s c WHERE c.repo = s.repo AND c.one = s.one AND NOT c.written) AND NOT EXISTS (SELECT 1 FROM t u WHERE u.repo = s.repo AND u.tab = s.tab AND u.p_partkey % 5 = 0)""")
+def q56_superseded_tables(spark, sf_dir):
+    key, kind = F.col("p_partkey"), F.lower("p_type")
+    name = F.concat(F.when(key % 4 == 0, F.replace(kind, F.lit(" "), F.lit("s_"))).otherwise(F.replace(kind, F.lit(" "), F.lit("_"))), F.when(key % 2 == 0, "s").otherwise(""))
+    tables = table(spark, sf_dir, "part").select(F.col("p_brand").alias("repo"), name.alias("table"), (F.col("p_size") % 3 > 0).alias("written"), "p_partkey")
+    return sets.superseded(tables, tables.where("p_partkey % 5 = 0"))
+
+
+@query("""
+WITH u AS (SELECT c_nationkey AS repo, c_custkey AS id, count(DISTINCT o_orderstatus || o_orderpriority) AS modules, any_value(c_mktsegment) IN ('BUILDING', 'MACHINERY') AS service, count(o_orderkey) AS degree, CAST(round(coalesce(max(o_totalprice), 0)) AS BIGINT) // 5000 AS lines
+           FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2)
+SELECT repo, id FROM u QUALIFY row_number() OVER (PARTITION BY repo ORDER BY modules >= 4 DESC, service DESC, degree DESC, lines DESC, id) = 1""")
+def q57_busiest(spark, sf_dir):
+    met = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    lines = F.floor(F.round(F.coalesce(F.max("o_totalprice"), F.lit(0.0))) / 5000)
+    units = met.groupBy(F.col("c_nationkey").alias("repo"), F.col("c_custkey").alias("id")).agg(F.count_distinct(F.concat("o_orderstatus", "o_orderpriority")).alias("modules"), F.first("c_mktsegment").isin("BUILDING", "MACHINERY").alias("service"), F.count("o_orderkey").alias("degree"), lines.alias("lines"))
+    return aggregates.busiest(units)
+
+
+@query("""
+WITH o AS (SELECT o_custkey % 40 AS unit, CASE o_orderstatus WHEN 'O' THEN 'typed' WHEN 'F' THEN 'partial' END AS c FROM orders), x AS (SELECT s_suppkey % 60 AS unit FROM supplier),
+a AS (SELECT unit, count(*) AS n, count(*) FILTER (c = 'typed') AS typed, count(*) FILTER (c = 'partial') AS part FROM o GROUP BY 1), b AS (SELECT unit, count(*) AS n FROM x GROUP BY 1)
+SELECT unit, coalesce(a.n, 0) AS operations, coalesce(typed, 0) AS typed, coalesce(part, 0) AS partial, coalesce(a.n - typed - part, 0) AS opaque, coalesce(b.n, 0) AS excluded FROM a FULL JOIN b USING (unit)""")
+def q58_contracts(spark, sf_dir):
+    status = F.col("o_orderstatus")
+    operations = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("unit"), F.when(status == "O", "typed").when(status == "F", "partial").alias("confidence"))
+    return aggregates.contracts(operations, table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 60).alias("unit")), ["unit"])

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.extract import api, code, commands, data, events
+from factloom.extract import api, code, commands, data, events, faults
 from factloom.extract import models as shapes
-from factloom.operators import aggregates, joins, sets, walks
+from factloom.operators import aggregates, joins, sets, types, walks
 from factloom.operators.cut import cut
 from factloom.plans import states
 from factloom.sources import catalog, config, deploy, manifests, schemas, specs
@@ -178,7 +178,11 @@ def scan(files: DataFrame) -> Model:
     entities = cut(_entities(declared, physical))
     mapped = entities.select("repo", F.explode("code_names").alias("name"), F.col("table").alias("table"))
     access = cut(access.unionByName(_orm_access(files.where(is_source & ~is_migration), owners, mapped), allowMissingColumns=True))
-    access = cut(access.unionByName(_inherited(_own(extract(files, data.classes, data.CLASS, F.col("path").endswith(".java")), owners).where("error is null"), mapped), allowMissingColumns=True))
+    classes = cut(_own(extract(files, data.classes, data.CLASS, F.col("path").endswith(".java")), owners).where("error is null"))
+    access = cut(access.unionByName(_inherited(classes, mapped), allowMissingColumns=True))
+    entities = cut(_without_superseded(entities, access))
+    thrown = F.col("path").rlike(r"\.(?:java|kts?)$") & F.col("content").rlike(r"\bthrow\s|ResponseStatus|ExceptionHandler|ExceptionMapper")
+    operations = cut(_answered(operations, owned, classes, cut(_own(extract(files, faults.faults, faults.FAULT, thrown), owners).where("error is null"))))
     found = cut(_on_bus(_own(extract(files, events.events, events.EVENT, is_source), owners).where("error is null"), uses))
 
     shaped = cut(_models(_own(extract(files, shapes.models, shapes.MODEL, is_source), owners).where("error is null")))
@@ -186,7 +190,7 @@ def scan(files: DataFrame) -> Model:
     services = cut(_by_repo(deploy.compose_services(files)))
     kinds = _kinds(units, owned, uses, found, files)
     unit_table = cut(_unit_table(units, owned, kinds, services))
-    infra, relationships = _relationships(unit_table, uses, access, found, calls, services)
+    infra, relationships = _relationships(unit_table, uses, access, found, calls, services, owned)
     machines, moves = _states(entities, access)
     sold = [k for k in catalog._KINDS if catalog.describe(k)[2] == "third-party"]
     vendors = uses.where(F.col("infra").isin(sold) & (F.col("origin") == "code")).groupBy("repo", "unit", "path", F.col("infra").alias("target")).agg(F.collect_set("spec").alias("specs"))
@@ -279,6 +283,53 @@ def _inherited(classes: DataFrame, mapped: DataFrame) -> DataFrame:
     return met.select("repo", "unit", "path", "line", "symbol", "table", "mode", none.alias("sets"), none.alias("wheres"), F.array().cast("array<string>").alias("conditions"), none.alias("inserted"), F.col("sub").alias("through"))
 
 
+def _without_superseded(entities: DataFrame, access: DataFrame) -> DataFrame:
+    """`entities` less tables of migrations that nothing uses and that code declares under their singular or plural."""
+    only = F.forall(F.split("source", r"\+"), lambda s: s.isin("ddl", "alembic", "liquibase"))
+    gone = sets.superseded(entities.select("repo", "table", only.alias("written")), access.select("repo", "table"))
+    return entities.join(gone, ["repo", "table"], "left_anti").select(*entities.columns)
+
+
+def _answered(operations: DataFrame, owned: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """`operations` with the statuses of what their handlers throw, and of what the methods that these call throw.
+
+    A method called through a receiver counts if it is the only one of its name in the unit that throws. An exception
+    without a status of its own has that of the nearest of its class and the classes above: a known one, what the unit
+    answers it with, its annotation.
+    """
+    thrown = found.where("kind = 'throw'").select("repo", "unit", F.col("path").alias("file"), "symbol", "start", "name", "status").distinct()
+    if thrown.isEmpty():
+        return operations
+    methods = owned.select("repo", F.col("path").alias("file"), F.explode("symbols").alias("s")).where("s.kind in ('method', 'function')").select("repo", "file", F.col("s.start_line").alias("line"), F.col("s.end_line").alias("end"))
+    spans = operations.select("repo", "unit", "id", "file", "line").join(methods, ["repo", "file", "line"])
+    direct = spans.select("repo", "id", "unit", "file", F.col("line").alias("start"))
+    only = thrown.select("repo", "unit", "symbol", "file", "start").distinct().groupBy("repo", "unit", "symbol").agg(F.count("*").alias("n"), F.min(F.struct("file", "start")).alias("m")).where("n = 1")
+    called = owned.select("repo", F.col("path").alias("file"), F.explode("calls").alias("c")).where(F.col("c.callee").contains(".")).select("repo", "file", F.col("c.line").alias("at"), F.col("c.name").alias("symbol"))
+    through = spans.join(called, ["repo", "file"]).where("at between line and end").select("repo", "unit", "id", "symbol").distinct().join(only, ["repo", "unit", "symbol"]).select("repo", "id", "unit", "m.file", "m.start")
+    reached = cut(direct.unionByName(through).distinct().join(thrown.drop("unit", "symbol"), ["repo", "file", "start"]))
+    homes = owned.select("repo", F.col("path").alias("file"), F.col("unit").alias("home"), "package")
+    # an exception asked from one file for one unit is one question, whatever the number of operations
+    asks = reached.where("status is null").select("repo", "unit", "file", "name").distinct().join(homes, ["repo", "file"]).select(F.concat_ws("\u0001", "repo", "unit", "file", "name").alias("id"), F.col("repo").alias("scope"), "unit", F.col("file").alias("path"), "package", "name", "home")
+    parents = classes.select("repo", "path", "name", F.regexp_extract("parent", r"([^.]+)$", 1).alias("parent")).groupBy("repo", "path", "name").agg(F.min("parent").alias("parent"))
+    declared = owned.where("language in ('Java', 'Kotlin')").select("repo", "unit", "path", "package", F.explode("symbols").alias("s")).where("s.kind in ('class', 'interface')").select("repo", "unit", "path", "package", F.col("s.name").alias("name"), F.col("s.start_line").alias("line"))
+    declared = declared.join(parents, ["repo", "path", "name"], "left").select(F.col("repo").alias("scope"), F.concat_ws("\u0001", "repo", "path", F.format_string("%09d", "line"), "name").alias("class"), "name", "package", "unit", "path", "parent")
+    imports = owned.where("language in ('Java', 'Kotlin')").select(F.col("repo").alias("scope"), "path", F.explode("imports").alias("i")).select("scope", "path", F.col("i.line").alias("pos"), F.col("i.specifier").alias("specifier"))
+    said = found.select(F.col("repo").alias("scope"), "unit", "name", F.col("status").alias("value"), F.struct("path", "line").alias("ord"), "kind")
+    known = operations.sparkSession.createDataFrame(list(faults.KNOWN.items()), "name string, value int")
+    answers = types.inherited(asks, declared, imports, known, said.where("kind = 'advice'"), said.where("kind = 'status'")).where("value is not null").select("id", "value")
+    late = reached.where("status is null").select("repo", F.col("id").alias("operation"), F.concat_ws("\u0001", "repo", "unit", "file", "name").alias("id")).join(answers, "id").select("repo", F.col("operation").alias("id"), F.col("value").alias("status"))
+    every = reached.where("status is not null").select("repo", "id", "status").unionByName(late).where("status >= 400").groupBy("repo", "id").agg(F.collect_set("status").alias("_more"))
+    more = F.array_sort(F.array_distinct(F.concat(F.coalesce("errors", F.array().cast("array<int>")), F.coalesce("_more", F.array().cast("array<int>")))))
+    return operations.join(every, ["repo", "id"], "left").withColumn("errors", more).select(*operations.columns)
+
+
+def unresolved(model: Model) -> DataFrame:
+    """repo, target, unit, calls, places: calls that no operation of the model answers, by the host they name (null: none)."""
+    left = model.client_calls.where("operation is null")
+    said = F.struct("method", "path", "caller", F.col("evidence.file_path").alias("file"), F.col("evidence.start_line").alias("line"))
+    return left.groupBy("repo", F.col("target_host").alias("target"), "unit").agg(F.count("*").alias("calls"), F.slice(F.array_sort(F.collect_set(said)), 1, 200).alias("places"))
+
+
 def _models(found: DataFrame) -> DataFrame:
     """id, unit, name, fields of each unit's shapes: the first definition in path order; parents' fields come first.
 
@@ -367,7 +418,7 @@ def _unit_table(units: DataFrame, owned: DataFrame, kinds: DataFrame, services:
     return met.select("repo", F.col("unit").alias("id"), "name", kind.alias("kind"), F.coalesce("spoken", "language").alias("language"), F.when(F.col("root").startswith("\u0003"), F.substring("root", 2, 1 << 20)).otherwise(F.col("root")).alias("root"), "manifest", "frameworks", "description", "entry_points", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("lines", F.lit(0)).alias("lines"), "compose_service")
 
 
-def _relationships(units: DataFrame, uses: DataFrame, access: DataFrame, found: DataFrame, calls: DataFrame, services: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _relationships(units: DataFrame, uses: DataFrame, access: DataFrame, found: DataFrame, calls: DataFrame, services: DataFrame, owned: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = units.sparkSession
     known = spark.createDataFrame([(k, *catalog.describe(k)) for k in catalog._KINDS], "kind string, label string, role string, category string")
     sql = F.col("kind").isin("postgres", "mysql", "sqlite")
@@ -409,9 +460,13 @@ def _relationships(units: DataFrame, uses: DataFrame, access: DataFrame, found:
     deployed = deployed.where("is_unit").select("repo", "source", "target", F.lit("sync").alias("edge_type"), F.lit("depends on").alias("label"), F.lit("compose").alias("origin"), evidence(F.col("path"), F.col("line")).alias("evidence"))
     libraries = uses.where("origin = 'manifest'").select("repo", F.col("unit").alias("source"), F.lower(F.element_at(F.split("spec", "[/:]"), -1)).alias("name"), "path", "line").join(units.where("kind = 'library'").select("repo", F.lower("name").alias("name"), F.col("id").alias("target")), ["repo", "name"])
     libraries = libraries.select("repo", "source", "target", F.lit("sync").alias("edge_type"), F.lit("uses").alias("label"), F.lit("manifest").alias("origin"), evidence(F.col("path"), F.col("line")).alias("evidence"))
+    # variables and addresses that name a service, where no compose file says what depends on what
+    literals = owned.join(services.where("error is null").select("repo").distinct(), "repo", "left_anti").select("repo", "unit", "path", F.explode("strings").alias("s")).select("repo", "unit", F.struct("path", "s.line").alias("pos"), F.col("s.value").alias("value"))
+    named = joins.named_services(literals, units.where("kind = 'http-service'").select("repo", F.col("id").alias("service")))
+    linked = named.select("repo", F.col("unit").alias("source"), F.col("service").alias("target"), F.lit("sync").alias("edge_type"), F.lit("HTTP").alias("label"), F.lit("code").alias("origin"), evidence(F.col("pos.path"), F.col("pos.line")).alias("evidence"))
     # the order of kinds of evidence decides which one names a relationship
     rows = None
-    for n, part in enumerate((storage, buses, vendors, called, libraries, deployed)):
+    for n, part in enumerate((storage, buses, vendors, called, libraries, linked, deployed)):
         part = part.withColumn("_k", F.lit(n))
         rows = part if rows is None else rows.unionByName(part)
     rows = rows.withColumn("seq", F.struct("_k", "label", "evidence")).drop("_k")
