@@ -190,7 +190,8 @@ def scan(files: DataFrame) -> Model:
     services = cut(_by_repo(deploy.compose_services(files)))
     kinds = _kinds(units, owned, uses, found, files)
     unit_table = cut(_unit_table(units, owned, kinds, services))
-    infra, relationships = _relationships(unit_table, uses, access, found, calls, services, owned)
+    configuration = cut(_by_repo(config.configs(files)).where("error is null").drop("error"))
+    infra, relationships = _relationships(unit_table, uses, access, found, calls, services, owned, _routed(configuration, unit_table))
     machines, moves = _states(entities, access)
     sold = [k for k in catalog._KINDS if catalog.describe(k)[2] == "third-party"]
     vendors = uses.where(F.col("infra").isin(sold) & (F.col("origin") == "code")).groupBy("repo", "unit", "path", F.col("infra").alias("target")).agg(F.collect_set("spec").alias("specs"))
@@ -199,7 +200,7 @@ def scan(files: DataFrame) -> Model:
     return Model(
         files=files.join(owners, ["repo", "path"], "left").select("repo", "path", "unit"), facts=owned, units=unit_table, infra=infra, relationships=relationships, operations=operations, models=_reachable(operations, shaped), excluded=left_out, client_calls=calls,
         entities=entities.drop("code_names"), accesses=access, state_machines=machines, transitions=moves, events=found, flows_input=owned.select("repo", "unit", "path", "symbols", "calls", "types"), vendor_files=vendors,
-        workloads=placed, topology=deploy.topology_links(placed.withColumn("error", F.lit(None).cast("string"))), overlays=deploy.overlays(services), configuration=clean(config.configs(files)), summaries=clean(specs.readmes(files)),
+        workloads=placed, topology=deploy.topology_links(placed.withColumn("error", F.lit(None).cast("string"))), overlays=deploy.overlays(services), configuration=configuration, summaries=clean(specs.readmes(files)),
         commands=clean(commands.surface(files)),
     )
 
@@ -418,7 +419,7 @@ def _unit_table(units: DataFrame, owned: DataFrame, kinds: DataFrame, services:
     return met.select("repo", F.col("unit").alias("id"), "name", kind.alias("kind"), F.coalesce("spoken", "language").alias("language"), F.when(F.col("root").startswith("\u0003"), F.substring("root", 2, 1 << 20)).otherwise(F.col("root")).alias("root"), "manifest", "frameworks", "description", "entry_points", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("lines", F.lit(0)).alias("lines"), "compose_service")
 
 
-def _relationships(units: DataFrame, uses: DataFrame, access: DataFrame, found: DataFrame, calls: DataFrame, services: DataFrame, owned: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _relationships(units: DataFrame, uses: DataFrame, access: DataFrame, found: DataFrame, calls: DataFrame, services: DataFrame, owned: DataFrame, routed: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = units.sparkSession
     known = spark.createDataFrame([(k, *catalog.describe(k)) for k in catalog._KINDS], "kind string, label string, role string, category string")
     sql = F.col("kind").isin("postgres", "mysql", "sqlite")
@@ -466,7 +467,7 @@ def _relationships(units: DataFrame, uses: DataFrame, access: DataFrame, found:
     linked = named.select("repo", F.col("unit").alias("source"), F.col("service").alias("target"), F.lit("sync").alias("edge_type"), F.lit("HTTP").alias("label"), F.lit("code").alias("origin"), evidence(F.col("pos.path"), F.col("pos.line")).alias("evidence"))
     # the order of kinds of evidence decides which one names a relationship
     rows = None
-    for n, part in enumerate((storage, buses, vendors, called, libraries, linked, deployed)):
+    for n, part in enumerate((storage, buses, vendors, called, libraries, routed, linked, deployed)):
         part = part.withColumn("_k", F.lit(n))
         rows = part if rows is None else rows.unionByName(part)
     rows = rows.withColumn("seq", F.struct("_k", "label", "evidence")).drop("_k")
@@ -477,6 +478,24 @@ def _relationships(units: DataFrame, uses: DataFrame, access: DataFrame, found:
     return cut(infra), cut(out.withColumn("id", F.concat_ws("--", "source", "target")))
 
 
+def _routed(configuration: DataFrame, units: DataFrame) -> DataFrame:
+    """Relationships of gateways with the units that their routes name: by id, name, compose service or application name.
+
+    A configuration file belongs to the unit with the deepest root above it. A name of several units is that of the
+    least; the address of a service counts by its whole host.
+    """
+    repo = F.concat(F.lit("\u0002"), "repo")
+    places = configuration.select("repo", "path", F.concat_ws("\u0001", "repo", "path").alias("key"), F.concat_ws("/", repo, "path").alias("scoped")).distinct()
+    owned = joins.longest_prefix(places, units.select(F.concat_ws("/", repo, "root").alias("prefix"), F.col("id").alias("owner")), "key", "scoped", "prefix", "owner").where("owner is not null").select("repo", "path", F.col("owner").alias("source"))
+    called = configuration.where(F.col("key").isin("spring.application.name", "micronaut.application.name", "quarkus.application.name") & ~F.col("value").contains("${")).join(owned, ["repo", "path"]).select("repo", F.col("value").alias("name"), F.col("source").alias("id"))
+    own = units.select("repo", F.explode(F.array_compact(F.array("id", "name", "compose_service"))).alias("name"), "id")
+    names = called.unionByName(own).groupBy("repo", F.lower("name").alias("name")).agg(F.min("id").alias("target"))
+    routes = config.gateway_routes(configuration).withColumn("name", F.lower("target")).drop("target")
+    met = routes.join(owned, ["repo", "path"]).join(names, ["repo", "name"]).where("source <> target")
+    label = F.concat_ws(" ", F.lit("routes"), "pattern")
+    return met.select("repo", "source", "target", F.lit("sync").alias("edge_type"), label.alias("label"), F.lit("config").alias("origin"), evidence(F.col("path"), F.col("line")).alias("evidence"))
+
+
 def _imaged(services: DataFrame) -> DataFrame:
     """repo, name, kind of compose services whose image is a known kind of infrastructure."""
 

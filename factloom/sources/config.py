@@ -10,6 +10,7 @@ import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.text import url_host
 from factloom.sources.files import extract
 
 
@@ -91,6 +92,26 @@ def configs(files: DataFrame) -> DataFrame:
     return extract(files, parse, "key string, value string, line int, profile string", name.rlike(r"^(application|bootstrap)(-[\w-]+)?\.(ya?ml|properties)$"))
 
 
+def gateway_routes(settings: DataFrame) -> DataFrame:
+    """repo, path, route, target, pattern, line: routes that Zuul's or Spring Cloud Gateway's keys of `settings` declare.
+
+    `settings` has repo, path, key, value, line. The target is a service's id, else the host of the address; a route
+    without a target is none. Of several patterns or targets of a route the first by line counts; a pattern may lack.
+    """
+    zuul, cloud = r"^zuul\.routes\.(.+)\.([^.]+)$", r"^(spring\.cloud\.gateway\.(?:server\.webflux\.|mvc\.)?routes\[\d+\])\.(.+)$"
+    told = settings.where(F.col("key").rlike(f"{zuul}|{cloud}") & F.col("value").isNotNull())
+    old = F.col("key").startswith("zuul.")
+    parts = told.select("repo", "path", "line", "value", old.alias("old"), *[F.when(old, F.regexp_extract("key", zuul, n)).otherwise(F.regexp_extract("key", cloud, n)).alias(name) for n, name in ((1, "route"), (2, "field"))])
+    pattern = F.when(F.col("old") & (F.col("field") == "path"), F.col("value")).when(~F.col("old") & F.col("field").startswith("predicates") & F.col("value").startswith("Path="), F.substring("value", 6, 1 << 20))
+    id_ = F.when(F.col("old") & F.col("field").isin("serviceId", "service-id"), F.col("value"))
+    host = F.when((F.col("old") & (F.col("field") == "url")) | (~F.col("old") & (F.col("field") == "uri")), url_host(F.col("value")))
+    rows = parts.select("repo", "path", "route", "line", pattern.alias("pattern"), id_.alias("id"), host.alias("host"))
+    at = F.struct((F.col("id").isNull()).cast("int"), "line")
+    named = F.when(F.coalesce("id", "host").isNotNull(), F.struct(F.coalesce("id", "host").alias("target"), "line"))
+    met = rows.groupBy("repo", "path", "route").agg(F.min_by(named, F.when(named.isNotNull(), at)).alias("t"), F.min_by("pattern", F.when(F.col("pattern").isNotNull(), F.col("line"))).alias("pattern"))
+    return met.where("t is not null").select("repo", "path", "route", "t.target", "pattern", "t.line")
+
+
 def settings(folder: str, name: str = "factloom.toml") -> dict:
     """The nearest settings file up the tree; its output folder has to lie inside the folder that holds the file."""
     at = Path(folder).resolve()

@@ -190,9 +190,12 @@ def test_services_named_in_code_and_replaced_tables(spark):
     package = '{"name": "%s", "dependencies": {"express": "4", "axios": "1"}}\n'
     texts = {"stock/package.json": package % "stock-api", "stock/app.ts": serve, "desk/package.json": package % "desk", "desk/app.ts": call}
     ddl = {"db/1.sql": "CREATE TABLE albums (id INT PRIMARY KEY);\nCREATE TABLE covers (id INT PRIMARY KEY);\n", "m/models.py": 'from sqlalchemy import Column, Integer\nclass Album(Base):\n    __tablename__ = "album"\n    id = Column(Integer, primary_key=True)\n'}
+    gate = "spring:\n  application:\n    name: front\n  cloud:\n    gateway:\n      routes:\n        - id: a\n          uri: lb://cats\n          predicates:\n            - Path=/cats/**\n        - id: b\n          uri: http://nobody:80\nzuul:\n  routes:\n    d:\n      path: /desk/**\n      url: http://far:80\n      serviceId: desk\n"
+    texts |= {"gate/pom.xml": "<project><groupId>a</groupId><artifactId>gate</artifactId></project>", "gate/src/main/resources/application.yml": gate, "stock/src/main/resources/application.properties": "spring.application.name=cats\n"}
     composed = {"docker-compose.yml": "services:\n  x:\n    image: redis\n"}
     rows = [("a", p, t) for p, t in {**texts, **ddl}.items()] + [("b", p, t) for p, t in {**texts, **composed}.items()]
     model = scan.scan(spark.createDataFrame(rows, "repo string, path string, content string"))
     assert [tuple(r) for r in model.relationships.where("label = 'HTTP'").select("repo", "source", "target", F.col("evidence")[0]["start_line"]).collect()] == [("a", "desk", "stock-api", 4)]
+    assert sorted(tuple(r) for r in model.relationships.where("repo = 'a' and label like 'routes%'").select("source", "target", "label", F.col("evidence")[0]["start_line"]).collect()) == [("gate", "desk", "routes /desk/**", 18), ("gate", "stock-api", "routes /cats/**", 8)]
     assert sorted(r["table"] for r in model.entities.where("repo = 'a'").collect()) == ["album", "covers"]
     assert [(r["target"], r["unit"], r["calls"]) for r in scan.unresolved(model).where("repo = 'a'").collect()] == [("far.example", "desk", 1)]
