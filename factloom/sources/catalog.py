@@ -550,6 +550,10 @@ def is_other_dir(name: str) -> bool:
     return n in TEST_DIRS or n in OTHER_DIRS or n.startswith("e2e-") or n.endswith(("-e2e", "-tests", "_tests"))
 
 
+#: What names of test files end with and contain; fixed values.
+TEST_ENDS = ("_test.go", "_test.py", "_tests.rs", "_test.rs", "Test.java", "Tests.java", "IT.java", "TestCase.java")
+TEST_MARKS = (".test.", ".spec.", ".stories.", ".e2e.")
+
+
 def is_test_file(name: str) -> bool:
-    ends = ("_test.go", "_test.py", "_tests.rs", "_test.rs", "Test.java", "Tests.java", "IT.java", "TestCase.java")
-    return name.endswith(ends) or (name.startswith("test_") and name.endswith(".py")) or name == "conftest.py" or any(m in name for m in (".test.", ".spec.", ".stories.", ".e2e."))
+    return name.endswith(TEST_ENDS) or (name.startswith("test_") and name.endswith(".py")) or name == "conftest.py" or any(m in name for m in TEST_MARKS)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -21,6 +22,8 @@ from factloom.sources import catalog
 #: Limits of a scan; fixed values.
 MAX_FILES, MAX_BYTES, READ_FLOOR = 25_000, 1_000_000, 0.10
 FILES = "repo string, path string, content string"
+#: Folders of what is built or installed, never read.
+BUILT = ("node_modules", "target", "vendor", "dist", "build", "__pycache__", "venv")
 JVM_ROOTS = ("src/main/java", "src/main/kotlin")
 
 
@@ -62,7 +65,7 @@ def walk(root: str, include_tests: bool = False, most: int = MAX_FILES, most_byt
         kept = []
         for d in sorted(dirs):
             path = f"{here}/{d}" if here else d
-            if d.startswith(".") or d in ("node_modules", "target", "vendor", "dist", "build", "__pycache__", "venv") or _ignored(rules, path, True) or os.path.islink(os.path.join(folder, d)):
+            if d.startswith(".") or d in BUILT or _ignored(rules, path, True) or os.path.islink(os.path.join(folder, d)):
                 continue
             if not include_tests and not in_jvm and catalog.is_other_dir(d):
                 out["skipped_dirs"] += 1
@@ -96,12 +99,42 @@ def read_tree(spark: SparkSession, root: str, repo: str | None = None, include_t
     return spark.createDataFrame(rows, FILES)
 
 
-def read_store(spark: SparkSession, path: str, repo: Column | None = None) -> DataFrame:
-    """`files` of a store that Spark reads, such as many repositories below one path."""
+def _store(spark: SparkSession, path: str, include_tests: bool) -> DataFrame:
+    """path (below the root), length, content, reason of all files of a store; the reason says why one isn't read."""
+    plain = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
+    root = re.sub(plain, "", path) if re.match(plain, path) else os.path.abspath(path)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    below = F.substring(F.regexp_replace("path", plain, ""), len(root.rstrip("/")) + 2, 1 << 20)
+    rows = raw.select(below.alias("path"), "length", "content").withColumn("name", F.substring_index("path", "/", -1))
+    parts = F.split("path", "/")
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    # below a JVM source root a name is a package
+    outer = F.split(F.regexp_replace("path", rf"((?:^|/)(?:{'|'.join(JVM_ROOTS)}))/.*$", "$1/"), "/")
+    outer = F.slice(outer, F.lit(1), F.size(outer) - 1)
+    low = lambda d: F.lower(d)
+    other = F.exists(outer, lambda d: low(d).isin(*sorted({*catalog.TEST_DIRS, *catalog.OTHER_DIRS})) | low(d).startswith("e2e-") | low(d).endswith("-e2e") | low(d).endswith("-tests") | low(d).endswith("_tests"))
+    test = F.col("name").rlike(f"(?:{'|'.join(map(re.escape, catalog.TEST_ENDS))})$|{'|'.join(map(re.escape, catalog.TEST_MARKS))}|^test_.*\\.py$|^conftest\\.py$")
+    hidden = F.exists(folders, lambda d: d.startswith(".")) | (F.col("name").startswith(".") & ~F.col("name").startswith(".env"))
+    built = F.exists(folders, lambda d: d.isin(*BUILT))
+    reason = F.when(hidden, "hidden").when(built, "built").when(F.lit(not include_tests) & other, "folder").when(F.lit(not include_tests) & test, "test").when(F.col("length") > MAX_BYTES, "oversized")
+    return rows.withColumn("reason", reason)
+
+
+def read_store(spark: SparkSession, path: str, repo: Column | None = None, include_tests: bool = False) -> DataFrame:
+    """`files` of a store that Spark reads, such as many repositories below one path; paths are those below it.
+
+    `repo` is an expression over path, such as its first folder, which then stays in the path. What :func:`walk` leaves
+    out is left out, but for .gitignore, which isn't read; :func:`store_left_out` counts it. Spark doesn't list names
+    that begin with `_` or `.`. Texts that aren't UTF-8 have a null content.
+    """
     text = F.when(F.expr("is_valid_utf8(cast(content as string))"), F.col("content").cast("string"))
-    kept = raw.where(F.col("length") <= MAX_BYTES)
-    return kept.select((repo if repo is not None else F.lit(None)).cast("string").alias("repo"), F.col("path"), text.alias("content"))
+    kept = _store(spark, path, include_tests).where((F.col("length") <= MAX_BYTES) & F.col("reason").isNull())
+    return kept.select((repo if repo is not None else F.lit(None)).cast("string").alias("repo"), "path", text.alias("content"))
+
+
+def store_left_out(spark: SparkSession, path: str, include_tests: bool = False) -> DataFrame:
+    """reason, files, bytes of what :func:`read_store` doesn't read; no content is read for it."""
+    return _store(spark, path, include_tests).where("reason is not null").groupBy("reason").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
 def with_language(files: DataFrame) -> DataFrame:

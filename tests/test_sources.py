@@ -163,3 +163,22 @@ def test_walk_and_coverage(spark, tmp_path):
 def test_hunks():
     diff = "--- a/x\n+++ b/x\n@@ -1,2 +1,3 @@\n@@ -9 +10,0 @@ f\n--- a/y\n+++ /dev/null\n@@ -1 +0,0 @@\n"
     assert git.parse_hunks(diff) == [("x", 1, 3), ("x", 10, 10)]
+
+
+def test_a_store_is_read_by_the_rules_of_a_tree(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from factloom.sources import files
+
+    kept = ["a/src/x.py", "a/src/main/java/test/B.java", "b/c d.ts"]
+    gone = {"a/tests/y.py": "folder", "a/src/x_test.go": "test", "b/node_modules/z.js": "built", "b/conftest.py": "test", "b/f.spec.ts": "test", "a/test/src/main/java/C.java": "folder", "a/big.py": "oversized"}
+    for p in [*kept, *gone]:
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_bytes(b"x" * (files.MAX_BYTES + 1 if p.endswith("big.py") else 3))
+    (tmp_path / "b/odd.py").write_bytes(b"\xff")
+    repo = F.substring_index("path", "/", 1)
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        assert sorted(tuple(r) for r in files.read_store(spark, root, repo).collect()) == sorted([*((p[0], p, "xxx") for p in kept), ("b", "b/odd.py", None)], key=lambda r: r[:2])
+    counts = {r["reason"]: r["files"] for r in files.store_left_out(spark, str(tmp_path)).collect()}
+    assert counts == {w: list(gone.values()).count(w) for w in set(gone.values())}
+    assert sorted(files.walk(str(tmp_path))["paths"]) == sorted([*kept, "b/odd.py"])
