@@ -355,3 +355,28 @@ def test_takers_bodies_and_deliveries(spark):
     published = spark.createDataFrame([(1, "s", "k", "t"), (2, "s", "k", None), (3, "s", "r", "u"), (4, "s", "r", None), (5, "s", "z", "t")], "id int, scope string, bus string, topic string")
     consumers = spark.createDataFrame([("a", "s", "k", "t", 3), ("b", "s", "k", "t", 1), ("c", "s", "k", "t", 2), ("d", "s", "r", None, 1)], "consumer string, scope string, bus string, topic string, order int")
     assert sorted(tuple(r) for r in walks.deliver(published, consumers, 2).collect()) == [(1, "b", 1, False), (1, "c", 2, False), (3, "d", 1, True), (4, "d", 1, True)]
+
+
+def test_delivery_joins_no_more_consumers_than_it_keeps(spark):
+    rnd = random.Random(3)
+    consumers = [(f"c{k}", "s", f"b{k % 2}", rnd.choice(["t", "u", None]), rnd.choice([None, 1, 2, 3])) for k in range(300)]
+    published = [(i, "s", f"b{i % 3}", rnd.choice(["t", "u", "v", None])) for i in range(200)] + [(7, "s", "b0", "t"), (7, "s", "b1", "u"), (8, None, "b0", "t")]
+    left, right = spark.createDataFrame(published, "id int, scope string, bus string, topic string"), spark.createDataFrame(consumers, "consumer string, scope string, bus string, topic string, order int")
+    met = {}
+    for i, scope, bus, topic in published:
+        met.setdefault(i, []).extend((-1 if at is None else at, c) for c, s, b, t, at in consumers if (s, b, t) == (scope, bus, topic) and t)
+    made = walks.deliver(left, right, 2)
+    rows = made.collect()
+    assert sorted(tuple(r) for r in rows) == sorted((i, c, n, False) for i, m in met.items() for n, (_, c) in enumerate(sorted(m)[:2], 1))
+    plan = made._jdf.queryExecution().executedPlan()
+    joined = []
+
+    def look(node):
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            joined.append(node.metrics().apply("numOutputRows").value())
+        inner = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(k) for k in range(node.children().size())]
+        for n in inner:
+            look(n)
+
+    look(plan)
+    assert joined and max(joined) <= 2 * len(published)
