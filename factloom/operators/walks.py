@@ -93,27 +93,42 @@ def traverse(entries: DataFrame, edges: DataFrame, depth: int, hops: int, visite
     no two with the same `via`. A node counts where the fewest edges reach it, the least order first. Nodes of `visited`
     (entry, node) are not entered; a second row of an entry and node in `entries` is left out in the same way.
     """
-    state = F.struct("order", "depth", "hops", "via")
-
-    def least(df: DataFrame) -> DataFrame:
-        return df.groupBy("entry", "node").agg(F.min(state).alias("s")).select("entry", "node", "s.*")
-
     via = F.array().cast("array<string>")
-    start = entries.where("entry is not null and node is not null").select("entry", "node", F.col("order").cast("array<bigint>").alias("order"), F.lit(0).alias("depth"), F.lit(0).alias("hops"), via.alias("via"))
-    known = [] if visited is None else [visited.select("entry", "node")]
-    front = least(start)
-    front = cut(front.join(known[0], ["entry", "node"], "left_anti") if known else front)
+    start = entries.where("entry is not null and node is not null").select("entry", "node", F.col("order").cast("array<bigint>").alias("order")).groupBy("entry", "node").agg(F.min("order").alias("order"))
+    known = None if visited is None else visited.select("entry", "node")
+    # entries that begin at one node and have nothing visited share a walk: their order is how all of its orders begin
+    alone = start.groupBy("entry").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("order").alias("order")).where("n = 1 and order is not null").drop("n")
+    alone = cut(alone if known is None else alone.join(known, "entry", "left_anti"))
+    own = start.join(alone, "entry", "left_anti")
+    own = own if known is None else own.join(known, ["entry", "node"], "left_anti")
+    lead = lambda df, entry, shared, order: df.select(F.struct(entry.alias("entry"), shared.alias("shared")).alias("walk"), "node", order.alias("order"))
+    front = lead(own, F.col("entry"), F.lit(None).cast(dict(start.dtypes)["node"]), F.col("order"))
+    front = front.unionByName(lead(alone.select("node").distinct(), F.lit(None).cast(dict(start.dtypes)["entry"]), F.col("node"), F.array().cast("array<bigint>")))
+    front = cut(front.select("walk", "node", "order", F.lit(0).alias("depth"), F.lit(0).alias("hops"), via.alias("via")))
+    passed = None if known is None else known.select(F.struct("entry", F.lit(None).cast(dict(start.dtypes)["node"]).alias("shared")).alias("walk"), "node")
+    walked = _walk(front, edges, depth, hops, passed)
+    each = walked.where("walk.shared is null").select("walk.entry", "node", "order", "depth", "hops", "via")
+    shared = walked.where("walk.shared is not null").withColumn("shared", F.col("walk.shared"))
+    begun = alone.select("entry", F.col("node").alias("shared"), F.col("order").alias("begin"))
+    return each.unionByName(shared.join(begun, "shared").select("entry", "node", F.concat("begin", "order").alias("order"), "depth", "hops", "via"))
+
+
+def _walk(front: DataFrame, edges: DataFrame, depth: int, hops: int, visited: DataFrame | None) -> DataFrame:
+    """walk, node, order, depth, hops, via: what the walks of `front` (the same columns) reach, as in :func:`traverse`."""
+    state = F.struct("order", "depth", "hops", "via")
     steps = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), F.col("order").cast("array<bigint>").alias("step"), "remote", F.col("via").alias("by")).where("next is not null")
+    # rounds read only edges that leave a node where a walk begins or an edge ends
+    steps = cut(steps.join(steps.select(F.col("next").alias("node")).unionByName(front.select("node")).distinct(), "node", "left_semi"))
     found = [front]
     while not front.isEmpty():
         met = front.join(steps, "node")
         go = F.when(F.col("remote"), (F.col("hops") < hops) & ~F.array_contains("via", F.coalesce("by", F.lit("")))).otherwise(F.col("depth") < depth)
         to = met.where(go).select(
-            "entry", F.col("next").alias("node"), F.concat("order", "step").alias("order"), F.when(F.col("remote"), F.lit(0)).otherwise(F.col("depth") + 1).alias("depth"), F.when(F.col("remote"), F.col("hops") + 1).otherwise(F.col("hops")).alias("hops"),
+            "walk", F.col("next").alias("node"), F.concat("order", "step").alias("order"), F.when(F.col("remote"), F.lit(0)).otherwise(F.col("depth") + 1).alias("depth"), F.when(F.col("remote"), F.col("hops") + 1).otherwise(F.col("hops")).alias("hops"),
             F.when(F.col("remote") & F.col("by").isNotNull(), F.array_append("via", F.col("by"))).otherwise(F.col("via")).alias("via"),
         )
-        before = reduce(DataFrame.unionByName, [*known, *[f.select("entry", "node") for f in found]])
-        front = cut(least(to).join(before, ["entry", "node"], "left_anti"))
+        before = reduce(DataFrame.unionByName, [*([] if visited is None else [visited]), *[f.select("walk", "node") for f in found]])
+        front = cut(to.groupBy("walk", "node").agg(F.min(state).alias("s")).select("walk", "node", "s.*").join(before, ["walk", "node"], "left_anti"))
         found.append(front)
     return reduce(DataFrame.unionByName, found)
 

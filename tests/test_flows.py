@@ -380,3 +380,24 @@ def test_delivery_joins_no_more_consumers_than_it_keeps(spark):
 
     look(plan)
     assert joined and max(joined) <= 2 * len(published)
+
+
+def test_entries_of_one_node_share_a_walk(spark, monkeypatch):
+    rnd = random.Random(12)
+    edges = [(rnd.randrange(12), rnd.randrange(12), [rnd.randrange(5)], rnd.random() < 0.3, rnd.choice(["p", "q", None])) for _ in range(40)] + [(3, 4, None, False, None)]
+    entries = [(e, e % 3, [e]) for e in range(60)] + [(60, 1, None), (61, 2, []), (62, 1, [1]), (62, 2, [2]), (63, 1, [7]), (63, 1, [6])]
+    left, right, gone = spark.createDataFrame(entries, "entry int, node int, order array<int>"), spark.createDataFrame(edges, "src int, dst int, order array<int>, remote boolean, via string"), spark.createDataFrame([(1, 5), (4, 1)], "entry int, node int")
+    sizes, kept = [], walks.cut
+
+    def cut(df):
+        out = kept(df)
+        if "walk" in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(walks, "cut", cut)
+    together = sorted(map(repr, walks.traverse(left, right, 2, 2, gone).collect()))
+    assert max(sizes) <= 12 * (3 + 4)  # three nodes where entries begin, and four entries that walk by themselves
+    # a visited node that no edge meets makes every entry walk by itself
+    each = spark.createDataFrame([(e, 99) for e in range(64)] + [(1, 5), (4, 1)], "entry int, node int")
+    assert together == sorted(map(repr, walks.traverse(left, right, 2, 2, each).collect()))
