@@ -9,7 +9,9 @@ sequence; `take` opens only the symbols that hold asked ranges. Only part totals
 
 The library encodes distinct words, not texts, where the file's own steps allow that: if its normaliser and its
 pattern are SPLITS, no step looks across a blank or a line end, so a text's ids are those of its words in order (tested
-against the library on whole texts). For other files whole texts are encoded.
+against the library on whole texts). Marks at a word's end are words of their own, so that a word is met less often
+with other marks. A slice of texts is cut, its distinct words found, and their ids put together again by Arrow; Python
+sees each distinct word of a slice once. For other files whole texts are encoded.
 
 Defined cases: a null or empty text has the end id alone; rows without a document id come first; of rows with the same
 id those with fewer ids come first, then by a hash of the ids, equal ones in any order; a document of more than
@@ -21,10 +23,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import string
 from array import array
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +72,8 @@ class Encoder:
         self.first = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.width, self.code = ("<u2", "H") if self.first <= 1 << 16 else ("<u4", "I")
         self.words, self.older = Words(self), {}
+        self.by_words &= not any(map(LETTERS, self.added))
+        self.marks = "".join(c for c in string.punctuation if c not in "".join(self.added))
         self.model, step = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.letters = {c: step.pre_tokenize_str(chr(c))[0][0] for c in [*range(0xDF, 0xF7), *range(0xF8, 0x100)]} if self.by_words else {}
 
@@ -86,23 +92,45 @@ class Encoder:
         return self.pack([x.id for piece, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word)) for x in t.model.tokenize(piece)])
 
     def lower(self, word: str) -> bytes:
-        """The ids of a word of lower-case letters that MARKED takes."""
+        """The ids of a word of lower-case letters that LETTERS takes."""
         pieces = self.model.tokenize(word if word.isascii() else word.translate(self.letters))
         return array(self.code, [x.id for x in pieces]).tobytes()
 
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+        return self.every(pa.array([text], pa.string()))[0].as_py()
+
+    def every(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text, none for a null."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         if not self.by_words:
-            return self.plain(text)
+            return pa.array(map(self.plain, texts.to_pylist()), pa.binary())
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = cut.values.dictionary_encode()
+        return pc.binary_join(pa.ListArray.from_arrays(cut.offsets, self.distinct(words.dictionary).take(words.indices)), b"")
+
+    def distinct(self, words: pa.StringArray) -> pa.Array:
+        """The ids of each word, of which none is null: those of what precedes its last marks, then those of the marks."""
+        import numpy as np
+
         if len(self.words) > REMEMBERED:
             self.older, self.words = self.words, Words(self)
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+        bare = pc.ascii_rtrim(words, self.marks)
+        begins = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1]
+        apart = pc.is_in(pc.utf8_slice_codeunits(bare, -1), pa.array(APART))
+        places = np.empty(2 * len(words) + 1, np.int32)
+        places[::2] = begins
+        places[1::2] = np.where(apart, begins[:-1] + pc.binary_length(bare).to_numpy(), begins[1:])
+        halves = pa.StringArray.from_buffers(2 * len(words), pa.py_buffer(places), words.buffers()[2]).dictionary_encode()
+        ids = pa.array(map(self.words.__getitem__, halves.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary())
+        pairs = pa.array(np.arange(0, 2 * len(words) + 1, 2, dtype=np.int32))
+        return pc.binary_join(pa.ListArray.from_arrays(pairs, ids.take(halves.indices)), b"")
 
 
-#: Letters that composition leaves alone and that have one lower-case letter each; a word of them and the marks that
-#: follow it are apart for every step of SPLITS, so such a word needs no step but lower-casing and its bytes' letters.
-MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]*)").fullmatch
+#: Letters that composition leaves alone and that have one lower-case letter each: a word of them needs no step of
+#: SPLITS but lower-casing and its bytes' letters.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Characters after which every step of SPLITS sees a new piece where ASCII marks follow up to the word's end.
+APART = [c for c in map(chr, range(0x100)) if LETTERS(c) or c in string.digits]
 
 
 class Words(dict):
@@ -114,13 +142,11 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.encoder.older.get(word)
         if ids is None:
-            split = MARKED(word)
-            if split is None:
+            if LETTERS(word) is None:
                 ids = self.encoder.word(word)
             else:
-                letters, marks = split.groups()
-                low = letters.lower()
-                ids = self[low] + self[marks] if marks else self[low] if low != letters else self.encoder.lower(low)
+                low = word.lower()
+                ids = self.encoder.lower(word) if low == word else self[low]
         if len(word) <= LONGEST:
             self[word] = ids
         return ids
@@ -152,11 +178,11 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = encoder(content)
         last = b"" if end is None else own.pack([end])
-        ids = [own.ids(t) + last for t in batch.column(1).to_pylist()]
-        wide = len(own.pack([0]))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) // wide for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc", "n", "ids"])
+        ids = pc.binary_join_element_wise(own.every(batch.column(1)), last, b"")
+        n = pc.divide(pc.binary_length(ids), len(own.pack([0]))).cast(pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), n, ids], names=["doc", "n", "ids"])
 
-    return map_arrow(given, each, "doc long, n long, ids binary", "text", 1 << 20)
+    return map_arrow(given, each, "doc long, n long, ids binary")
 
 
 def _pack(first: int, width: str, block: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -141,6 +141,23 @@ def test_encoder_equals_the_library(rows):
     own.by_words = True
 
 
+def test_encoder_meets_a_word_once_whatever_its_marks():
+    import pyarrow as pa
+
+    own = tokenstore.Encoder(tokenstore._content(FILE))
+    marks = ["", ",", ".", "...", "!?", "***", "|>", "<|", "')", "'", "#%&"]
+    odd = ["<|endoftext|>", "a<|endoftext|>", "<|endoftext", "q\u0301", "e\u0301", "€", "×", "a×", "´", "it's", "'s", "x'", "42", "x²", "Ⅻ", "İ", "ß", "Ÿ", "Σς", "a,b", "a\u0338", "\u200d", "語"]
+    texts = [f"{w}{m}" for w in odd for m in marks]
+    texts += [None, "", " ", "\n", " ".join(texts), "\n".join(texts), "a, \u0338", "w" * 3000 + "."]
+    for given in (pa.array(texts), pa.array(texts).slice(5), pa.array(texts, pa.large_string()), pa.array([None], pa.string()), pa.array([""]), pa.array([], pa.string())):
+        assert own.every(given).to_pylist() == [own.plain(t) if t else b"" for t in given.to_pylist()]
+    own.words.clear()
+    mixed = [f"{w}{m}" for w in ("word", "Épée", "x1") for m in marks]
+    assert own.every(pa.array([" ".join(mixed)])).to_pylist() == [own.plain(" ".join(mixed))]
+" begins with a letter of the added tokens, so words with it stay whole|" begins with a letter of the added tokens, so words with it stay whole
+    assert {w for w in own.words if any(c.isalnum() for c in w)} == {"word", "Épée", "épée", "x1"} | {f"{w}{m}" for w in ("word", "Épée", "x1") for m in ("<|", "|>")}
+
+
 def library_ids(texts):
     from tokenizers import Tokenizer
 
