@@ -341,6 +341,36 @@ def test_line_dedup_of_many_variants(spark):
         assert {r["doc_id"] for r in got if r["n_near"]} == near and len(lines) - len(near) > 20
 
 
+def test_line_dedup_lets_its_packs_go(spark, monkeypatch):
+    from pathlib import Path
+
+    from factloom.llm.common import shared_folder
+
+    rnd, parts, met = random.Random(8), [], editjoin._meet
+    at = lambda: {*Path(shared_folder(spark).removeprefix("file:")).glob("factloom-packs-*")}
+    monkeypatch.setattr(editjoin, "_meet", lambda *args: parts.append([*(at() - before)][0]) or met(*args))
+    lines = [words(rnd, 30) for _ in range(40)]
+    texts = ["\n".join(lines), *(x.replace("e", "", 1) for x in lines)]
+    before = at()
+    got = linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_near"]) for r in got) == [(i, int(i > 0 and x != lines[i - 1])) for i, x in enumerate(texts)]
+    assert len(parts) == editjoin.PARTS and at() == before  # they were there while they were read, and are gone
+
+
+def test_edit_distance_leaves_out_what_both_ends_share(monkeypatch):
+    rnd, pairs = random.Random(9), []
+    for _ in range(300):
+        a = "".join(rnd.choice("abé") for _ in range(rnd.randrange(0, 150)))
+        at, end = sorted((rnd.randrange(len(a) + 1), rnd.randrange(len(a) + 1)))
+        pairs.append((a, a[:at] + rnd.choice(["", "x", a[at:end], a[at:end] * 2]) + a[end:], rnd.randrange(0, 6)))
+    pairs += [("a" * n, "a" * m, 3) for n in (0, 31, 32, 33, 64, 65, 96) for m in (0, 30, 32, 34, 64, 67, 95)]
+    assert editjoin.many_within(*map(list, zip(*pairs, strict=True))).tolist() == [distance(a, b) <= k for a, b, k in pairs]
+    seen, columns = [], editjoin._columns
+    monkeypatch.setattr(editjoin, "_columns", lambda a, b, most: seen.extend(map(len, b)) or columns(a, b, most))
+    long = words(rnd, 200)
+    assert editjoin.many_within([long], [long[:100] + "#" + long[100:]], [2]).all() and max(seen) <= 70
+
+
 def test_line_dedup_edges(docs, rows, empty):
     got = linededup.dedup_lines(docs)
     assert got.columns == [*docs.columns, "n_lines", "n_exact", "n_near", "near_lines"] and got.count() == len(rows)
