@@ -357,6 +357,19 @@ def test_line_dedup_lets_its_packs_go(spark, monkeypatch):
     assert len(parts) == editjoin.PARTS and at() == before  # they were there while they were read, and are gone
 
 
+def test_first_lines_by_hashing_and_by_sorting(spark):
+    rnd = random.Random(10)
+    lines = lambda docs, n: [(rnd.choice(docs), rnd.randrange(n), rnd.randrange(1, 9), rnd.randrange(3), rnd.randrange(4)) for _ in range(300)]
+    top = 1 << 63
+    for docs, n, hashed in (([0, 5, -7], 40, True), ([3], 1, True), ([-(top >> 5), (top >> 5) - 1], 32, True), ([-(top >> 5) - 1, 4], 32, False), ([top >> 5, 4], 32, False), ([-top, top - 1], 1 << 31, False)):
+        rows = [*lines(docs, n), (docs[0], n - 1, 1, 0, 0), (docs[-1], n - 1, 1, 0, 0)]
+        out = linededup._distinct(spark.createDataFrame(rows, "doc long, line int, size int, high long, low long"))
+        want = {k: (min(r[:2] for r in rows if r[3:] == k), max(r[2] for r in rows if r[3:] == k)) for k in {r[3:] for r in rows}}
+        assert {(r["high"], r["low"]): ((r["first"]["doc"], r["first"]["line"]), r["size"]) for r in out.collect()} == want
+        assert ("SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()) == hashed
+    assert linededup._distinct(spark.createDataFrame([], "doc long, line int, size int, high long, low long")).count() == 0
+
+
 def test_edit_distance_leaves_out_what_both_ends_share(monkeypatch):
     rnd, pairs = random.Random(9), []
     for _ in range(300):
