@@ -384,6 +384,63 @@ def test_edit_distance_leaves_out_what_both_ends_share(monkeypatch):
     assert editjoin.many_within([long], [long[:100] + "#" + long[100:]], [2]).all() and max(seen) <= 70
 
 
+def test_edit_distance_in_words_no_wider_than_the_edits_need(monkeypatch):
+    rnd, pairs = random.Random(12), []
+    for _ in range(400):
+        a = "".join(rnd.choice("abcdefgé日" if rnd.random() < 0.5 else "ab") for _ in range(rnd.randrange(1, 160)))
+        b = list(a)
+        k = rnd.choice([1, 2, 6, 14, 15, 30, 31, 62, 63, 70])
+        for _ in range(rnd.choice([k // 2, k, k + 1, 2 * k])):
+            i = rnd.randrange(len(b) + 1)
+            b[i : i + rnd.randrange(2)] = rnd.choice(["", "x", "日"])
+        pairs.append((a, "".join(b), k))
+    many = "".join(map(chr, range(300, 700)))  # more kinds of characters than a byte tells apart
+    pairs += [(many, many[:90] + "a" + many[91:-50] + "b" + many[-49:], 2), (many, many[::-1], 2), (many, many[40:] + many[:40], 63)]
+    seen, columns = [], editjoin._columns
+    monkeypatch.setattr(editjoin, "_columns", lambda a, b, most: seen.append(most.tolist()) or columns(a, b, most))
+    want = [distance(a, b) <= k for a, b, k in pairs]
+    assert editjoin.many_within(*map(list, zip(*pairs, strict=True))).tolist() == want and 50 < sum(want) < len(want) - 50
+    assert sorted(map(max, seen)) == [14, 30, 62] and sorted(map(min, seen)) == [1, 15, 31]
+    told = [editjoin.apart(a, b, k) for a, b, k in pairs]
+    assert any(told) and not any(t and w for t, w in zip(told, want, strict=True))
+
+
+def test_keys_of_short_lines_follow_their_stretches():
+    rnd = random.Random(13)
+    texts = ["".join(rnd.choice("abé日") for _ in range(rnd.choice([20, 21, 22, 40, 119, 120, 121, 130]))) for _ in range(60)]
+    texts += [x[:7] + "#" + x[8:] for x in texts[:30]] + [x[:3] + x[4:] for x in texts[:30]]
+    packer = editjoin.Packer(2, 20, 40, 5)
+    held: list = []
+    packer._put = lambda *args: held.append(args)
+    packer.add([*range(len(texts))], [0] * len(texts), texts)
+    of, key, off, post, _ = held[0]
+    want = []
+    for i, x in enumerate(texts):
+        if len(x) < 122:
+            own = [(len(x), j, at, n, True) for j, (at, n) in enumerate(editjoin.segments(len(x), 2))] if len(x) < 120 else []
+            some = [(t, j, at, n, False) for t in range(max(len(x) - 2, 20), min(len(x) + 1, 120)) for j, at, n in editjoin.probes(len(x), t, 2)]
+            known = {y[:4] for y in own}
+            want += [(i, (t, j, x[at : at + n]), at, p) for t, j, at, n, p in own + [y for y in some if y[:4] not in known]]
+    assert [*zip(of.tolist(), off.tolist(), post.tolist(), strict=True)] == [(i, at, p) for i, _, at, p in want]
+    pairs = {(k, w[1]) for k, w in zip(key.tolist(), want, strict=True)}  # a key for each stretch, and no other has it
+    assert len(pairs) == len({k for k, _ in pairs}) == len({w for _, w in pairs}) < len(want)
+
+
+def test_shared_tables_hash_small_sides_of_joins(spark, monkeypatch):
+    from factloom.llm import common
+
+    seen, kind = [], type(spark.range(1).write)
+    parquet = kind.parquet
+    monkeypatch.setattr(kind, "parquet", lambda self, *a, **b: seen.append(self._df.sparkSession.conf.get(common.HASHED, None)) or parquet(self, *a, **b))
+    one, two = spark.range(50), spark.range(80)
+    before = spark.conf.get(common.HASHED, None)
+    for hashed in (True, False):
+        table = common.write_shared(one.join(two, "id"), "joined", hashed=hashed)
+        assert table.count() == 50 and spark.conf.get(common.HASHED, None) == before
+        common.drop_shared(table)
+    assert seen == [spark.conf.get(common.ADVISORY), before]
+
+
 def test_line_dedup_edges(docs, rows, empty):
     got = linededup.dedup_lines(docs)
     assert got.columns == [*docs.columns, "n_lines", "n_exact", "n_near", "near_lines"] and got.count() == len(rows)
