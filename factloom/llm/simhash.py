@@ -100,7 +100,8 @@ def links(nodes: DataFrame, most: int = 2, segments: int = SEGMENTS) -> DataFram
     if not most:
         return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
     at = _at_points(nodes, segments)
-    x, y = at.alias("x"), at.alias("y")
+    # Spark sizes exploded rows as if they were not exploded, so it would send millions of them through the driver: they are shuffled instead
+    x, y = at.alias("x").hint("merge"), at.alias("y").hint("merge")
     manhattan = sum((F.abs(p - q) for p, q in zip(_vector(F.col("x.fp"), segments), _vector(F.col("y.fp"), segments), strict=True)), F.lit(0))
     differing = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp")))
     met = x.join(y, (F.col("x.point") == F.col("y.point")) & (F.col("x.node") > F.col("y.node")) & (manhattan <= most) & (differing <= most))

@@ -560,6 +560,13 @@ def test_simhash_links_find_all_pairs_within_two_bits(spark):
     assert {i: found.get(i, i) for i in range(len(nodes))} == {i: label[f] for i, f in enumerate(nodes)}
 
 
+def test_simhash_sends_no_grid_points_through_the_driver(spark):
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"  # these few nodes would be sent, and so would their 33 points each
+    nodes = spark.range(1000).select(F.col("id").alias("node"), F.xxhash64("id").alias("fp"))
+    plan = simhash.links(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_simhash_links_through_rows_without_an_id(spark, monkeypatch):
     given = spark.createDataFrame([(1, 0), (None, 3), (2, 15), (None, 1 << 40), (None, 1 << 40 | 1 << 50), (9, 0x5555)], "doc long, fp long")
     monkeypatch.setattr(simhash, "fingerprints", lambda *_: given)
