@@ -441,6 +441,20 @@ def test_shared_tables_hash_small_sides_of_joins(spark, monkeypatch):
     assert seen == [spark.conf.get(common.ADVISORY), before]
 
 
+def test_shared_tables_are_not_broadcast_for_their_small_files(spark, monkeypatch):
+    from factloom.llm import common
+
+    held = common.write_shared(spark.range(200_000).select((F.col("id") % 7).alias("k"), F.lit("x" * 50).alias("v")), "held")
+    seen, kind, conf = [], type(spark.range(1).write), [spark.conf.get(k, None) for k in (common.SENT, common.SENT_MEASURED)]
+    parquet = kind.parquet
+    monkeypatch.setattr(kind, "parquet", lambda self, *a, **b: seen.append(self._df._jdf.queryExecution().executedPlan().toString()) or parquet(self, *a, **b))
+    table = common.write_shared(spark.range(9).join(held, F.col("id") == F.col("k")), "joined", hashed=True)
+    assert table.count() == 200_000 and "Join" in seen[0] and "Broadcast" not in seen[0]
+    assert conf == [spark.conf.get(k, None) for k in (common.SENT, common.SENT_MEASURED)]
+    for t in (held, table):
+        common.drop_shared(t)
+
+
 def test_line_dedup_edges(docs, rows, empty):
     got = linededup.dedup_lines(docs)
     assert got.columns == [*docs.columns, "n_lines", "n_exact", "n_near", "near_lines"] and got.count() == len(rows)
