@@ -426,6 +426,60 @@ def test_keys_of_short_lines_follow_their_stretches():
     assert len(pairs) == len({k for k, _ in pairs}) == len({w for _, w in pairs}) < len(want)
 
 
+def test_packs_store_entries_in_seven_bytes(tmp_path):
+    np, pa, pq = pytest.importorskip("numpy"), pytest.importorskip("pyarrow"), pytest.importorskip("pyarrow.parquet")
+    rnd = random.Random(14)
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.choice([20, 70, 125, 300, 500, 1000]) + rnd.randrange(60))) for _ in range(1500)]
+    packer, held = editjoin.Packer(2, 20, 40, 9), []
+    for at in range(0, len(texts), 500):
+        packer.add([*range(at, at + 500)], [0] * 500, texts[at : at + 500])
+    for bucket, key, of, place, size in packer.entries:
+        held += zip(bucket.tolist(), (key & 0xFFFFFF).tolist(), of.tolist(), place.tolist(), size.tolist(), strict=True)
+    rows = [*packer.packed()]
+    assert rows[0][0] == -1 and not packer.lines
+    docs = np.frombuffer(rows[0][2], "<i8", len(texts))
+    assert sorted(docs.tolist()) == [*range(len(texts))]
+    got = []
+    for bucket, _, *bodies in rows[1:]:
+        body = editjoin.opened(*bodies)
+        k = len(body) // 10
+        key, line, place, size = (np.frombuffer(body, kind, k, at * k) for kind, at in (("<u4", 0), ("<u2", 4), ("<u2", 6), ("<u2", 8)))
+        assert (np.diff(line.astype(int)) >= 0).all()
+        got += zip([bucket] * k, key.tolist(), docs[line].tolist(), place.tolist(), size.tolist(), strict=True)
+    assert sorted(got) == sorted(held) and all(size == len(texts[i]) for _, _, i, _, size in got)
+    pq.write_table(pa.table([*map(pa.array, zip(*rows[1:], strict=True))], names=[*"abcdef"]), tmp_path / "packs", compression="zstd")
+    assert (tmp_path / "packs").stat().st_size < 7 * len(held)  # ten bytes went in before, and stayed
+
+
+def test_sieve_passes_all_places_and_few_others(spark):
+    rnd = random.Random(15)
+    places = {(rnd.choice([-(1 << 62), 0, 7, 1 << 40]) + rnd.randrange(3000), rnd.randrange(200)) for _ in range(20_000)}
+    sieve = editjoin._sieve(spark.createDataFrame(sorted(places), "doc long, line int"))
+    np = pytest.importorskip("numpy")
+
+    def passed(some):
+        word, bits = editjoin._marks(*(np.array(c) for c in zip(*some, strict=True)))
+        return int((sieve[word] & bits == bits).sum())
+
+    assert passed(places) == len(places) and passed([(i, 200 + i % 9) for i in range(50_000)]) < 500
+
+
+def test_line_dedup_leaves_only_fates_and_near_lines(spark):
+    from pathlib import Path
+
+    from factloom.llm.common import shared_folder
+
+    rnd = random.Random(16)
+    at = lambda: {x.name.split("-")[1] for x in {*Path(shared_folder(spark).removeprefix("file:")).glob("factloom-*")} - before}
+    before = {*Path(shared_folder(spark).removeprefix("file:")).glob("factloom-*")}
+    lines = [words(rnd, 30) for _ in range(40)]
+    texts = [*lines, *(x.replace("e", "", 1) for x in lines), *(words(rnd, 9)[:25] + lines[0] for _ in range(150))]
+    for bound in (10**7, 0):
+        out = linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), dense=3, bound=bound)
+        assert out.where("n_near > 0").count() >= 30
+        assert not at() & {"instances", "distinct", "packs", "nodes", "met", "pairs", "wanted", "lines"}
+
+
 def test_shared_tables_hash_small_sides_of_joins(spark, monkeypatch):
     from factloom.llm import common
 
